@@ -30,7 +30,7 @@ from . import common as C
 
 BANDS, ROWS = 24, 4
 #: Classes in a block; a task compares two blocks.
-BLOCK = 128
+BLOCK = 512
 
 
 def posterior(threshold: float, matches: int, seen: int) -> float:
