@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece_lattice, toxicity
+from . import licenses, sentencepiece_lattice, toxicity
 from .common import table
 from .decontaminate import contaminated
 from .jaccard_join import jaccard_join
@@ -30,6 +30,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), sentencepiece_lattice.Model.load(TOKENIZER))
 
@@ -42,8 +46,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_licenses": op7_licenses,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_licenses": licenses.oracle()}
