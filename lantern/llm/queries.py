@@ -7,12 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, sentencepiece_lattice, toxicity
+from . import licenses, nn_descent, sentencepiece_lattice, toxicity
 from .common import table
 from .decontaminate import contaminated
 from .html_text import html_text
 from .jaccard_join import jaccard_join
 from .line_dedup import line_dedup
+from .pii_surrogates import pseudonymise
+from .secrets import secret_scan
 
 #: A SentencePiece model of the machine's public vocabularies.
 TOKENIZER = os.environ.get("LANTERN_SENTENCEPIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
@@ -22,6 +24,14 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(table(spark, sf_dir, "pages"))
 
@@ -39,6 +49,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), sentencepiece_lattice.Model.load(TOKENIZER))
 
@@ -49,12 +63,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_pii_surrogates": op2_pii_surrogates,
+    "op3_secret_scan": op3_secret_scan,
     "op4_html_text": op4_html_text,
     "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_licenses": op7_licenses,
+    "op8_nn_descent": op8_nn_descent,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op7_licenses": licenses.oracle()}
+ORACLES: dict[str, str] = {"op7_licenses": licenses.oracle(), "op8_nn_descent": nn_descent.ORACLE}
