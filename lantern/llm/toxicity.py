@@ -38,27 +38,31 @@ def token_features(w: C.Words) -> list[np.ndarray]:
 
 def near_copy_representatives(texts: list[str]) -> np.ndarray:
     """Indices of one text of each group that shares a MinHash band."""
-    docs, hashes = C.shingles(texts)
-    keys = C.band_keys(C.minhash(docs, hashes, len(texts), 32), 4)
     seen: set[tuple[int, int]] = set()
     out = []
-    for i, row in enumerate(keys):
-        own = {(b, int(x)) for b, x in enumerate(row)}
-        if not own & seen:
-            out.append(i)
-        seen |= own
+    for first, last in C.chunks(texts):
+        docs, hashes = C.shingles(texts[first:last])
+        for i, row in enumerate(C.band_keys(C.minhash(docs, hashes, last - first, 32), 4)):
+            own = {(b, int(x)) for b, x in enumerate(row)}
+            if not own & seen:
+                out.append(first + i)
+            seen |= own
     return np.array(out, dtype=int)
 
 
-def indicators(words: C.Words, toxic: np.ndarray, least_docs: int = 3, least_ratio: float = 3.0, z: float = 3.0) -> np.ndarray:
+def indicators(texts: list[str], toxic: np.ndarray, least_docs: int = 3, least_ratio: float = 3.0, z: float = 3.0) -> np.ndarray:
     """Sorted keys of features that are significantly commoner in toxic documents.
 
-    The log odds ratio must be `least_ratio` at least, and z standard errors above 0.
+    The log odds ratio must be `least_ratio` at least, and z / 2 standard errors above 0.
     """
-    pairs = np.unique(np.concatenate([np.stack([f, words.doc.astype(np.uint64)], 1)[f != 0] for f in token_features(words)]), axis=0)
-    keys, inverse = np.unique(pairs[:, 0], return_inverse=True)
-    bad = toxic[pairs[:, 1].astype(int)]
-    t, c = np.bincount(inverse, bad, len(keys)), np.bincount(inverse, ~bad, len(keys))
+    keys, t, c = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
+    for first, last in C.chunks(texts):
+        words = C.Words(texts[first:last], PREFIXES)
+        pairs = np.unique(np.concatenate([np.stack([f, words.doc.astype(np.uint64)], 1)[f != 0] for f in token_features(words)]), axis=0)
+        bad = toxic[first + pairs[:, 1].astype(int)]
+        keys, inverse = np.unique(np.concatenate([keys, pairs[:, 0]]), return_inverse=True)
+        t = np.bincount(inverse, np.concatenate([t, bad]), len(keys))
+        c = np.bincount(inverse, np.concatenate([c, ~bad]), len(keys))
     nt, nc = toxic.sum(), (~toxic).sum()
     odds = np.log((t + 0.5) / (nt - t + 0.5)) - np.log((c + 0.5) / (nc - c + 0.5))
     error = np.sqrt(1 / (t + 0.5) + 1 / (nt - t + 0.5) + 1 / (c + 0.5) + 1 / (nc - c + 0.5))
@@ -88,7 +92,7 @@ class Crf:
             out.append(col)
         return np.stack(out, 1)
 
-    def fit(self, cols: np.ndarray, tags: np.ndarray, doc: np.ndarray, steps: int = 120, rate: float = 0.3, l2: float = 1e-3) -> None:
+    def fit(self, cols: np.ndarray, tags: np.ndarray, doc: np.ndarray, steps: int = 80, rate: float = 0.3, l2: float = 1e-3) -> None:
         """Full-batch Adam on segments of SEGMENT words, which bounds the memory of a step."""
         none = len(self.keys)
         starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
@@ -214,17 +218,23 @@ def train(rows: list[tuple[str, int]], share: dict[int, float]) -> Crf | None:
     if not toxic.any() or toxic.all():
         return None
     own = near_copy_representatives(texts)
-    words = C.Words([texts[i] for i in own], PREFIXES)
-    model = Crf(np.sort(indicators(words, toxic[own])))
-    cols = model.columns(words)
-    tags = ((cols < len(model.keys)).any(1) & toxic[own][words.doc]).astype(np.int8)
+    texts, toxic = [texts[i] for i in own], toxic[own]
+    model = Crf(np.sort(indicators(texts, toxic)))
+    cols, doc = [np.zeros((0, 1 + len(PREFIXES)), np.int32)], [np.zeros(0, int)]
+    for first, last in C.chunks(texts):
+        words = C.Words(texts[first:last], PREFIXES)
+        cols.append(model.columns(words))
+        doc.append(words.doc + first)
+    cols, doc = np.concatenate(cols), np.concatenate(doc)
+    tags = ((cols < len(model.keys)).any(1) & toxic[doc]).astype(np.int8)
     if len(model.keys) and tags.any():
-        model.fit(cols, tags, words.doc)
-    sums, tops = np.zeros(own.size), np.zeros(own.size)
-    for d, _, p in model.tag(words):
-        sums[d], tops[d] = p.sum(), p.max()
-    weight = np.where(toxic[own], 1 / max(share.get(1, 1), 1e-9), 1 / max(share.get(0, 1), 1e-9))
-    model.calibrate(sums, tops, toxic[own].astype(float), weight / weight.mean())
+        model.fit(cols, tags, doc)
+    sums, tops = np.zeros(len(texts)), np.zeros(len(texts))
+    for first, last in C.chunks(texts):
+        for d, _, p in model.tag(C.Words(texts[first:last], PREFIXES)):
+            sums[first + d], tops[first + d] = p.sum(), p.max()
+    weight = np.where(toxic, 1 / max(share.get(1, 1), 1e-9), 1 / max(share.get(0, 1), 1e-9))
+    model.calibrate(sums, tops, toxic.astype(float), weight / weight.mean())
     return model
 
 
@@ -232,7 +242,7 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 3000) -> Crf | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 2000) -> Crf | None:
     """Learn from at most about max_train documents of each label, none of them held out."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null")
     known = known.groupBy("id").agg(F.max("y").cast("int").alias("y")).where(~held_out(F.col("id")))
