@@ -473,15 +473,16 @@ def temporal_walk_prev(spark, sf_dir):
     return _walk(spark, sf_dir, True)
 
 
-@query(f"""WITH RECURSIVE {GRAPH_SQL}, u AS (SELECT src AS x, dst AS y FROM edges UNION SELECT dst, src FROM edges),
-pairs(a, b) AS (VALUES ('c1', 's1'), ('c2', 'c3'), ('s1', 's2'), ('n0', 'c4')),
-e AS (SELECT x, y FROM u WHERE (x LIKE 'n%' OR x IN (SELECT a FROM pairs UNION SELECT b FROM pairs)) AND (y LIKE 'n%' OR y IN (SELECT a FROM pairs UNION SELECT b FROM pairs))),
+@query(f"""WITH RECURSIVE {GRAPH_SQL}, l AS (SELECT src, dst FROM edges UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation), u AS (SELECT src AS x, dst AS y FROM l UNION SELECT dst, src FROM l),
+pairs(a, b) AS (VALUES ('c1', 's1'), ('c2', 'c3'), ('s1', 's2'), ('n0', 'c4'), ('n1', 'c5'), ('c7', 'r1')),
+e AS (SELECT x, y FROM u WHERE (x LIKE 'n%' OR x LIKE 'r%' OR x IN (SELECT a FROM pairs UNION SELECT b FROM pairs)) AND (y LIKE 'n%' OR y LIKE 'r%' OR y IN (SELECT a FROM pairs UNION SELECT b FROM pairs))),
 p AS (SELECT a, b, a AS node, [a] AS path FROM pairs
 UNION ALL SELECT p.a, p.b, e.y, list_append(p.path, e.y) FROM p JOIN e ON e.x = p.node WHERE p.node <> p.b AND len(p.path) <= 5 AND NOT list_contains(p.path, e.y))
 SELECT a, b, (len(path) - 1)::INTEGER AS hops, array_to_string(path, ' -> ') AS path FROM p WHERE node = b QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY len(path), path) = 1""")
 def shortest_connection(spark, sf_dir):
-    pairs = spark.createDataFrame([("c1", "s1"), ("c2", "c3"), ("s1", "s2"), ("n0", "c4")], "a string, b string")
-    return graph.shortest_paths(_graph(spark, sf_dir)[1], pairs).select("a", "b", "hops", F.array_join("path", " -> ").alias("path"))
+    pairs = spark.createDataFrame([("c1", "s1"), ("c2", "c3"), ("s1", "s2"), ("n0", "c4"), ("n1", "c5"), ("c7", "r1")], "a string, b string")
+    regions = T(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("src"), F.lit("IN").alias("rel"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("dst"))
+    return graph.shortest_paths(_graph(spark, sf_dir)[1].union(regions), pairs).select("a", "b", "hops", F.array_join("path", " -> ").alias("path"))
 
 
 @query("SELECT n_nationkey::VARCHAR AS id, n_name AS name, r_name AS parent_name FROM nation LEFT JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'r' || r_regionkey, r_name, NULL FROM region")
@@ -492,12 +493,12 @@ def scope_tree(spark, sf_dir):
     return graph.scope_tree(nation.union(region))
 
 
-@query("""WITH s AS (SELECT p_partkey AS id, p_name AS name, p_type AS label, CASE WHEN contains(lower(p_name), 'no such part') OR contains('no such part', lower(p_name)) THEN 0
-  WHEN len(list_filter(['part', '1', '7'], lambda t: contains(lower(p_name), t))) > 0 THEN 1 END AS tier, len(list_filter(['part', '1', '7'], lambda t: contains(lower(p_name), t))) AS hits FROM part)
+@query("""WITH s AS (SELECT p_partkey AS id, p_name AS name, p_type AS label, CASE WHEN contains(lower(p_name), 'a lost gear') OR contains('a lost gear', lower(p_name)) THEN 0
+  WHEN len(list_filter(['gear', 'hot', 'lost'], lambda t: contains(lower(p_name), t))) > 0 THEN 1 END AS tier, len(list_filter(['gear', 'hot', 'lost'], lambda t: contains(lower(p_name), t))) AS hits FROM part)
 SELECT id, name, label, hits::INTEGER AS hits FROM s WHERE tier = (SELECT min(tier) FROM s) ORDER BY -hits, id LIMIT 3""")
 def token_overlap_endpoint(spark, sf_dir):
     nodes = T(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("label"))
-    return graph.endpoint_candidates(nodes, "no such part", ["part", "1", "7"])
+    return graph.endpoint_candidates(nodes, "a lost gear", ["gear", "hot", "lost"])
 
 
 # -- incremental ---------------------------------------------------------------------------

@@ -35,6 +35,12 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def spaced_terms(text: Column) -> Column:
+    """The index terms as one string, each with a space of its own on either side."""
+    spaced = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "  "))
+    return F.when(spaced == "", "").otherwise(F.concat(F.lit(" "), spaced, F.lit(" ")))
+
+
 def content_tokens(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9'-]+"), F.lit(0)), lambda t: (F.length(t) > 2) & ~t.isin(STOP_WORDS))
 
@@ -110,5 +116,8 @@ def is_hedge(sentence: Column, cited: Column) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Array of runs of n words, joined by spaces."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    """Array of runs of n words, joined by spaces. The words are computed once, outside the inner lambda."""
+    def runs(w: Column) -> Column:
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+
+    return F.element_at(F.transform(F.array(words), runs), 1)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lantern.plans.lineage import cut
+
 # Order of labels among candidates; others come last, as 9.
 LABEL_RANK = {"Character": 0, "Object": 1, "Organization": 2, "Location": 3, "Event": 4, "Series": 5, "Movie": 6, "Episode": 7, "Timeline": 8}
 
@@ -70,6 +72,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 5) -> DataFra
     for hop in range(1, hops + 1):
         grown = front.where("node <> b").join(step, "node").select("a", "b", F.col("_next").alias("node"), F.concat("path", F.array("_next")).alias("path"))
         grown = grown.join(seen, ["a", "b", "node"], "left_anti").groupBy("a", "b", "node").agg(F.min("path").alias("path"))
+        grown = cut(grown)
         out = out.union(grown.where("node = b").select("a", "b", "node", "path", F.lit(hop).alias("hops")))
         seen, front = seen.union(grown.select("a", "b", "node")), grown
     best = out.groupBy("a", "b").agg(F.min(F.struct("hops", "path")).alias("p"))

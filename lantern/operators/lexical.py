@@ -5,16 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lantern.functions.text import content_tokens, sanitized, terms
+from lantern.functions.text import content_tokens, sanitized, spaced_terms, terms
 
 
-def occurrences(tokens: Column, phrase: list[str]) -> Column:
-    """Places where the phrase's terms stand in a row."""
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    whole = F.array(*map(F.lit, phrase))
-    last = F.size(tokens) - len(phrase) + 1
-    return F.when(last > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(tokens, i, len(phrase)) == whole))).otherwise(F.lit(0))
+def occurrences(spaced: Column, phrase: list[str]) -> Column:
+    """Places where the phrase's terms stand in a row, without overlap. spaced: see spaced_terms."""
+    sought = "".join(f" {t} " for t in phrase)
+    return ((F.length(spaced) - F.length(F.replace(spaced, F.lit(sought), F.lit("")))) / len(sought)).cast("int")
 
 
 def phrases_of(query: list[str]) -> list[list[str]]:
@@ -45,8 +42,9 @@ def match_terms(entities: list[str], query: str, most: int = 14) -> list[str]:
 
 def frequencies(docs: DataFrame, text_col: str, phrases: list[list[str]]) -> DataFrame:
     """docs without its text, with dl (terms) and tf (array, one count for each phrase). No shuffle."""
-    held = docs.withColumn("_t", terms(F.col(text_col)))
-    return held.withColumn("dl", F.size("_t")).withColumn("tf", F.array(*(occurrences(F.col("_t"), p) for p in phrases))).drop("_t", text_col)
+    held = docs.withColumn("_t", spaced_terms(F.col(text_col)))
+    terms_held = (F.length("_t") - F.length(F.replace("_t", F.lit(" "), F.lit("")))) / 2
+    return held.withColumn("dl", F.floor(terms_held).cast("int")).withColumn("tf", F.array(*(occurrences(F.col("_t"), p) for p in phrases))).drop("_t", text_col)
 
 
 def bm25(docs: DataFrame, query: list[str], text_col: str = "text", scope: Column | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -71,7 +69,7 @@ def boolean_and(docs: DataFrame, query: str, text_col: str = "text") -> DataFram
     phrases = phrases_of([q.strip('"') for q in query.split()])
     if not phrases:
         return docs.where("false")
-    tokens = terms(F.col(text_col))
+    tokens = spaced_terms(F.col(text_col))
     test = F.lit(True)
     for p in phrases:
         test = test & (occurrences(tokens, p) > 0)
