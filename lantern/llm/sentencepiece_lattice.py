@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACE = "▁"
 WORD = f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
@@ -331,4 +332,4 @@ def decode(coded: DataFrame, model: Model, ids_col: str = "ids", out_col: str =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
 
     kept = coded.drop(out_col)
-    return kept.mapInArrow(run, kept.withColumn(out_col, F.lit("").cast("string")).schema)
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out_col, T.StringType())]))
