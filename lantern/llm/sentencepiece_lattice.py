@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import cut
+
 SPACE = "▁"
 WORD = f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
 NORMAL, UNKNOWN, BYTE, UNIGRAM, BPE = 1, 2, 6, 1, 2
@@ -265,7 +267,7 @@ def word_table(words: DataFrame, model: Model) -> DataFrame:
 def common(texts: DataFrame, model: Model, most: int) -> DataFrame:
     """(word): at most `most` of the corpus's commonest words: all that occur oftener than the rest."""
     words = texts.select(F.explode(F.regexp_extract_all(escaped(F.col("text"), model.prefix), F.lit(WORD), F.lit(0))).alias("word"))
-    counted = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1 and length(word) <= 48")
+    counted = cut(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1 and length(word) <= 48"))
     sizes = counted.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count("*").alias("words"))
     least, total = None, 0
     for r in sorted(sizes.toLocalIterator(), key=lambda r: -r["n"]):
