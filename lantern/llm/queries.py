@@ -11,6 +11,7 @@ from . import licenses, nn_descent, sentencepiece_lattice, toxicity
 from .common import table
 from .decontaminate import contaminated
 from .html_text import html_text
+from .jaccard_join import ORACLE as JACCARD_SQL
 from .jaccard_join import jaccard_join
 from .line_dedup import line_dedup
 from .pii_surrogates import pseudonymise
@@ -74,4 +75,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLES: dict[str, str] = {"op7_licenses": licenses.oracle(), "op8_nn_descent": nn_descent.ORACLE}
+ORACLES: dict[str, str] = {"op6_jaccard_join": JACCARD_SQL, "op7_licenses": licenses.oracle(), "op8_nn_descent": nn_descent.ORACLE}
