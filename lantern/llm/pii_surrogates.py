@@ -48,14 +48,19 @@ ENDINGS = {"latin": ("na", "rt"), "cyrillic": ("на", "рт"), "greek": ("να"
 
 
 def kind_of(surface: Column) -> Column:
-    out = F.lit(None).cast("string")
+    out = F.lit("as it is")
     for kind in reversed(PATTERNS):
         out = F.when(surface.rlike(f"^(?:{PATTERNS[kind]})$"), F.lit(kind)).otherwise(out)
     return out
 
 
-def parts_of(surface: Column) -> Column:
-    """array<struct<kind,surface>>: names by words, others whole."""
+def checked(kind: Column, surface: Column) -> Column:
+    """The kind, but not a card's if Luhn's check fails."""
+    return F.when((kind == "card") & (luhn(F.regexp_replace(surface, r"\D", "")) != 0), "as it is").otherwise(kind)
+
+
+def parts_of(kind: Column, surface: Column) -> Column:
+    """array<struct<kind,surface>>: names by words, others whole. kind: see kind_of."""
     def part(kind: Column | str, s: Column) -> Column:
         return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), s.alias("surface"))
 
@@ -65,8 +70,6 @@ def parts_of(surface: Column) -> Column:
     given = part(F.when(woman, "woman").otherwise("man"), F.get(words, 1))
     long = F.array(title, given, part("as it is", F.lit(" ")), part("surname", F.get(words, 2)))
     short = F.array(title, part("surname", F.get(words, 1)))
-    card = F.when(luhn(F.regexp_replace(surface, r"\D", "")) == 0, "card").otherwise("as it is")
-    kind = F.when(kind_of(surface) == "card", card).otherwise(kind_of(surface))
     return F.when(kind != "name", F.array(part(kind, surface))).when(F.size(words) > 2, long).otherwise(short)
 
 
@@ -125,7 +128,7 @@ def draws(entities: DataFrame, key: str) -> DataFrame:
     taken = cut_taken = None
     rest, exceptions, attempt = entities.withColumn("attempt", F.lit(0)), None, 0
     while True:
-        drawn = rest.withColumn("new", canonical(F.col("kind"), surrogate(key, F.col("kind"), F.col("surface"), F.col("attempt"))))
+        drawn = C.cut(rest.withColumn("new", canonical(F.col("kind"), surrogate(key, F.col("kind"), F.col("surface"), F.col("attempt")))))
         first = drawn.groupBy("kind", "new").agg(F.min("own").alias("own"))
         free = first.join(entities.select("kind", F.col("own").alias("new")), ["kind", "new"], "left_anti")
         if taken is not None:
@@ -148,9 +151,11 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = "lantern")
     rows = docs.select(*names).withColumn("_found", F.when(F.col(text_col).rlike(MAYBE), F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     clean = rows.where("size(_found) = 0").select(*names, F.lit(0).alias("n_entities"))
     some = rows.where("size(_found) > 0").withColumn("_at", F.xxhash64(text_col))
+    found = some.select(F.col("_at"), "_found").dropDuplicates(["_at"]).select("_at", F.posexplode("_found").alias("place", "match"))
+    found = C.cut(found.withColumn("kind", kind_of(F.col("match"))))
     parts = (
-        some.select(F.col("_at"), "_found").dropDuplicates(["_at"]).select("_at", F.posexplode("_found").alias("place", "match"))
-        .select("_at", "place", F.posexplode(parts_of(F.col("match"))).alias("part", "p")).select("_at", "place", "part", "p.kind", "p.surface")
+        found.withColumn("kind", checked(F.col("kind"), F.col("match")))
+        .select("_at", "place", F.posexplode(parts_of(F.col("kind"), F.col("match"))).alias("part", "p")).select("_at", "place", "part", "p.kind", "p.surface")
     )
     parts = C.cut(parts.withColumn("own", canonical(F.col("kind"), F.col("surface"))))
     entities = C.cut(parts.where("kind <> 'as it is'").groupBy("kind", "own").agg(F.min("surface").alias("surface")))
