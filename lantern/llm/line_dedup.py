@@ -8,11 +8,11 @@ Lines are visited in order of frequency, then of hash, so the outcome depends on
 alone. Large leaves are dealt into parts by hash, clustered apart, and their templates again.
 
 A template recurs, and all its lines are dropped, if it stands in `min_docs` documents at
-least, in as many different surroundings, and these are no less than `spread` of the
-documents. Surroundings are the tree paths of the lines before and after. Copies of a
-document share their surroundings, so a template doesn't recur by being copied along with
-all of its document; equal texts count as one document from the start. Whole near copies are
-left to near-duplicate operators.
+least, wherever it stands in them and whatever surrounds it. A group of near copies counts as
+one document, so a template doesn't recur by being copied along with all of its document; equal
+texts count as one from the start. Near copies are documents whose templates, weighted by their
+words, agree to `alike` (Jaccard), directly or over others; candidates come from weighted
+MinHash and are verified. Near copies themselves are left to near-duplicate operators.
 
 Lines are separated by \\n. Blank lines are kept. A null or empty text comes back as it is,
 with 0 lines dropped; a text of which all lines recur comes back empty. Rows with null or
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -34,6 +35,8 @@ from . import common as C
 VARIABLE = re.compile(r'"[^"]*"|\S*@\S+|\b[0-9a-fA-F]{12,}\b|\S*\d\S*')
 #: Distinct lines of a leaf that are clustered in one task.
 PART = 1000
+#: MinHash values of a document, and values in a band: a pair that agrees to 0.8 is missed with probability 2e-4.
+HASHES, BAND = 64, 4
 
 
 MAY_VARY = re.compile(r'[\d@"]|[a-fA-F]{12}')
@@ -65,7 +68,7 @@ def parse(text: str, depth: int) -> list[tuple[int, int, int, int, str]]:
     return out
 
 
-KEYS = "doc long, no int, line long, leaf long, around long"
+KEYS = "doc long, no int, line long, leaf long, size int"
 
 
 def _parser(depth: int):
@@ -73,11 +76,11 @@ def _parser(depth: int):
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for no, line, leaf, around, _ in parse(text, depth):
-                    for column, value in zip(out, (doc, no, line, leaf, around), strict=True):
+                for no, line, leaf, _, words in parse(text, depth):
+                    for column, value in zip(out, (doc, no, line, leaf, words.count(" ") + 1), strict=True):
                         column.append(value)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc", "no", "line", "leaf", "around"])
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc", "no", "line", "leaf", "size"])
 
     return run
 
@@ -153,24 +156,64 @@ def templates_of(texts: DataFrame, lines: DataFrame, min_docs: int, depth: int,
     return alone.union(whole).union(merged)
 
 
-def recurring(texts: DataFrame, min_docs: int, depth: int, similarity: float, spread: float) -> DataFrame:
+def _bands(batches):
+    """(doc, key) for the bands of the weighted MinHash values of each document's templates."""
+    rng = np.random.default_rng(13)
+    m = rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for batch in batches:
+        held = batch.column("held")
+        flat = held.flatten()
+        t, size = flat.field("template").to_numpy(zero_copy_only=False).view(np.uint64), flat.field("size").to_numpy(zero_copy_only=False)
+        at = (held.offsets.to_numpy() - held.offsets[0].as_py())[:-1]
+        signature = np.zeros((len(at), HASHES), dtype=np.uint64)
+        for i in range(HASHES if len(at) else 0):
+            u = (C.mix(t * m[i] + np.uint64(i)) >> np.uint64(11)).astype(np.float64) + 0.5
+            signature[:, i] = np.minimum.reduceat(-np.log(u / 2**53) / size, at).view(np.uint64)
+        keys = C.band_keys(signature, BAND)
+        docs = np.repeat(batch.column("doc").to_numpy(), keys.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys.ravel(), pa.int64())], names=["doc", "key"])
+
+
+def near_copies(named: DataFrame, alike: float) -> DataFrame:
+    """(doc, copied): one document of its group for each document that has near copies. named: (doc, template, size)."""
+    held = named.groupBy("doc", "template").agg(F.max("size").alias("size"))
+    shared = held.groupBy("template").agg(F.count("*").alias("n")).where("n > 1").select("template", F.lit(1).alias("shared"))
+    held = held.join(_small(shared), "template", "left").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("template", "size"))).alias("held"), F.sum("size").alias("total"), F.sum(F.col("size") * F.col("shared")).alias("common"))
+    held = C.cut(held.where(F.col("common") >= alike * F.col("total")).select("doc", "held", "total"))  # others agree with none
+    keys = held.mapInArrow(_bands, "doc long, key long")
+    first = keys.groupBy("key").agg(F.min("doc").alias("copied"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = keys.join(first, "key").where("doc <> copied").select("doc", "copied").distinct()
+    pairs = pairs.join(held, "doc").join(held.select(F.col("doc").alias("copied"), F.col("held").alias("other"), F.col("total").alias("others")), "copied")
+    both = F.aggregate(F.array_intersect("held", "other"), F.lit(0).cast("long"), lambda a, x: a + x["size"])
+    near = pairs.withColumn("both", both).where(F.col("both") >= alike * (F.col("total") + F.col("others") - F.col("both")))
+    return C.components(near, "doc", "copied").select(F.col("node").alias("doc"), F.col("component").alias("copied"))
+
+
+def _small(keys: DataFrame) -> DataFrame:
+    """keys, broadcast if there are few enough."""
+    keys = C.cut(keys)
+    return F.broadcast(keys) if keys.count() <= 1_000_000 else keys  # 8 bytes each
+
+
+def recurring(texts: DataFrame, min_docs: int, depth: int, similarity: float, alike: float) -> DataFrame:
     """(doc, nos): numbers of the lines of each text whose template recurs. texts: (doc, text), no text null or empty."""
     lines = C.cut(texts.mapInArrow(_parser(depth), KEYS).dropDuplicates(["doc", "no"]))
-    named = lines.select("doc", "no", "line", "around").join(templates_of(texts, lines.dropDuplicates(["doc", "line"]), min_docs, depth, similarity), "line")
-    named = C.cut(named.select("doc", "no", "around", "template"))
-    # One row of each document for a template; then its surroundings; neither gathers a template in one task.
-    once = named.groupBy("template", "doc").agg(F.min("around").alias("around"))
-    places = once.groupBy("template", "around").agg(F.count("*").alias("docs")).groupBy("template").agg(F.sum("docs").alias("docs"), F.count("*").alias("places"))
-    recurs = places.where((F.col("places") >= min_docs) & (F.col("places") >= spread * F.col("docs"))).select("template")
-    return named.join(recurs, "template", "left_semi").groupBy("doc").agg(F.collect_set("no").alias("nos"))
+    templates = templates_of(texts, lines.dropDuplicates(["doc", "line"]), min_docs, depth, similarity)
+    named = C.cut(lines.drop("leaf").join(templates, "line", "left").select("doc", "no", F.coalesce("template", "line").alias("template"), "size"))
+    often = named.select("template", "doc").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
+    found = C.cut(named.join(_small(often), "template", "left_semi").select("doc", "no", "template"))
+    # One row of each group for a template; neither step gathers a template in one task.
+    once = found.select("doc", "template").distinct().join(near_copies(named, alike), "doc", "left").select("template", F.coalesce("copied", "doc").alias("group")).distinct()
+    recurs = once.groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("template")
+    return found.join(_small(recurs), "template", "left_semi").groupBy("doc").agg(F.collect_set("no").alias("nos"))
 
 
-def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 5, depth: int = 3, similarity: float = 0.7, spread: float = 0.25) -> DataFrame:
+def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 5, depth: int = 3, similarity: float = 0.7, alike: float = 0.8) -> DataFrame:
     """The rows of docs with the kept lines in text_col, and `lines_dropped`."""
     names = [c for c in docs.columns if c not in ("lines_dropped", "_doc", "_nos")]
     rows = docs.select(*names).withColumn("_doc", F.xxhash64(text_col))
     texts = rows.where(F.length(text_col) > 0).select(F.col("_doc").alias("doc"), F.col(text_col).alias("text"))
-    found = recurring(texts, min_docs, depth, similarity, spread).select(F.col("doc").alias("_doc"), F.col("nos").alias("_nos"))
+    found = recurring(texts, min_docs, depth, similarity, alike).select(F.col("doc").alias("_doc"), F.col("nos").alias("_nos"))
     joined = rows.join(found, "_doc", "left")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_nos", i)), "\n")
     dropped = F.coalesce(F.size("_nos"), F.lit(0))

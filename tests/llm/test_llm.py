@@ -279,6 +279,20 @@ def test_line_dedup(spark):
     assert got[90]["text"] is None and got[91]["text"] == ""
 
 
+def _own(i, n):
+    return " ".join(np.random.default_rng(i).choice([a + b + c for a in "bdgklmn" for b in "aeiou" for c in "rstvz"], n))
+
+
+def test_line_dedup_blocks(spark):
+    """Blocks of recurring lines go from end to end; near copies count as one document."""
+    head, foot = ["Home of the site", "All our many topics", "Sign in or join"], ["Read our terms now", "Write to the editors", "Printed on paper", "All rights are kept"]
+    rows = [(i, "\n".join([*head, _own(2 * i, 40), _own(2 * i + 1, 40), *foot])) for i in range(12)]
+    body = [_own(900 + j, 20) for j in range(9)]
+    rows += [(100 + i, "\n".join([*body[:5], _own(100 + i, 5), *body[5:]])) for i in range(8)]
+    got = {r["doc_id"]: (r["text"], r["lines_dropped"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: ("\n".join(t.split("\n")[3:5]), 7) if i < 100 else (t, 0) for i, t in rows}
+
+
 def test_line_dedup_by_brute_force(spark):
     """With whole-line templates, as a plain count of documents and surroundings."""
     held = [(r["doc_id"], r["text"]) for r in docs(spark).select("doc_id", "text").collect()]
