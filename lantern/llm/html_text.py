@@ -8,9 +8,10 @@ right results: lines in navigation, headers, footers, sidebars, notices, adverts
 comments go whether shared or not, and lines inside an article or main element stay even if
 the site repeats them. Pages without such an element also lose lines that are mostly links.
 
-Pairs are sought among the pages of a directory of a host; a directory of many pages is dealt
-into parts by a hash of the path, so no task gathers a host. Two pages of equal path, or of
-which nearly all lines agree, are the same page twice and don't delete each other's lines.
+Pairs are sought in the whole host: its distinct paths are dealt out in order, by ranges, and the
+paths at a cut know their neighbour beyond it, so no task gathers a host and no size changes a
+result. Of pages of one path the least id (and text) is the one that others meet. Two pages of equal
+path, or of which nearly all lines agree, are the same page twice and don't delete each other's lines.
 
 A null or empty page gives an empty text. A page with a null or odd URL is not paired. Unclosed
 elements end with what encloses them. Ids may be null or repeated: one result row for each
@@ -28,9 +29,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from . import common as C
 
-#: Pages of a directory that are paired in one task.
-PART = 64
 #: Share of agreeing lines from which two pages are one page.
 SAME = 0.9
 
@@ -228,19 +230,43 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
-def nearest(paths: list[str]) -> list[int | None]:
-    """For sorted paths, the place of the nearest other path of each; None without one."""
-    out: list[int | None] = []
-    before: list[int | None] = []
-    for i, p in enumerate(paths):
-        before.append(None if i == 0 else i - 1 if paths[i - 1] != p else before[i - 1])
-    after: list[int | None] = [None] * len(paths)
-    for i in range(len(paths) - 2, -1, -1):
-        after[i] = i + 1 if paths[i + 1] != paths[i] else after[i + 1]
-    for i, p in enumerate(paths):
-        l, r = before[i], after[i]
-        out.append(l if r is None else r if l is None else l if _prefix(paths[l], p) >= _prefix(paths[r], p) else r)
-    return out
+def _choose(batches):
+    """(host, path, other): the neighbour in path order with the longer common prefix."""
+    for batch in batches:
+        others = []
+        for p, l, r in zip(*(batch.column(c).to_pylist() for c in ("path", "before", "after")), strict=True):
+            others.append(l if r is None else r if l is None else l if _prefix(l, p) >= _prefix(r, p) else r)
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("path"), pa.array(others, pa.string())], names=["host", "path", "other"])
+
+
+def nearest(paths: DataFrame) -> DataFrame:
+    """(host, path, other): the nearest other path of its host for each distinct path that has one. paths: (host, path)."""
+    dealt = C.cut(paths.distinct().repartitionByRange("host", "path").withColumn("part", F.spark_partition_id()))
+    ends = sorted(dealt.groupBy("part").agg(F.min(F.struct("host", "path")).alias("low"), F.max(F.struct("host", "path")).alias("high")).collect())  # a row for each part
+    beyond = [(r["part"], *(ends[i - 1]["high"] if i else (None, None)), *(ends[i + 1]["low"] if i + 1 < len(ends) else (None, None))) for i, r in enumerate(ends)]
+    beyond = F.broadcast(dealt.sparkSession.createDataFrame(beyond, "part int, host_before string, path_before string, host_after string, path_after string"))
+    order = W.partitionBy("part").orderBy("host", "path")
+    known = dealt.select("*", *(f(c).over(order).alias(f"{n}_{c}") for f, n in ((F.lag, "lag"), (F.lead, "lead")) for c in ("host", "path"))).join(beyond, "part")
+    sides = []
+    for near, far in (("lag", "before"), ("lead", "after")):
+        inside = F.col(f"{near}_host").isNotNull()
+        host, path = (F.when(inside, F.col(f"{near}_{c}")).otherwise(F.col(f"{c}_{far}")) for c in ("host", "path"))
+        sides.append(F.when(host == F.col("host"), path).alias(far))
+    return known.select("host", "path", *sides).where("before is not null or after is not null").mapInArrow(_choose, "host string, path string, other string")
+
+
+LETTERS = {"article": "a", "main": "m", "open": "o", "links": "l", "off": "x"}
+PLACES = {v: k for k, v in LETTERS.items()}
+
+
+def _keys(lines: list[str]) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) - (1 << 63) for x in lines]
+
+
+def _hasher(batches):
+    for batch in batches:
+        keys = [_keys([t for t, _ in lines_of(html)]) for html in batch.column("html").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "path", "id")), pa.array(keys, pa.list_(pa.int64()))], names=["host", "path", "id", "keys"])
 
 
 def _reader(batches):
@@ -249,24 +275,21 @@ def _reader(batches):
         for html in batch.column("html").to_pylist():
             lines = lines_of(html)
             texts.append([t for t, _ in lines])
-            places.append([p for _, p in lines])
+            places.append("".join(LETTERS[p] for _, p in lines))
         kept = [c for c in batch.schema.names if c != "html"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.list_(pa.string()))], names=[*kept, "lines", "places"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.string())], names=[*kept, "lines", "places"])
 
 
-def _differ(table):
-    rows = sorted(table.to_pylist(), key=lambda r: (r["path"] or "", r["id"] is not None, r["id"] or 0, r["lines"]))
-    keys = [[xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) for x in r["lines"]] for r in rows]
-    paths = [r["path"] or "" for r in rows]
-    other = nearest(paths) if rows[0]["host"] else [None] * len(rows)
-    texts = []
-    for i, r in enumerate(rows):
-        shared = common_subsequence(keys[i], keys[other[i]]) if other[i] is not None else set()
-        if keys[i] and len(shared) >= SAME * max(len(keys[i]), len(keys[other[i]]) if other[i] is not None else 0):
-            shared = set()
-        texts.append("\n".join(main_lines(list(zip(r["lines"], r["places"], strict=True)), shared)))
-    ids = pa.array([r["id"] for r in rows], table.schema.field("id").type)
-    return pa.table({"id": ids, "url": pa.array([r["url"] for r in rows], pa.string()), "text": pa.array(texts, pa.string())})
+def _differ(batches):
+    for batch in batches:
+        texts = []
+        for lines, places, other in zip(*(batch.column(c).to_pylist() for c in ("lines", "places", "other_keys")), strict=True):
+            keys = _keys(lines)
+            shared = common_subsequence(keys, other) if other is not None else set()
+            if keys and len(shared) >= SAME * max(len(keys), len(other or ())):
+                shared = set()
+            texts.append("\n".join(main_lines([(t, PLACES[p]) for t, p in zip(lines, places, strict=True)], shared)))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
 
 def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -274,12 +297,14 @@ def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     path = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://[^/?#]*(/[^?#]*)?", 1), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     rows = rows.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit("")))
-    rows = rows.withColumn("path", path).withColumn("folder", F.regexp_extract("path", r"^(.*/)[^/]+/?$", 1))
-    large = rows.groupBy("host", "folder").agg(F.count("*").alias("n")).where(f"n > {PART}").select("host", "folder", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    if large.count() <= 1_000_000:
-        large = F.broadcast(large)
-    read = rows.join(large, ["host", "folder"], "left").withColumn("part", F.pmod(F.xxhash64("path", "id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    rows = rows.withColumn("path", path)
     kind = rows.schema["id"].dataType.simpleString()
-    read = read.mapInArrow(_reader, f"host string, folder string, id {kind}, url string, path string, part int, lines array<string>, places array<string>")
-    out = read.groupBy("host", "folder", "part").applyInArrow(_differ, f"id {kind}, url string, text string")
+    hosted = rows.where("host <> ''")
+    near = C.cut(nearest(hosted.select("host", "path")))
+    # Pages are read twice, which spares writing all lines once more.
+    hashed = hosted.select("host", "path", "id", "html").mapInArrow(_hasher, f"host string, path string, id {kind}, keys array<long>")
+    met = hashed.groupBy("host", "path").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "keys")).alias("least"))
+    others = near.join(met.select("host", F.col("path").alias("other"), F.col("least.keys").alias("other_keys")), ["host", "other"]).select("host", "path", "other_keys")
+    read = rows.mapInArrow(_reader, f"id {kind}, url string, host string, path string, lines array<string>, places string")
+    out = read.join(others, ["host", "path"], "left").select("id", "url", "lines", "places", "other_keys").mapInArrow(_differ, f"id {kind}, url string, text string")
     return out.select(F.col("id").alias(id_col), "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -152,6 +152,16 @@ def test_html(spark):
     assert got == {1: ("One & two", 9), 2: ("Three four", 10), 3: ("", 0), 4: ("H\nx y", 5), 5: ("", 0)}
 
 
+def test_html_nearest_of_the_whole_host(spark):
+    """Pages alone in their directory meet their neighbour, and so do those of large directories."""
+    page = "<html><body><div>Site frame</div><div>Series {0}</div><div>More of series {0}</div><div>{1}</div><div>{2}</div></body></html>"
+    urls = {i: f"http://a.org/2024/05/slug{i}/index.html" for i in range(6)} | {10 + i: f"http://b.org/all/{i // 2:03d}-{i % 2}.html" for i in range(200)}
+    series = {i: i // 2 if i >= 10 else 0 for i in urls}
+    rows = [(i, u, page.format(series[i], _own(2 * i, 9), _own(2 * i + 1, 9))) for i, u in urls.items()]
+    got = {r["page_id"]: r["text"] for r in html_text.html_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()}
+    assert got == {i: _own(2 * i, 9) + "\n" + _own(2 * i + 1, 9) for i in urls}
+
+
 def test_lcs():
     def length(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
