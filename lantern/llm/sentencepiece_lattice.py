@@ -5,10 +5,10 @@ A text is cut into words that no piece crosses. For the commonest words of the c
 to the longest piece are exploded, joined to the piece table, grouped by word and folded by
 Spark's higher-order `aggregate`. Rarer words, which a join would have to carry along with
 every occurrence, go through the same lattice and fold where their document is read, with
-a bounded memory of words already done.
+a bounded memory of words already done. Both give the same ids, so the bound changes no result.
 
 The fold follows the model: for unigram models it is Viterbi over piece scores; for BPE models
-the best-scored adjacent pair of edges is merged, leftmost first, until none is left, since
+the state is a set of cuts, and the best-scored edge over one cut is taken, leftmost first, until none is left, since
 Viterbi over BPE scores gives other ids than the model's own algorithm.
 
 Null texts have null ids and round_trip null; empty texts have no ids. Characters without a
@@ -32,13 +32,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut
+from .common import _BYTE, chunks, cut, mix, powers
 
 SPACE = "▁"
 WORD = f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
 NORMAL, UNKNOWN, BYTE, UNIGRAM, BPE = 1, 2, 6, 1, 2
 #: Words remembered in a task.
-REMEMBERED = 400_000
+REMEMBERED = 50_000
+#: Characters of a word whose places fit the bits of a long; longer words go where their document is read.
+LONGEST = 60
 NOTHING = -1e30
 
 
@@ -212,62 +214,64 @@ def escaped(text: Column, prefix: bool) -> Column:
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(word, edges): the pieces of each word as array<struct<start,piece,score,id>>, ordered. words: distinct."""
-    starts = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
-    spans = starts.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start") + 1))).alias("n"))
-    edges = spans.select("word", "start", F.substring("word", F.col("start"), F.col("n")).alias("piece")).join(F.broadcast(pieces), "piece", "left").where("id is not null or length(piece) = 1")
-    return edges.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("start", "piece", "score", "id"))).alias("edges"))
+    """(word, edges): the pieces of each word, best score first, then leftmost. words: distinct, of at most LONGEST characters.
 
-
-def _let(value: Column, use) -> Column:
-    """use(value), with value computed once: expressions in a lambda are evaluated at every mention."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    Places between characters are bits: an edge has those of its two ends, and those within.
+    """
+    starts = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("start"))
+    spans = starts.select("word", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("start")))).alias("n"))
+    spans = spans.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("n")))
+    edges = spans.join(F.broadcast(pieces), "piece", "left").where("id is not null or n = 1")
+    edge = F.expr(
+        "named_struct('far', far, 'start', start, 'n', n, 'ends', shiftleft(1L, start) | shiftleft(1L, start + n), 'within', shiftleft(shiftleft(1L, n - 1) - 1L, start + 1), 'id', coalesce(id, -1 - ascii(piece)))"
+    )
+    return edges.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
 
 
 def _merged(edges: Column, word: Column) -> Column:
-    """BPE: pieces of the word, by merging the best pair once for every character but the last."""
-    known = F.map_from_entries(F.array_distinct(F.transform(F.filter(edges, lambda e: e["id"].isNotNull()), lambda e: F.struct(e["piece"], e["score"]))))
-    chars = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(1)))
+    """BPE: ids of the word. The state is the bits of the places where it is still cut.
+
+    Each step takes the first edge of which both ends are cuts, with one cut within, and joins its two parts.
+    """
+    def ready(cuts: Column, e: Column) -> Column:
+        return (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["within"])) == 1)
 
-    def join(parts: Column, at: Column) -> Column:
-        return F.concat(F.slice(parts, F.lit(1), at - 1), F.array(F.concat(F.element_at(parts, at), F.element_at(parts, at + 1))), F.slice(parts, at + 2, F.size(parts)))
+    def step(cuts: Column, _: Column) -> Column:
+        best = F.get(F.filter(edges, lambda e: ready(cuts, e)), 0)
+        return cuts.bitwiseAND(F.bitwise_not(F.coalesce(best["within"], F.lit(0).cast("long"))))
 
-    def step(state: Column, _: Column) -> Column:
-        parts, score = state["parts"], state["known"]
-        pairs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.coalesce(F.try_element_at(score, F.concat(F.element_at(parts, i), F.element_at(parts, i + 1))), F.lit(NOTHING)))
-        merged = _let(pairs, lambda p: _let(F.array_max(p), lambda best: F.when(best > NOTHING, join(parts, F.array_position(p, best).cast("int"))).otherwise(parts)))
-        return F.struct(F.when(F.size(parts) > 1, merged).otherwise(parts).alias("parts"), score.alias("known"))
+    def path(cuts: Column) -> Column:
+        taken = F.filter(edges, lambda e: cuts.bitwiseAND(e["ends"].bitwiseOR(e["within"])) == e["ends"])
+        return F.transform(F.array_sort(F.transform(taken, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id")))), lambda e: e["id"])
 
-    first = F.struct(chars.alias("parts"), known.alias("known"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), first, step, lambda state: state["parts"])
+    whole = F.expr("shiftleft(1L, length(word) + 1) - 1L")
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1))), whole, step, path)
 
 
 def _best_path(edges: Column, word: Column, lowest: float) -> Column:
-    """Unigram: pieces of the word's best path. The state holds score and path of every place so far."""
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("path")))
+    """Unigram: ids of the word's best path (Viterbi). The state holds score and path of every place so far."""
+    first = F.array(F.struct(F.lit(0.0).alias("score"), F.array().cast("array<int>").alias("path")))
 
     def step(state: Column, end: Column) -> Column:
-        arriving = F.filter(edges, lambda e: e["start"] + F.length(e["piece"]) == end + 1)
-        ways = F.transform(arriving, lambda e: F.struct((F.element_at(state, e["start"])["score"] + F.coalesce(e["score"], F.lit(lowest))).alias("score"), F.negative(e["start"]).alias("order"), F.concat(F.element_at(state, e["start"])["path"], F.array(e["piece"])).alias("path")))
-        return _let(F.array_max(ways), lambda best: F.concat(state, F.array(F.struct(best["score"].alias("score"), best["path"].alias("path")))))
+        arriving = F.filter(edges, lambda e: e["start"] + e["n"] == end)
+        ways = F.transform(arriving, lambda e: F.struct((F.element_at(state, e["start"] + 1)["score"] + F.when(e["id"] < 0, F.lit(lowest)).otherwise(-e["far"])).alias("score"), F.negative(e["start"]).alias("order"), F.concat(F.element_at(state, e["start"] + 1)["path"], F.array(e["id"])).alias("path")))
+        return F.concat(state, F.transform(F.array(F.array_max(ways)), lambda best: F.struct(best["score"].alias("score"), best["path"].alias("path"))))
 
     return F.aggregate(F.sequence(F.lit(1), F.length(word)), first, step, lambda state: F.element_at(state, -1)["path"])
 
 
 def word_table(words: DataFrame, model: Model) -> DataFrame:
-    """(word, pieces) of distinct words, in DataFrame operations only."""
-    spark = words.sparkSession
-    rows = [(p, i, float(model.scores[i])) for p, i in model.id_of.items()]
-    pieces = spark.createDataFrame(rows, "piece string, id int, score double")  # as large as the model's vocabulary
-    held = lattice(words, pieces, model.longest)
-    fold = _merged(F.col("edges"), F.col("word")) if model.algorithm == BPE else _best_path(F.col("edges"), F.col("word"), min((s for _, _, s in rows), default=0.0) - 10.0)
-    return held.select("word", fold.alias("pieces"))
+    """(word, ids) of distinct words, in DataFrame operations only. A character without a piece is -1 less its code point."""
+    rows = [(p, i, -float(model.scores[i])) for p, i in model.id_of.items()]
+    pieces = words.sparkSession.createDataFrame(rows, "piece string, id int, far double")  # as large as the model's vocabulary
+    fold = _merged(F.col("edges"), F.col("word")) if model.algorithm == BPE else _best_path(F.col("edges"), F.col("word"), -max((s for _, _, s in rows), default=0.0) - 10.0)
+    return lattice(words, pieces, model.longest).select("word", fold.alias("ids"))
 
 
 def common(texts: DataFrame, model: Model, most: int) -> DataFrame:
     """(word): at most `most` of the corpus's commonest words: all that occur oftener than the rest."""
     words = texts.select(F.explode(F.regexp_extract_all(escaped(F.col("text"), model.prefix), F.lit(WORD), F.lit(0))).alias("word"))
-    counted = cut(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1 and length(word) <= 48"))
+    counted = cut(words.groupBy("word").agg(F.count("*").alias("n")).where(f"n > 1 and length(word) <= {LONGEST}"))
     sizes = counted.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count("*").alias("words"))
     least, total = None, 0
     for r in sorted(sizes.toLocalIterator(), key=lambda r: -r["n"]):
@@ -278,48 +282,155 @@ def common(texts: DataFrame, model: Model, most: int) -> DataFrame:
     return counted.where(F.col("n") >= least).select("word") if least else counted.where("false").select("word")
 
 
+# -- texts as bytes ------------------------------------------------------------------------
+
+
+def split_words(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Places where words start (see WORD), in bytes in which a space is a space. begins: where texts do."""
+    space, line = data == 32, data == 10
+    start = line | (space & ~np.concatenate([[False], space[:-1]])) | (~space & np.concatenate([[True], line[:-1]]))
+    start[begins[begins < data.size]] = True
+    return np.flatnonzero(start)
+
+
+def word_keys(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words that start there and end where the next one starts."""
+    power, inverse = powers(data.size)
+    total = np.zeros(data.size + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[data] * power[: data.size], out=total[1:])
+    return mix((total[np.append(start[1:], data.size)] - total[start]) * inverse[start]) if start.size else np.zeros(0, np.uint64)
+
+
+def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] of them), first[1], ..."""
+    ends = np.cumsum(count)
+    return np.arange(ends[-1] if ends.size else 0) + np.repeat(first - (ends - count), count)
+
+
+class WordIds:
+    """Word hashes, sorted, and their ids. Lookups start at the first key of the same leading bits."""
+
+    def __init__(self, keys: np.ndarray, count: np.ndarray, ids: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        first = (np.cumsum(count) - count)[order]
+        self.keys, self.count = np.append(keys[order], np.uint64(2**64 - 1)), count[order]
+        self.ids = ids[ragged(first, self.count)].astype(np.int32)
+        self.first = np.cumsum(self.count) - self.count
+        self.shift = np.uint64(64 - max(4, int(keys.size).bit_length()))
+        self.at = np.searchsorted(self.keys[:-1], np.arange(1 << int(64 - self.shift), dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 where there is none."""
+        at = self.at[(keys >> self.shift).astype(np.int64)]
+        todo = np.flatnonzero(self.keys[at] < keys)
+        while todo.size:
+            at[todo] += 1
+            todo = todo[self.keys[at[todo]] < keys[todo]]
+        return np.where((self.keys[at] == keys) & (at < self.count.size), at, -1)
+
+
+def _packed(model: Model):
+    """Hashes, numbers of ids and ids of the word table's rows, as one row for each batch."""
+
+    def run(batches):
+        for batch in batches:
+            words = [w.replace(SPACE, " ").encode() for w in batch.column("word").to_pylist()]
+            size = np.array([len(w) for w in words], dtype=np.int64)
+            keys = word_keys(np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum(size) - size)
+            ids = [[y for i in x for y in ([i] if i >= 0 else model.spell(chr(-1 - i)))] for x in batch.column("ids").to_pylist()]
+            count = np.array([len(x) for x in ids], dtype=np.int32)
+            flat = np.array([i for x in ids for i in x], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (keys, count, flat)], names=["keys", "count", "ids"])
+
+    return run
+
+
+class Spelling:
+    """The bytes of each piece, for decoding many ids at once."""
+
+    def __init__(self, model: Model):
+        own = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() for p, k in zip(model.pieces, model.kinds, strict=True)]
+        self.count = np.array([len(x) for x in own], dtype=np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.bytes = np.frombuffer(b"".join(own), dtype=np.uint8)
+
+    def spell(self, ids: np.ndarray) -> np.ndarray:
+        return self.bytes[ragged(self.first[ids], self.count[ids])]
+
+
+def code(texts: list[str], encoder: Encoder, table: WordIds, spelling: Spelling, memory: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, number of ids of each text, whether decoding gives the text back)."""
+    model = encoder.model
+    raw = [((" " if model.prefix and t else "") + t).encode("utf-8", "replace") for t in texts]
+    if marked := [SPACE in t for t in texts]:
+        raw = [x.replace(SPACE.encode(), b" ") if m else x for x, m in zip(raw, marked, strict=True)]
+    size = np.array([len(x) for x in raw], dtype=np.int64)
+    begins = np.cumsum(size) - size
+    buffer = b"".join(raw)
+    data = np.frombuffer(buffer, dtype=np.uint8)
+    start = split_words(data, begins[size > 0])
+    at = table.find(word_keys(data, start))
+    known = at >= 0
+    count = np.zeros(start.size, dtype=np.int64)
+    count[known] = table.count[at[known]]
+    rare = np.flatnonzero(~known)
+    end = np.append(start[1:], data.size)
+    found = []
+    for a, b in zip(start[rare].tolist(), end[rare].tolist(), strict=True):
+        w = buffer[a:b]
+        got = memory.get(w)
+        if got is None:
+            if len(memory) >= REMEMBERED:
+                memory.clear()
+            got = memory[w] = encoder.ids(w.decode().replace(" ", SPACE))
+        found.append(got)
+    count[rare] = [len(x) for x in found]
+    first = np.zeros(start.size, dtype=np.int64)
+    first[known] = table.first[at[known]]
+    extra = np.array([i for x in found for i in x], dtype=np.int32)
+    first[rare] = np.cumsum(count[rare]) - count[rare]
+    place, from_table = ragged(first, count), np.repeat(known, count)
+    ids = np.empty(place.size, dtype=np.int32)
+    ids[from_table] = table.ids[place[from_table]]
+    ids[~from_table] = extra[place[~from_table]]
+    total = np.concatenate([[0], np.cumsum(count)])
+    edge = total[np.searchsorted(start, np.append(begins, data.size))]
+    n = np.diff(edge)
+    back = spelling.spell(ids)
+    sized = np.concatenate([[0], np.cumsum(spelling.count[ids])])
+    if (np.diff(sized[edge]) == size).all():
+        wrong = np.searchsorted(begins + size, np.flatnonzero(back != data), side="right")
+        good = np.ones(len(texts), dtype=bool)
+        good[wrong] = False
+        good &= ~np.array(marked, dtype=bool)
+    else:  # an unknown character without bytes
+        good = np.array([model.decode(ids[a:b].tolist()) == t for a, b, t in zip(edge[:-1], edge[1:], texts, strict=True)], dtype=bool)
+    return ids, n, good
+
+
 def _encoder(model: Model, known):
     def run(batches):
-        encoder, find = Encoder(model), re.compile(WORD).findall
-        table = known.value
-        memory: dict[str, list[int]] = {}
+        encoder, spelling, table, memory = Encoder(model), Spelling(model), known.value, {}
         for batch in batches:
-            ids, ok = [], []
-            for text in batch.column("text").to_pylist():
-                if text is None:
-                    ids.append(None)
-                    ok.append(None)
-                    continue
-                out: list[int] = []
-                for w in find(model.escape(text)):
-                    got = table.get(w)
-                    if got is None:
-                        got = memory.get(w)
-                        if got is None:
-                            if len(memory) >= REMEMBERED:
-                                memory.clear()
-                            got = memory[w] = encoder.ids(w)
-                    out += got
-                ids.append(np.array(out, dtype=np.int32))
-                ok.append(model.decode(out) == text)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array(ok, pa.bool_())], names=["id", "ids", "round_trip"])
+            texts = batch.column("text").to_pylist()
+            for a, b in chunks(texts):
+                none = np.array([t is None for t in texts[a:b]], dtype=bool)
+                ids, n, good = code([t or "" for t in texts[a:b]], encoder, table, spelling, memory)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(ids), mask=pa.array(none)), pa.array(good, mask=none)], names=["id", "ids", "round_trip"])
 
     return run
 
 
-def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", common_words: int = 65_536) -> DataFrame:
+def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", common_words: int = 1_000_000) -> DataFrame:
     """(id, ids, n_ids, round_trip) of every row."""
     spark: SparkSession = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    table = word_table(common(rows, model, common_words), model).toLocalIterator()
-    known = {}
-    for r in table:
-        out: list[int] = []
-        for p in r["pieces"]:
-            i = model.id_of.get(p)
-            out += model.spell(p) if i is None else [i]
-        known[r["word"]] = out
-    coded = rows.mapInArrow(_encoder(model, spark.sparkContext.broadcast(known)), f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, round_trip boolean")
+    # About 30 bytes for each of common_words at most.
+    parts = word_table(common(rows, model, common_words), model).mapInArrow(_packed(model), "keys binary, count binary, ids binary").collect()
+    held = WordIds(*(np.frombuffer(b"".join(bytes(r[c]) for r in parts), dtype=kind) for c, kind in (("keys", np.uint64), ("count", np.int32), ("ids", np.int32))))
+    del parts
+    coded = rows.mapInArrow(_encoder(model, spark.sparkContext.broadcast(held)), f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, round_trip boolean")
     return coded.select(F.col("id").alias(id_col), "ids", F.when(F.col("ids").isNull(), None).otherwise(F.size("ids")).alias("n_ids"), "round_trip")
 
 

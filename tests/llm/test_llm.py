@@ -254,10 +254,11 @@ def test_sentencepiece_equals_the_library(spark):
 
     model, lib = sentencepiece_lattice.Model.load(TOKENIZER), sentencepiece.SentencePieceProcessor(model_file=TOKENIZER)
     texts = ["hello world", " a", "a  b", "a\nb", "\n", "", "a\tb ", "日本語𠀀", "x" * 200 + " " * 7 + "foo\n\n bar", None] + [r["text"] for r in docs(spark).limit(40).collect()]
-    coded = sentencepiece_lattice.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, common_words=300)
-    got = {r["doc_id"]: r for r in coded.collect()}
-    for i, t in enumerate(texts):
-        assert got[i]["ids"] == (None if t is None else lib.encode(t)) and got[i]["round_trip"] is (None if t is None else True)
+    for most in (0, 300, 1_000_000):
+        coded = sentencepiece_lattice.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, common_words=most)
+        got = {r["doc_id"]: r for r in coded.collect()}
+        for i, t in enumerate(texts):
+            assert got[i]["ids"] == (None if t is None else lib.encode(t)) and got[i]["round_trip"] is (None if t is None else True)
     back = {r["doc_id"]: r["decoded"] for r in sentencepiece_lattice.decode(coded, model).collect()}
     assert [back[i] for i in range(len(texts))] == texts
 
@@ -268,7 +269,8 @@ def test_unigram_lattice(spark):
     model = sentencepiece_lattice.Model(pieces, scores, [2] + [1] * 8)
     held = ["▁abab", "▁abc", "ba", "▁", "aabba"]
     one = sentencepiece_lattice.Encoder(model)
-    got = {r["word"]: r["pieces"] for r in sentencepiece_lattice.word_table(spark.createDataFrame([(w,) for w in held], "word string"), model).collect()}
+    found = sentencepiece_lattice.word_table(spark.createDataFrame([(w,) for w in held], "word string"), model).collect()
+    got = {r["word"]: [chr(-1 - i) if i < 0 else pieces[i] for i in r["ids"]] for r in found}
 
     def total(parts):
         return sum(one.score.get(p, -14.0) for p in parts)
@@ -329,3 +331,16 @@ def test_odd_rows(spark, empty):
     assert licenses.license_scan(d).count() == n
     assert sentencepiece_lattice.encode(d, sentencepiece_lattice.Model.load(TOKENIZER)).count() == n
     assert line_dedup.line_dedup(d).count() == n
+
+
+def test_sentencepiece_on_the_tables(spark):
+    """Every text of a table, and the escape character in a text."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=TOKENIZER)
+    model = sentencepiece_lattice.Model.load(TOKENIZER)
+    rows = {r["doc_id"]: r["text"] for r in docs(spark).select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r for r in sentencepiece_lattice.encode(docs(spark), model).collect()}
+    assert {i: r["ids"] for i, r in got.items()} == {i: None if t is None else lib.encode(t) for i, t in rows.items()}
+    odd = sentencepiece_lattice.encode(spark.createDataFrame([(1, "a▁b c"), (2, "a b c")], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert odd[0]["round_trip"] is False and odd[1]["round_trip"] is True and odd[0]["ids"] == odd[1]["ids"]
