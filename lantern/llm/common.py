@@ -6,10 +6,15 @@ Every byte of a non-ASCII UTF-8 character is a word byte, so words are found on
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lantern.plans.lineage import cut
+
 #: Bytes of a text that are hashed at once; bounds the memory of a task, not the text.
 CHUNK_BYTES = 1 << 18
 
@@ -18,18 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared folder; set one of our own only where none is set, as in tests."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or "/tmp/checkpoints/lantern")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def trim() -> None:
+    """Give memory that a task has freed back to the machine; workers live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+    if release := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+        release(0)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

@@ -305,17 +305,65 @@ def test_line_dedup_blocks(spark):
     assert got == {i: ("\n".join(t.split("\n")[3:5]), 7) if i < 100 else (t, 0) for i, t in rows}
 
 
-def test_line_dedup_by_brute_force(spark):
-    """With whole-line templates, as a plain count of documents and surroundings."""
+def brute_recurring(texts, min_docs, depth=3, similarity=0.7, alike=0.8):
+    """Masked lines that recur, by comparing all pairs of lines of a leaf and all pairs of texts."""
+    def joined(items, linked):
+        root = {x: x for x in items}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for n, a in enumerate(items):
+            for b in items[n + 1 :]:
+                if linked(a, b):
+                    root[max(find(a), find(b))] = min(find(a), find(b))
+        return {x: find(x) for x in items}
+
+    lines = {t: {tuple(w) for w in map(line_dedup.masked, t.split("\n")) if w} for t in set(texts) if t}
+    leaves = collections.defaultdict(set)
+    for own in lines.values():
+        for w in own:
+            leaves[len(w), w[:depth]].add(w)
+    template = {}
+    for held in leaves.values():
+        template |= joined(sorted(held), lambda a, b: sum(x == y for x, y in zip(a, b, strict=True)) >= similarity * len(a) - 1e-9)
+    weight = {t: {template[w]: len(w) for w in own} for t, own in lines.items()}
+
+    def near(a, b):
+        both = sum(n for t, n in weight[a].items() if t in weight[b])
+        return both and both >= alike * (sum(weight[a].values()) + sum(weight[b].values()) - both)
+
+    group = joined(sorted(lines), near)
+    seen = collections.defaultdict(set)
+    for t, own in weight.items():
+        for x in own:
+            seen[x].add(group[t])
+    return {w for w, t in template.items() if len(seen[t]) >= min_docs}
+
+
+@pytest.mark.parametrize("most_keys", [0, 1000])
+def test_line_dedup_by_brute_force(spark, most_keys):
     held = [(r["doc_id"], r["text"]) for r in docs(spark).select("doc_id", "text").collect()]
-    got = {r["doc_id"]: r["lines_dropped"] for r in line_dedup.line_dedup(spark.createDataFrame(held, "doc_id long, text string"), min_docs=3, similarity=1.0).collect()}
-    seen, where = collections.defaultdict(dict), {}
-    for t in {t for _, t in held if t}:
-        where[t] = line_dedup.parse(t, 3)
-        for _, line, _, around, _ in where[t]:
-            seen[line][t] = min(around, seen[line].get(t, around))
-    bad = {x for x, d in seen.items() if len(set(d.values())) >= 3 and len(set(d.values())) >= 0.25 * len(d)}
-    assert got == {i: sum(line in bad for _, line, *_ in where.get(t, [])) for i, t in held} and any(got.values())
+    got = {r["doc_id"]: (r["text"], r["lines_dropped"]) for r in line_dedup.line_dedup(spark.createDataFrame(held, "doc_id long, text string"), min_docs=3, most_keys=most_keys).collect()}
+    bad = brute_recurring([t for _, t in held], 3)
+    assert bad
+    for i, t in held:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if tuple(line_dedup.masked(x)) not in bad]
+        assert got[i] == (t if t is None else "\n".join(kept), len(lines) - len(kept))
+
+
+def test_line_dedup_blocks_of_lines(spark, monkeypatch):
+    """A leaf of many lines gives what a small one does."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    rows = [(i, "\n".join(f"Seen by all {w} of the big old town {_own(1000 + i, 1)}" for w in rng.choice(["ada", "bob", "cy", "di"], 2)) + f"\n{_own(i, 60)}") for i in range(60)]
+    got = {r["doc_id"]: (r["text"], r["lines_dropped"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    bad = brute_recurring([t for _, t in rows], 5)
+    assert got == {i: ("\n".join(x for x in t.split("\n") if tuple(line_dedup.masked(x)) not in bad), sum(tuple(line_dedup.masked(x)) in bad for x in t.split("\n"))) for i, t in rows}
+    assert all(n == 2 for _, n in got.values())
 
 
 @pytest.mark.parametrize("empty", [False, True])
