@@ -8,39 +8,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.llm import sentencepiece_lattice, toxicity
-from lantern.llm.decontaminate import contaminated
-from lantern.llm.jaccard_join import jaccard_join
+from lantern.llm import decontaminate, jaccard_join, sentencepiece_lattice, toxicity
 from lantern.llm.line_dedup import line_dedup
 from lantern.llm.queries import TOKENIZER
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score of 0.7 or more go. Ids that repeat go together."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = toxicity.score(docs, model).where("predicted = 1").select("doc_id")
-    return docs.join(rejected.distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows with a score of 0.7 or more go; null and empty texts stay."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def remove_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays, without the lines whose template recurs; n_chars follows the text."""
+    """Every row stays, without the lines whose template recurs; n_chars, if there, follows the text."""
     kept = line_dedup(docs)
-    return kept.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.select(docs.columns)
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays."""
-    gone = jaccard_join(docs).where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(docs.columns)
+    """One row of each group stays, that of the smallest id; so do rows without an id or without words."""
+    return jaccard_join.keep_one(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id")
-    return docs.join(found.distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold a passage of the benchmark go."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every row; null texts have null ids."""
     return sentencepiece_lattice.encode(docs, sentencepiece_lattice.Model.load(TOKENIZER))
 
 

@@ -177,8 +177,9 @@ def find(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int]]
 FOUND = "item_id long, start int, end int, edits int"
 
 
-def _searcher(items: Items):
+def _searcher(held):
     def run(batches):
+        items = held.value
         for batch in batches:
             texts = [normal(t) for t in batch.column("text").to_pylist()]
             found = find(texts, items)
@@ -189,17 +190,41 @@ def _searcher(items: Items):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.08) -> DataFrame:
-    """(id, item_id, start, end, edits): the best occurrence of each item in each document, by places in the normal text."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, rate: float):
+    """The benchmark's items in blocks of about BLOCK_CHARS, each a broadcast. An item is whole, whatever its length."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).where("length(text) > 0")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    out = None
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text").collect()  # about BLOCK_CHARS at most
-        held = [(r["item"], t) for r in part if (t := normal(r["text"]))]
-        found = rows.mapInArrow(_searcher(Items(held, rate)), f"id {kind}, {FOUND}")
+        yield spark.sparkContext.broadcast(Items([(r["item"], t) for r in part if (t := normal(r["text"]))], rate))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.08) -> DataFrame:
+    """(id, item_id, start, end, edits): the best occurrence of each item in each document, by places in the normal text."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    out = None
+    for items in _blocks(benchmark, item_col, item_text_col, rate):
+        found = rows.mapInArrow(_searcher(items), f"id {kind}, {FOUND}")
         out = found if out is None else out.union(found)
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.08) -> DataFrame:
+    """The rows of docs that hold no item, as they are; each is judged where it is read."""
+
+    def keeper(items):
+        def run(batches):
+            for batch in batches:
+                texts = [normal(t) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+                clean = np.ones(len(texts), dtype=bool)
+                clean[[f[0] for f in find(texts, items.value)]] = False
+                yield batch.filter(pa.array(clean))
+
+        return run
+
+    for items in _blocks(benchmark, item_col, item_text_col, rate):
+        docs = docs.mapInArrow(keeper(items), docs.schema)
+    return docs

@@ -47,7 +47,7 @@ def least_matches(threshold: float, tolerance: float, size: int, step: int) -> l
 def _signer(n: int):
     def sign(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            ids, names, texts = batch.column("id"), batch.column("name"), batch.column("text").to_pylist()
             for a, b in C.chunks(texts):
                 docs, hashes = C.shingles(texts[a:b], n)
                 count = np.bincount(docs, minlength=b - a)
@@ -62,8 +62,9 @@ def _signer(n: int):
                 where = pa.array(np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32))
                 none = pa.array(~has)
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(a, b - a), pa.array(two[0], mask=~has), pa.array(two[1], mask=~has), pa.array(count.astype(np.int32)), pa.ListArray.from_arrays(where, flat, mask=none),
-                ], names=["id", "k1", "k2", "n", "bands"])
+                    ids.slice(a, b - a), names.slice(a, b - a), pa.array(two[0], mask=~has), pa.array(two[1], mask=~has), pa.array(count.astype(np.int32)), pa.ListArray.from_arrays(where, flat, mask=none),
+                ], names=["id", "name", "k1", "k2", "n", "bands"])
+        C.trim()
 
     return sign
 
@@ -83,6 +84,7 @@ def _shingler(n: int):
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(docs_n)]).astype(np.int32)), pa.array(hashes.view(np.int64))),
                     pa.array([x.tobytes() for x in signature], pa.binary()), pa.array([x.tobytes() for x in C.band_keys(signature, ROWS)], pa.binary()),
                 ], names=["own", "node", "copies", "grams", "signature", "keys"])
+        C.trim()
 
     return make
 
@@ -151,9 +153,9 @@ def _comparer(threshold: float, tolerance: float, step: int):
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-7, step: int = 16) -> DataFrame:
-    """(id, class_id, n_links, kept): the smallest id of each group, links to other rows, and id = class_id."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = C.cut(texts.mapInArrow(_signer(n), "id long, k1 long, k2 long, n int, bands array<long>"))
+    """(id, class_id, n_links, kept, text_key): the smallest id of each group, links to other rows, id = class_id, and the text's xxhash64."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("name"), F.col(text_col).alias("text"))
+    signed = C.cut(texts.mapInArrow(_signer(n), "id long, name long, k1 long, k2 long, n int, bands array<long>"))
     # Equal sets have equal k1 and k2; k1 names the class from here on.
     classes = C.cut(
         signed.where("n > 0 and id is not null").groupBy("k1", "k2")
@@ -173,7 +175,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = classes.join(met.select("node").distinct(), "node", "left_semi").select("rep", "node", "copies")
     if wanted.count() <= 1_000_000:  # 24 bytes each
         wanted = F.broadcast(wanted)
-    sources = texts.join(wanted, texts["id"] == wanted["rep"]).select("node", "copies", "text")
+    sources = texts.drop("name").join(wanted, texts["id"] == wanted["rep"]).select("node", "copies", "text")
     grams = (
         sources.mapInArrow(_shingler(n), "own long, node long, copies long, grams array<long>, signature binary, keys binary")
         .where("own = node").drop("own").dropDuplicates(["node"])
@@ -188,9 +190,28 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     smallest = groups.join(classes, "node").groupBy("component").agg(F.min("rep").alias("class_id"))
     found = classes.select("node", "k2", "rep", "copies").join(links, "node", "left").join(groups.join(smallest, "component"), "node", "left")
     found = found.select(F.col("node").alias("k1"), "k2", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    named = signed.where("n > 0 and id is not null").select("id", "k1", "k2").join(found, ["k1", "k2"]).select("id", "class_id", "n_links")
-    alone = signed.where("n = 0 or id is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return named.union(alone).select(F.col("id").alias(id_col), "class_id", "n_links", F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)).alias("kept"))
+    named = signed.where("n > 0 and id is not null").select("id", "name", "k1", "k2").join(found, ["k1", "k2"]).select("id", "name", "class_id", "n_links")
+    alone = signed.where("n = 0 or id is null").select("id", "name", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return named.union(alone).select(F.col("id").alias(id_col), "class_id", "n_links", F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)).alias("kept"), F.col("name").alias("text_key"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs of each group: with the smallest id, and of that with the smallest text key.
+
+    Rows without an id or without words stay, all of them.
+    """
+    found = C.cut(jaccard_join(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("_id"), F.col("text_key").alias("_key"), "class_id", "kept").where("_id is not null"))
+    one = found.where("kept").groupBy("class_id").agg(F.min("_key").alias("one"))
+    several = C.cut(found.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").join(one, "class_id").select("class_id", "one"))
+    gone = C.cut(found.join(several, "class_id").where("_id <> class_id or _key <> one").select("_id", "_key").distinct())
+    again = C.cut(found.join(several, "class_id").where("_id = class_id and _key = one").groupBy("_id", "_key").agg(F.count("*").alias("n")).where("n > 1").select("_id", "_key"))
+    keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_key", F.xxhash64(text_col))
+    few = gone.count() <= 1_000_000  # 16 bytes each
+    kept = keyed.join(F.broadcast(gone) if few else gone, ["_id", "_key"], "left_anti")
+    if not again.isEmpty():  # equal rows
+        once = kept.join(again, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+        kept = kept.join(again, ["_id", "_key"], "left_anti").unionByName(once)
+    return kept.select(docs.columns)
 
 
 ORACLE = r"""

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE, chunks, cut, mix, powers
+from .common import _BYTE, chunks, cut, mix, powers, trim
 
 SPACE = "▁"
 WORD = f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
@@ -418,6 +418,7 @@ def _encoder(model: Model, known):
                 ids, n, good = code([t or "" for t in texts[a:b]], encoder, table, spelling, memory)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(ids), mask=pa.array(none)), pa.array(good, mask=none)], names=["id", "ids", "round_trip"])
+        trim()
 
     return run
 

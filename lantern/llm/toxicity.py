@@ -1,11 +1,13 @@
 """Toxicity by a linear-chain conditional random field over words.
 
-Training happens on the driver, on a bounded sample of labelled documents (`max_train` of
-each label, chosen by a hash of the id). Labels mark documents, so token labels come first:
+Training happens in one task, on a bounded sample of labelled documents: `max_train` documents and
+`max_chars` characters of each label at most (but for one text), chosen by a hash of id and text. The driver sees
+the model alone. Labels mark documents, so token labels come first:
 words, and word beginnings of 4 and 6 bytes, that are significantly commoner in documents
 labelled 1 mark the tokens. One document of each group of near copies counts. The CRF (tags
 O and T; features word, beginnings, transitions) is then fitted to these tags by gradient
-ascent on the conditional likelihood.
+ascent on the conditional likelihood, on stretches of SEGMENT words; those without evidence differ in
+length alone and are counted by it.
 
 Scoring: only words with a learned feature have evidence; stretches between them are powers
 of the transition matrix, so forward and backward run over the few words that matter.
@@ -20,6 +22,8 @@ each. Without labels of both kinds every score is 0. Other columns of the input
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -92,26 +96,9 @@ class Crf:
             out.append(col)
         return np.stack(out, 1)
 
-    def fit(self, cols: np.ndarray, tags: np.ndarray, doc: np.ndarray, steps: int = 80, rate: float = 0.3, l2: float = 1e-3) -> None:
-        """Full-batch Adam on segments of SEGMENT words, which bounds the memory of a step."""
-        none = len(self.keys)
-        starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        place = np.arange(doc.size) - np.repeat(starts, np.diff(np.append(starts, doc.size)))
-        segment = np.cumsum((place % SEGMENT == 0)) - 1
-        use = np.unique(segment[(cols < none).any(1)])  # segments without evidence stand for themselves by weight
-        empty = segment[-1] + 1 - use.size
-        rest = np.setdiff1d(np.arange(segment[-1] + 1), use)[:: max(1, empty // 256)]
-        scale = np.concatenate([np.ones(use.size), np.full(rest.size, empty / max(1, rest.size))])
-        use = np.concatenate([use, rest])
-        row = np.full(segment[-1] + 1, -1)
-        row[use] = np.arange(use.size)
-        keep = row[segment] >= 0
-        r, p = row[segment[keep]], place[keep] % SEGMENT
-        n = use.size
-        x = np.full((n, SEGMENT, cols.shape[1]), none, dtype=np.int32)
-        y = np.zeros((n, SEGMENT), dtype=np.int8)
-        mask = np.zeros((n, SEGMENT), dtype=bool)
-        x[r, p], y[r, p], mask[r, p] = cols[keep], tags[keep], True
+    def fit(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray, scale: np.ndarray, steps: int = 80, rate: float = 0.3, l2: float = 1e-3) -> None:
+        """Full-batch Adam. x: features of the words of each segment, y: their tags, mask: which are there, scale: how often."""
+        none, n = len(self.keys), len(x)
         theta = np.concatenate([np.zeros(none), [self.bias], np.zeros(4)])
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         both = mask[:, 1:] & mask[:, :-1]
@@ -212,28 +199,49 @@ class Crf:
         self.calibration = c
 
 
-def train(rows: list[tuple[str, int]], share: dict[int, float]) -> Crf | None:
-    """share: the part of each label's documents that is in rows."""
-    texts, toxic = [t or "" for t, _ in rows], np.array([bool(x) for _, x in rows])
+def segments(cols: np.ndarray, tags: np.ndarray, doc: np.ndarray, none: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features, tags and mask of the segments with evidence, and how many of the others have each length."""
+    starts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    place = np.arange(doc.size) - np.repeat(starts, np.diff(np.append(starts, doc.size)))
+    segment = np.cumsum(place % SEGMENT == 0) - 1
+    has = np.zeros(segment[-1] + 1, dtype=bool)
+    has[segment[(cols < none).any(1)]] = True
+    row, n = np.cumsum(has) - 1, has.sum()
+    keep = has[segment]
+    r, p = row[segment[keep]], place[keep] % SEGMENT
+    x, y, mask = np.full((n, SEGMENT, cols.shape[1]), none, dtype=np.int32), np.zeros((n, SEGMENT), dtype=np.int8), np.zeros((n, SEGMENT), dtype=bool)
+    x[r, p], y[r, p], mask[r, p] = cols[keep], tags[keep], True
+    return x, y, mask, np.bincount(np.bincount(segment, minlength=has.size)[~has], minlength=SEGMENT + 1)
+
+
+def train(texts: list[str | None], labels: list[int], weights: list[float]) -> Crf | None:
+    """weights: how many documents each text stands for."""
+    texts, toxic, weight = [t or "" for t in texts], np.array(labels, dtype=bool), np.array(weights, dtype=float)
     if not toxic.any() or toxic.all():
         return None
     own = near_copy_representatives(texts)
-    texts, toxic = [texts[i] for i in own], toxic[own]
+    texts, toxic, weight = [texts[i] for i in own], toxic[own], weight[own]
     model = Crf(np.sort(indicators(texts, toxic)))
-    cols, doc = [np.zeros((0, 1 + len(PREFIXES)), np.int32)], [np.zeros(0, int)]
+    none = len(model.keys)
+    held, empty = [], np.zeros(SEGMENT + 1, dtype=np.int64)
     for first, last in C.chunks(texts):
         words = C.Words(texts[first:last], PREFIXES)
-        cols.append(model.columns(words))
-        doc.append(words.doc + first)
-    cols, doc = np.concatenate(cols), np.concatenate(doc)
-    tags = ((cols < len(model.keys)).any(1) & toxic[doc]).astype(np.int8)
-    if len(model.keys) and tags.any():
-        model.fit(cols, tags, doc)
+        if words.doc.size:
+            cols = model.columns(words)
+            *found, without = segments(cols, ((cols < none).any(1) & toxic[words.doc + first]).astype(np.int8), words.doc, none)
+            held.append(found)
+            empty += without
+    if held and sum(y.sum() for _, y, _ in held):
+        lengths = np.flatnonzero(empty)
+        x, y, mask = (np.concatenate(parts) for parts in zip(*held, strict=True))
+        x = np.concatenate([x, np.full((lengths.size, *x.shape[1:]), none, dtype=np.int32)])
+        y = np.concatenate([y, np.zeros((lengths.size, SEGMENT), dtype=np.int8)])
+        mask = np.concatenate([mask, np.arange(SEGMENT) < lengths[:, None]])
+        model.fit(x, y, mask, np.concatenate([np.ones(len(x) - lengths.size), empty[lengths]]))
     sums, tops = np.zeros(len(texts)), np.zeros(len(texts))
     for first, last in C.chunks(texts):
         for d, _, p in model.tag(C.Words(texts[first:last], PREFIXES)):
             sums[first + d], tops[first + d] = p.sum(), p.max()
-    weight = np.where(toxic, 1 / max(share.get(1, 1), 1e-9), 1 / max(share.get(0, 1), 1e-9))
     model.calibrate(sums, tops, toxic.astype(float), weight / weight.mean())
     return model
 
@@ -242,19 +250,53 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 2000) -> Crf | None:
-    """Learn from at most about max_train documents of each label, none of them held out."""
+def _trainer(batches):
+    rows = [batch.select(["text", "y", "weight"]).to_pydict() for batch in batches]
+    model = train(*([x for r in rows for x in r[c]] for c in ("text", "y", "weight")))
+    held = (model.keys, model.weight, model.bias, model.trans, model.calibration) if model else None
+    C.trim()
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(held)], pa.binary())], names=["model"])
+
+
+def _share(y: Column, most: dict[int, float], seed: int) -> Column:
+    """Which rows of a label to take, by a hash of id and text."""
+    chance = F.pmod(F.xxhash64("id", "text" if seed == 7 else F.lit(0), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    keep = F.lit(False)
+    for label, share in most.items():
+        keep = keep | ((y == label) & (chance < share))
+    return keep
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = 2000, max_chars: int = 16_000_000) -> Crf | None:
+    """Learn from a bounded sample of labelled documents, none of them held out."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id is not null and y is not null")
     known = known.groupBy("id").agg(F.max("y").cast("int").alias("y")).where(~held_out(F.col("id")))
     total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    share = {y: min(1.0, max_train / n) for y, n in total.items()}
-    chance = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) / 1_000_000
-    keep = F.lit(False)
-    for y, s in share.items():
-        keep = keep | ((F.col("y") == y) & (chance < s))
-    chosen = known.where(keep)  # about 2 * max_train rows of 12 bytes
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").orderBy("id", "text").select("text", "y").collect()
-    return train([(r["text"], r["y"]) for r in rows], share)
+    ids = {y: min(1.0, max_train / n) for y, n in total.items()}
+    chosen = known.where(_share(F.col("y"), ids, 5))  # about 2 * max_train rows of 12 bytes
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # Ids may repeat and texts be long.
+    sizes = rows.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).collect()
+    texts = {r["y"]: min(1.0, 1.25 * max_train / r["n"], max_chars / max(1, r["chars"] or 0)) for r in sizes}
+    weight = F.lit(1.0)
+    for y, share in texts.items():
+        weight = F.when(F.col("y") == y, 1 / (ids[y] * share)).otherwise(weight)
+    sample = rows.where(_share(F.col("y"), texts, 7)).select("id", "text", "y", weight.alias("weight"))
+    found = sample.coalesce(1).sortWithinPartitions("id", "text").select("text", "y", "weight").mapInArrow(_trainer, "model binary").first()
+    held = pickle.loads(bytes(found["model"])) if found else None
+    if held is None:
+        return None
+    model = Crf(held[0])
+    model.weight, model.bias, model.trans, model.calibration = held[1:]
+    return model
+
+
+def _places(text: str):
+    """From places in the lower-cased text to those in the text; lower case can be longer."""
+    if len(text.lower()) == len(text):
+        return lambda k: k
+    ends = np.cumsum([len(c.lower()) for c in text])
+    return lambda k: int(np.searchsorted(ends, k, side="right"))
 
 
 def _scorer(model: Crf | None):
@@ -268,11 +310,12 @@ def _scorer(model: Crf | None):
                     words = C.Words(texts[a:b], PREFIXES)
                     for d, at, p in model.tag(words):
                         score[d] = model.score(p)
+                        place = _places(texts[a + d])
                         for i, q in zip(at[p >= 0.5], p[p >= 0.5], strict=True):
                             base = words.offset[d]
                             start = len(words.buffer[base : words.start[i]].decode("utf-8", "replace"))
-                            word = words.buffer[words.start[i] : words.end[i]].decode("utf-8", "replace")
-                            spans[d].append({"start": start, "end": start + len(word), "marginal": float(q)})
+                            end = start + len(words.buffer[words.start[i] : words.end[i]].decode("utf-8", "replace"))
+                            spans[d].append({"start": place(start), "end": place(end - 1) + 1, "marginal": float(q)})
                 yield pa.RecordBatch.from_arrays([
                     batch.column("id").slice(a, b - a), pa.array(score), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))),
                 ], names=["id", "score", "spans"])
@@ -285,3 +328,19 @@ def score(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(_scorer(model), f"id {rows.schema['id'].dataType.simpleString()}, score double, spans array<struct<start:int,end:int,marginal:double>>")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+
+
+def keep_clean(docs: DataFrame, model: Crf | None, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs with a score under threshold, as they are; each is judged where it is read."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            for a, b in C.chunks(texts):
+                score = np.full(b - a, model.score(np.zeros(0)) if model else 0.0)
+                if model and len(model.keys):
+                    for d, _, p in model.tag(C.Words(texts[a:b], PREFIXES)):
+                        score[d] = model.score(p)
+                yield batch.slice(a, b - a).filter(pa.array(score < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
