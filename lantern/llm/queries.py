@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +27,9 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The key is spark.lantern.pii.key, or one of the session's own that is then forgotten."""
+    key = spark.conf.get("spark.lantern.pii.key", None) or token_hex(32)
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
