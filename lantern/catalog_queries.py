@@ -8,6 +8,7 @@ customer-order tables a property graph.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql.window import Window as W
 
 from lantern.functions import text as X
 from lantern.operators import chunking, evaluation, fusion, graph, grounding, incremental, knowledge, lexical, vector
+from lantern.plans.lineage import shared_folder
 from lantern.sources import releases, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +82,13 @@ def bm25_scoped_topk(spark, sf_dir):
     return T(spark, sf_dir, "labels").select("doc_id", "quality").join(F.broadcast(best), "doc_id", "right").select("doc_id", "bm25", "quality")
 
 
+@query(bm25_sql(WORDS, "SELECT doc_id, bm25 FROM hits"))
+def bm25_index_search(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    lexical.build_index(T(spark, sf_dir, "documents").select("doc_id", "text"), folder, "doc_id")
+    return lexical.search_index(spark, folder, WORDS).select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
+
+
 @query("SELECT doc_id FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) WHERE list_contains(w, 'and') AND list_contains(w, 'license') AND list_contains(w, 'the')")
 def boolean_and_search(spark, sf_dir):
     return lexical.boolean_and(T(spark, sf_dir, "documents").select("doc_id", "text"), 'and "license" the').select("doc_id")
@@ -98,11 +107,10 @@ def doc_stats_postings(spark, sf_dir):
     return lexical.term_statistics(T(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
-@query("""SELECT lang, list_sort(list_distinct(flatten(list(w)))) AS tokens FROM (
-  SELECT lang, list_filter(regexp_extract_all(lower(text), '[a-z0-9''-]+'), lambda x: len(x) > 22) AS w FROM documents) GROUP BY lang""")
+@query(f"""SELECT DISTINCT lang, token FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z0-9''-]+')) AS token FROM documents)
+WHERE len(token) > 2 AND NOT list_contains({X.STOP_WORDS!r}, token)""")
 def content_token_vocabulary(spark, sf_dir):
-    long = F.filter(X.content_tokens(F.col("text")), lambda t: F.length(t) > 22)
-    return T(spark, sf_dir, "documents").select("lang", F.explode_outer(long).alias("t")).groupBy("lang").agg(F.array_sort(F.collect_set("t")).alias("tokens"))
+    return T(spark, sf_dir, "documents").select("lang", F.explode(X.content_tokens(F.col("text"))).alias("token")).distinct()
 
 
 # -- vectors -------------------------------------------------------------------------------
@@ -144,7 +152,7 @@ def vector_point_ids(spark, sf_dir):
 LEGS = ["and", "version", "license", "scum", "loser"]
 LEGS_SQL = bm25_sql(
     LEGS,
-    """, l AS (SELECT doc_id, bm25 FROM hits WHERE doc_id < 500 ORDER BY bm25 DESC, doc_id LIMIT 20),
+    """, l AS (SELECT doc_id, bm25 FROM hits ORDER BY bm25 DESC, doc_id LIMIT 20),
 q AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id = 0),
 v AS (SELECT vec_id AS doc_id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), q.e), 6) AS cosine FROM embeddings, q ORDER BY cosine DESC, doc_id LIMIT 10),
 ls AS (SELECT doc_id, CASE WHEN {by_rank} OR max(bm25) OVER () = min(bm25) OVER ()
@@ -157,7 +165,7 @@ f AS (SELECT coalesce(ls.doc_id, v.doc_id) AS doc_id, round(0.3 * coalesce(cosin
 
 
 def _legs(spark, sf_dir, by_rank: bool = False) -> DataFrame:
-    hits = lexical.bm25(T(spark, sf_dir, "documents").select("doc_id", "text"), LEGS, scope=F.col("doc_id") < 500)
+    hits = lexical.bm25(T(spark, sf_dir, "documents").select("doc_id", "text"), LEGS)
     near = vector.top_k(T(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir)).select(F.col("vec_id").alias("doc_id"), F.round("score", 6).alias("cosine"))
     return fusion.blend(_top(hits), near, "doc_id", by_rank=by_rank).withColumn("score", F.round("score", 5))
 
@@ -177,8 +185,8 @@ def fusion_leg_attribution(spark, sf_dir):
     return _legs(spark, sf_dir).groupBy("legs").agg(F.count("*").alias("n"))
 
 
-MERGE_SQL = """, g AS (SELECT 'event:' || event_id AS key, 'entity' AS type, CASE WHEN event_type = 'click' THEN 0.62 ELSE 0.55 END AS score FROM events WHERE event_id < 8
-  UNION ALL SELECT 'path:' || event_id, 'path', 0.95 FROM events WHERE event_id < 4),
+MERGE_SQL = """, g AS (SELECT 'event:' || event_id AS key, 'entity' AS type, CASE WHEN event_type = 'click' THEN 0.62 ELSE 0.55 END AS score FROM events
+  UNION ALL SELECT 'path:' || n_nationkey, 'path', 0.95 FROM nation),
 u AS (SELECT 'doc:' || doc_id AS key, 'chunk' AS type, score FROM f UNION ALL SELECT * FROM g),
 r AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY score DESC, key) AS p FROM u)
 SELECT key, type, score FROM (SELECT key, type, score FROM r WHERE p <= CASE type WHEN 'path' THEN 2 WHEN 'entity' THEN 3 ELSE 1000000 END
@@ -189,8 +197,8 @@ SELECT key, type, score FROM (SELECT key, type, score FROM r WHERE p <= CASE typ
 def rerank_caps_topn(spark, sf_dir):
     chunks = _legs(spark, sf_dir).select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("key"), F.lit("chunk").alias("type"), "score")
     events = T(spark, sf_dir, "events")
-    rows = events.where("event_id < 8").select(F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("key"), F.lit("entity").alias("type"), fusion.graph_score(F.lit("entity"), F.col("event_type") == "click").alias("score"))
-    paths = events.where("event_id < 4").select(F.concat(F.lit("path:"), F.col("event_id").cast("string")), F.lit("path"), fusion.graph_score(F.lit("path"), F.lit(False)))
+    rows = events.select(F.concat(F.lit("event:"), F.col("event_id").cast("string")).alias("key"), F.lit("entity").alias("type"), fusion.graph_score(F.lit("entity"), F.col("event_type") == "click").alias("score"))
+    paths = T(spark, sf_dir, "nation").select(F.concat(F.lit("path:"), F.col("n_nationkey").cast("string")), F.lit("path"), fusion.graph_score(F.lit("path"), F.lit(False)))
     return fusion.merge(chunks.union(rows).union(paths)).select("key", "type", "score")
 
 
@@ -301,15 +309,15 @@ def canonical_ids(spark, sf_dir):
     return T(spark, sf_dir, "part").select("p_partkey", X.canonical_id(F.lit("object"), F.col("p_name")).alias("entity_id"))
 
 
-ALIASES_SQL = """aliases AS (SELECT p_brand AS alias, 'object:' || p_partkey AS entity_id, 'Object' AS kind, p_partkey AS position FROM part WHERE p_partkey <= 30
-UNION ALL SELECT p_brand, 'organization:' || p_partkey, 'Organization', p_partkey + 1000 FROM part WHERE p_partkey BETWEEN 20 AND 40)"""
+ALIASES_SQL = """aliases AS (SELECT p_brand AS alias, 'object:' || p_partkey AS entity_id, 'Object' AS kind, p_partkey AS position FROM part
+UNION ALL SELECT p_brand, 'organization:' || p_partkey, 'Organization', p_partkey + 1000000000 FROM part WHERE p_size >= 20)"""
 
 
 def _aliases(spark, sf_dir) -> DataFrame:
     part = T(spark, sf_dir, "part")
     key = F.col("p_partkey").cast("string")
-    objects = part.where("p_partkey <= 30").select(F.col("p_brand").alias("alias"), F.concat(F.lit("object:"), key).alias("entity_id"), F.lit("Object").alias("kind"), F.col("p_partkey").alias("position"))
-    return objects.union(part.where("p_partkey between 20 and 40").select("p_brand", F.concat(F.lit("organization:"), key), F.lit("Organization"), F.col("p_partkey") + 1000))
+    objects = part.select(F.col("p_brand").alias("alias"), F.concat(F.lit("object:"), key).alias("entity_id"), F.lit("Object").alias("kind"), F.col("p_partkey").alias("position"))
+    return objects.union(part.where("p_size >= 20").select("p_brand", F.concat(F.lit("organization:"), key), F.lit("Organization"), F.col("p_partkey") + 1_000_000_000))
 
 
 def resolve_sql(kind: str) -> str:
@@ -451,7 +459,7 @@ def scope_witness(spark, sf_dir):
 
 
 NEXT_SQL = """WITH RECURSIVE e AS (SELECT event_id AS a, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events),
-w AS (SELECT event_id AS start, event_id AS node, 0 AS hop FROM events WHERE event_id % 97 = 0
+w AS (SELECT event_id AS start, event_id AS node, 0 AS hop FROM events
 UNION ALL SELECT w.start, {to}, w.hop + 1 FROM w JOIN e ON e.{at} = w.node AND e.b IS NOT NULL WHERE w.hop < 3)
 SELECT start, node, min(hop)::INTEGER AS hop FROM w WHERE hop > 0 GROUP BY start, node"""
 
@@ -460,7 +468,7 @@ def _walk(spark, sf_dir, backward: bool):
     events = T(spark, sf_dir, "events")
     following = F.lead("event_id").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     edges = events.select(F.col("event_id").alias("src"), following.alias("dst")).where("dst is not null")
-    return graph.walk(edges, events.where("event_id % 97 = 0").select(F.col("event_id").alias("id")), 3, backward)
+    return graph.walk(edges, events.select(F.col("event_id").alias("id")), 3, backward)
 
 
 @query(NEXT_SQL.format(to="e.b", at="a"))
@@ -630,6 +638,8 @@ SELECT item_id, doc_id, count(*) AS shared FROM b JOIN d USING (g) GROUP BY item
 def ngram_overlap(spark, sf_dir):
     items = T(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(X.ngrams(X.terms(F.col("text")), 6))).alias("g"))
     docs = T(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(X.ngrams(X.terms(F.col("text")), 6))).alias("g"))
+    if T(spark, sf_dir, "benchmark").agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] <= 4_000_000:  # about as many n-grams at most
+        items = F.broadcast(items)
     return docs.join(items, "g").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
 
 

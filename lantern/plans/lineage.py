@@ -4,22 +4,27 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Where a session of one machine writes if it names no folder, as in tests.
 LOCAL = "/tmp/checkpoints/lantern"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the folder that the cluster names in spark.checkpoint.dir and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir.
 
     Without one, only a session that runs in a single process goes on; elsewhere a folder of one
     machine would lose the rows with its executor.
     """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or LOCAL)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or LOCAL
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and go on from there."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
