@@ -218,9 +218,9 @@ def rerank_sigmoid(spark, sf_dir):
 
 # -- cleaning and guards -------------------------------------------------------------------
 
-CLEAN_SQL = r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\{[^}]*\}', '', 'g'), '^#[A-Za-z0-9_]+#', ''), '-->', ' ', 'g') AS t FROM pages),
-b AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[\s\v]+|[\s\v]+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^♪.*♪$|^#[A-Za-z0-9_]+$|^\[[^\]]{0,40}\]$|^\([^)]{0,40}\)$')) AS l FROM a)
-SELECT page_id, trim(regexp_replace(array_to_string(l, ' '), '[\s\v]+', ' ', 'g')) AS clean FROM b"""
+CLEAN_SQL = r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\{[^}]+\}', '', 'g'), '^#[\p{L}\p{N}_]+#', ''), '-->', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, list_filter(list_transform(string_split_regex(t, '\r\n|[\n\r\v\f\x1c-\x1e\x{85}\x{2028}\x{2029}]'), lambda x: regexp_replace(x, '^[\s\v\x{85}\p{Z}]+|[\s\v\x{85}\p{Z}]+$', '', 'g')), lambda x: x <> '' AND NOT regexp_matches(x, '^♪.*♪$|^#[\p{L}\p{M}\p{N}\p{Pc}]+$|^\[[^\]]{0,40}\]$|^\([^)]{0,40}\)$')) AS l FROM a)
+SELECT page_id, trim(regexp_replace(array_to_string(l, ' '), '[\s\v\x{85}\p{Z}]+', ' ', 'g')) AS clean FROM b"""
 
 
 @query(CLEAN_SQL)
@@ -228,7 +228,7 @@ def clean_text(spark, sf_dir):
     return T(spark, sf_dir, "pages").select("page_id", X.clean_cue(F.col("html")).alias("clean"))
 
 
-@query(r"""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^♪.*♪$|^#[A-Za-z0-9_]+$|^\[[^\]]{0,40}\]$|^\([^)]{0,40}\)$')))::INTEGER AS noise,
+@query(r"""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^♪.*♪$|^#[\p{L}\p{M}\p{N}\p{Pc}]+$|^\[[^\]]{0,40}\]$|^\([^)]{0,40}\)$')))::INTEGER AS noise,
 len(string_split(text, chr(10)))::INTEGER AS lines FROM documents""")
 def noise_filter(spark, sf_dir):
     lines = F.split("text", "\n")
@@ -346,11 +346,12 @@ def entity_register_merge(spark, sf_dir):
     return knowledge.register(mentions)
 
 
-@query("""SELECT o_custkey AS id, arg_min(o_orderstatus, o_orderkey) AS name, arg_max(string_split(o_orderpriority, '-'), o_orderkey) AS aliases, arg_max(o_orderkey, o_orderkey) AS provenance FROM orders GROUP BY o_custkey""")
+@query("""WITH r AS (SELECT o_orderkey AS seq, o_custkey AS id, o_orderstatus AS name, string_split(o_orderpriority, ' ') AS aliases FROM orders WHERE o_orderstatus IN ('F', 'O'))
+SELECT id, arg_min(name, seq) AS name, arg_max(aliases, len(aliases) * 1000000000000 - seq) AS aliases, max(seq) AS provenance FROM r GROUP BY id""")
 def node_upsert_latest(spark, sf_dir):
-    rows = T(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("name"), F.split("o_orderpriority", "-").alias("aliases"), F.col("o_orderkey").alias("provenance"))
-    latest = knowledge.upsert_nodes(rows.withColumn("seq", -F.col("seq"))).select("id", "aliases")  # equal lengths: the last in order wins when it comes first
-    return knowledge.upsert_nodes(rows).drop("aliases").join(latest, "id").select("id", "name", "aliases", "provenance")
+    label = F.when(F.col("o_orderstatus") == "F", "Object").when(F.col("o_orderstatus") == "O", "Character").otherwise("Thing")
+    rows = T(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.col("o_custkey").alias("id"), label.alias("label"), F.col("o_orderstatus").alias("name"), F.split("o_orderpriority", " ").alias("aliases"), F.col("o_orderkey").alias("provenance"))
+    return knowledge.upsert_nodes(knowledge.known_labels(rows))
 
 
 def _order_edges(spark, sf_dir) -> DataFrame:
@@ -625,11 +626,12 @@ def primary_metric(spark, sf_dir):
     return evaluation.report(graded.select("case_id").distinct(), evaluation.case_metrics(graded)).select("primary_metric")
 
 
-@query("""SELECT event_id, CASE WHEN lag(t) OVER w < t THEN lag(t) OVER w END AS previous_end, CASE WHEN lead(t) OVER w > t THEN lead(t) OVER w END AS next_end
-FROM (SELECT event_id, user_id, epoch_us(ts) AS t FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)""")
+@query("""WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS s, epoch_us(ts) + (event_id % 7) * 40000000000 AS t FROM events)
+SELECT a.event_id, max(b.t) FILTER (b.t < a.s) AS previous_end, arg_min(b.t, (b.s, b.t)) FILTER (b.s > a.t) AS next_end FROM e a JOIN e b USING (user_id) GROUP BY a.event_id""")
 def asof_neighbor_windows(spark, sf_dir):
-    events = T(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    return evaluation.around(events, "user_id", "t", "t", "event_id").select("event_id", "previous_end", "next_end")
+    start = F.unix_micros(F.col("ts").cast("timestamp"))
+    events = T(spark, sf_dir, "events").select("event_id", "user_id", start.alias("s"), (start + (F.col("event_id") % 7) * 40_000_000_000).alias("t"))
+    return evaluation.around(events, "user_id", "s", "t", "event_id").select("event_id", "previous_end", "next_end")
 
 
 @query("""WITH b AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 5], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 4)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark))),

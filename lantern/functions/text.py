@@ -54,15 +54,15 @@ def any_of(text: Column, phrases: list[str]) -> Column:
 
 
 def is_noise(line: Column) -> Column:
-    return line.rlike(r"^♪.*♪$|^#\w+$|^\[[^\]]{0,40}\]$|^\([^)]{0,40}\)$")
+    return line.rlike(r"(?U)^♪.*♪$|^#\w+$|^\[[^\]]{0,40}\]$|^\([^)]{0,40}\)$")
 
 
 def clean_cue(text: Column) -> Column:
     """Markup, colour prefixes and noise lines removed; one line."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", ""), r"\{[^}]*\}", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"^#\w+#", ""), "-->", " ")
-    lines = F.filter(F.transform(F.split(bare, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: (x != "") & ~is_noise(x))
-    return F.trim(F.regexp_replace(F.array_join(lines, " "), r"\s+", " "))
+    bare = F.regexp_replace(F.regexp_replace(text, r"<[^>]+>", ""), r"\{[^}]+\}", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"(?U)^#\w+#", ""), "-->", " ")
+    lines = F.filter(F.transform(F.split(bare, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: (x != "") & ~is_noise(x))
+    return F.trim(F.regexp_replace(F.array_join(lines, " "), r"(?U)\s+", " "))
 
 
 def has_spam(text: Column) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 SCENE_GAP, CHUNK_MAX, CHUNK_MIN, WINDOW_MAX = 4.0, 1400, 200, 2200
@@ -18,50 +19,67 @@ def scenes(rows: DataFrame, doc: str, order: list[str], start: Column, end: Colu
     return far.withColumn("scene", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int")).drop("_s", "_e", "_new")
 
 
-def _pack(doc: str, text: str, most: int, least: int | None, joined: int):
-    """Numbers of the groups of ordered rows, streaming over sorted partitions; memory holds one row's state."""
+def _pack(keys: list[str], most: int, least: int | None, joined: int):
+    """Numbers of the groups of ordered rows, streaming over sorted batches; memory holds one row's state."""
 
-    def run(frames):
+    def run(batches):
         last, number, held = None, 0, 0
-        for frame in frames:
+        for batch in batches:
             out = []
-            for key, n, ends in zip(frame[doc], frame["_n"], frame["_ends"], strict=True):
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (*keys, "_n", "_ends")]
+            for *key, n, ends in zip(*columns, strict=True):
+                n = n or 0
                 if key != last:
                     last, number, held = key, 0, 0
-                    first = True
-                elif least is not None:
-                    grown = held + n + 1
-                    first = held > 0 and (grown > most or (ends and grown > least))
-                else:
-                    first = held > 0 and held + n > most
-                if first and held:
+                grown = held + n + 1 if least is not None else held + n
+                if held and (grown > most or (least is not None and ends and grown > least)):
                     number, held = number + 1, 0
                 held += n + 1 if least is not None else n + (joined if held else 0)
                 out.append(number)
-            yield frame.drop(columns=["_n", "_ends"]).assign(group=pd.Series(out, index=frame.index, dtype="int32"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.int32())], names=[*batch.schema.names[:-2], "group"])
 
     return run
 
 
-def pack(rows: DataFrame, doc: str, order: list[str], text: str, most: int, least: int | None = None, joined: int = 1) -> DataFrame:
-    """`group`, from 0 in each doc: consecutive rows of limited length.
+def pack(rows: DataFrame, doc: str | list[str], order: list[str], text: str, most: int, least: int | None = None, joined: int = 1, carried: tuple[str, ...] = ()) -> DataFrame:
+    """`group`, from 0 in each doc (or doc and scene): consecutive rows of limited length.
 
     With `least`, a group closes before a row that would exceed `most`, or before one that ends a
     sentence and takes it over `least`. Without, only before one that would exceed `most`, joining spaces
-    of what is held counted and the new one's not.
+    of what is held counted and the new one's not. carried: other columns to keep.
     """
-    kept = rows.select(doc, *[o for o in order if o != doc], text)
+    keys = [doc] if isinstance(doc, str) else doc
+    kept = rows.select(*keys, *[o for o in order if o not in keys], text, *carried)
     held = kept.withColumn("_n", F.length(text)).withColumn("_ends", F.col(text).rlike("[.!?]$"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields) + ", group int"
-    return held.repartition(F.col(doc)).sortWithinPartitions(doc, *order).mapInPandas(_pack(doc, text, most, least, joined), fields)
+    schema = T.StructType([*kept.schema.fields, T.StructField("group", T.IntegerType())])
+    return held.repartition(F.col(keys[0])).sortWithinPartitions(*keys, *order).mapInArrow(_pack(keys, most, least, joined), schema)
 
 
-def chunks(rows: DataFrame, doc: str, order: str, text: str, start: str | None = None, end: str | None = None, most: int = CHUNK_MAX, least: int = CHUNK_MIN) -> DataFrame:
-    """(doc, group, first, last, n, text): packed rows."""
-    packed = pack(rows, doc, [order], text, most, least)
+def _joined(order: str, text: str) -> Column:
+    """Texts in order, joined by spaces, without empty ones."""
     pieces = F.array_sort(F.collect_list(F.struct(order, text)))
-    out = packed.groupBy(doc, "group").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"), pieces.alias("_p"))
-    return out.select(doc, "group", "first", "last", "n", F.trim(F.array_join(F.filter(F.transform("_p", lambda p: p[text]), lambda t: t != ""), " ")).alias("text"))
+    return F.trim(F.array_join(F.filter(F.transform(pieces, lambda p: p[text]), lambda t: t != ""), " "))
+
+
+def chunks(rows: DataFrame, doc: str, order: str, text: str, most: int = CHUNK_MAX, least: int = CHUNK_MIN) -> DataFrame:
+    """(doc, group, first, last, n, text): packed rows of one scene each."""
+    packed = pack(rows, doc, [order], text, most, least)
+    return packed.groupBy(doc, "group").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"), _joined(order, text).alias("text"))
+
+
+def chunk_records(cues: DataFrame, doc: str, order: str, text: str, start: str, end: str, gap: float = SCENE_GAP, most: int = CHUNK_MAX, least: int = CHUNK_MIN) -> DataFrame:
+    """Chunks of cleaned cues, never over a scene's end: (chunk_id, document_id, scene_i, cue_start, cue_end, start_ms, end_ms, text)."""
+    spoken = scenes(cues.where(F.col(text) != ""), doc, [order], F.col(start), F.col(end), gap)
+    packed = pack(spoken, [doc, "scene"], [order], text, most, least, carried=(start, end))
+    held = packed.groupBy(doc, "scene", "group").agg(
+        F.min(order).alias("cue_start"), F.max(order).alias("cue_end"), F.min_by(millis(F.col(start)), order).alias("start_ms"), F.max_by(millis(F.col(end)), order).alias("end_ms"), _joined(order, text).alias("text")
+    )
+    return held.select(chunk_id(F.col(doc), F.col("scene"), F.col("cue_start")).alias("chunk_id"), F.col(doc).alias("document_id"), F.col("scene").alias("scene_i"), "cue_start", "cue_end", "start_ms", "end_ms", "text")
+
+
+def millis(seconds: Column) -> Column:
+    """Whole milliseconds, cut off."""
+    return (seconds * 1000).cast("int")
 
 
 def chunk_id(doc: Column, scene: Column, first: Column) -> Column:

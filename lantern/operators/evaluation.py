@@ -52,8 +52,62 @@ def stratified(rows: DataFrame, stratum: str, id_col: str, quota: int, seed: str
 def around(rows: DataFrame, group: str, start: str, end: str, id_col: str) -> DataFrame:
     """`previous_end` (latest end before the row's start) and `next_end` (end of the earliest start after its end), strictly.
 
-    Rows without overlap in a group, as chunks of a document, have them beside themselves.
+    Rows may overlap: starts and ends of a group are put in one order, in which each looks back (or ahead).
     """
-    w = W.partitionBy(group).orderBy(start, id_col)
-    last, first, upto = F.lag(end).over(w), F.lead(start).over(w), F.lead(end).over(w)
-    return rows.withColumn("previous_end", F.when(last < F.col(start), last)).withColumn("next_end", F.when(first > F.col(end), upto))
+    def points(own: str, other: str, value: Column) -> DataFrame:
+        asks = rows.select(group, F.col(own).alias("_t"), F.lit(0).alias("_o"), F.col(id_col).alias("_id"), F.lit(None).cast(rows.schema[end].dataType).alias("_v"))
+        return asks.union(rows.select(group, F.col(other), F.lit(1), F.lit(None).cast(rows.schema[id_col].dataType), value))
+
+    back = W.partitionBy(group).orderBy("_t", "_o").rowsBetween(W.unboundedPreceding, 0)
+    before = points(start, end, F.col(end)).withColumn("previous_end", F.max("_v").over(back)).where("_id is not null").select(F.col("_id").alias(id_col), "previous_end")
+    # Of equal starts, the least end is the one that is met first.
+    ahead = W.partitionBy(group).orderBy(F.desc("_t"), "_o", F.desc("_v")).rowsBetween(W.unboundedPreceding, 0)
+    after = points(end, start, F.col(end)).withColumn("next_end", F.last("_v", ignorenulls=True).over(ahead)).where("_id is not null").select(F.col("_id").alias(id_col), "next_end")
+    return rows.join(before, id_col).join(after, id_col)
+
+
+def spaced(rows: DataFrame, group: str, order: str, time: str, most: int = 2, apart: float = 60.0) -> DataFrame:
+    """(group, picked): orders of the first rows, each more than `apart` from all picked before. A group's rows are a document's."""
+    def step(state: Column, row: Column) -> Column:
+        fits = (F.size(state) < most) & F.forall(state, lambda p: F.abs(p[time] - row[time]) > apart)
+        return F.when(fits, F.concat(state, F.array(row))).otherwise(state)
+
+    held = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col(time).cast("double").alias(time)))).alias("l"))
+    return held.select(group, F.transform(F.aggregate("l", F.slice("l", 1, 0), step), lambda p: p[order]).alias("picked"))
+
+
+def of_length(rows: DataFrame, group: str, text: str, low: int = 150, high: int = 800, fallback: int = 80, few: int = 2) -> DataFrame:
+    """Rows with texts of fitting length; in groups with fewer than `few` of them, all of `fallback` characters or more."""
+    fits = F.length(text).between(low, high)
+    held = rows.withColumn("_n", F.count_if(fits).over(W.partitionBy(group)))
+    return held.where(F.when(F.col("_n") >= few, fits).otherwise(F.length(text) >= fallback)).drop("_n")
+
+
+def distinct_questions(rows: DataFrame, question: str, id_col: str) -> DataFrame:
+    """The first of the questions that are equal but for case and what isn't a word character."""
+    key = F.lower(F.regexp_replace(question, r"(?U)\W+", ""))
+    return rows.withColumn("_k", key).withColumn("_r", F.row_number().over(W.partitionBy("_k").orderBy(id_col))).where("_r = 1").drop("_k", "_r")
+
+
+def leg_recall(ranked: DataFrame, case: str = "case_id", leg: str = "leg", depth: int = 6) -> DataFrame:
+    """(leg, recall): the part of all cases for which a leg's first rows hold the document. ranked: (case, leg, rank, grade)."""
+    hits = ranked.groupBy(leg, case).agg(F.max(((F.col("rank") <= depth) & (F.col("grade") >= 1)).cast("int")).alias("_h"))
+    cases = ranked.select(case).distinct().agg(F.count("*").alias("_n"))
+    return hits.groupBy(leg).agg(F.sum("_h").alias("_h")).crossJoin(F.broadcast(cases)).select(leg, F.round(F.col("_h") / F.col("_n"), 4).alias("recall"))
+
+
+def run_cases(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """Graded rows of all cases at once. cases: (case_id, document_id, start, end, pad); retrieved: (case_id, rank, document_id, start, end)."""
+    c = cases.select("case_id", F.col("document_id").alias("_doc"), F.col("start").alias("_s"), F.col("end").alias("_e"), "pad")
+    held = retrieved.join(c, "case_id")
+    known = F.col("_s").isNotNull() & F.col("_e").isNotNull() & F.col("start").isNotNull() & F.col("end").isNotNull()
+    inside = overlaps(F.col("start"), F.col("end"), F.col("_s"), F.col("_e"))
+    near = overlaps(F.col("start"), F.col("end"), F.col("_s") - F.col("pad"), F.col("_e") + F.col("pad"))
+    return held.select("case_id", "rank", grade(F.coalesce(F.col("document_id") == F.col("_doc"), F.lit(False)), known, inside, near).alias("grade"))
+
+
+def answer_checks(answers: DataFrame, text: str = "answer", entity: str = "entity", slots: str = "n_slots") -> DataFrame:
+    """`names_entity` (as whole words, in any case), `cites` and `cites_in_range` of answers with the number of their slots."""
+    cited = F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))
+    named = F.expr(f"regexp_like(lower({text}), concat('\\\\b\\\\Q', lower({entity}), '\\\\E\\\\b'))")
+    return answers.withColumn("names_entity", named).withColumn("cites", F.size(cited) > 0).withColumn("cites_in_range", (F.size(cited) > 0) & F.forall(cited, lambda n: n.between(1, F.col(slots))))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -42,6 +45,50 @@ def rerank_scores(pairs: DataFrame, query_col: str, raw_col: str) -> DataFrame:
     return pairs.withColumn("rerank", F.when(outside == 1, sigmoid(F.col(raw_col))).otherwise(F.col(raw_col)))
 
 
+def cross_encode(pairs: DataFrame, score: Callable[[list[str], list[str]], list[float]], query: str, text: str, batch: int = 16) -> DataFrame:
+    """`raw`: the given model's score of each pair, asked for in batches by Arrow."""
+
+    @F.pandas_udf("double")
+    def scored(q: pd.Series, t: pd.Series) -> pd.Series:
+        out: list[float] = []
+        for a in range(0, len(q), batch):
+            out += [float(x) for x in score(q[a : a + batch].tolist(), t[a : a + batch].tolist())]
+        return pd.Series(out, dtype="float64")
+
+    return pairs.withColumn("raw", scored(query, text))
+
+
+def rescore(chunks: DataFrame, score: Callable[[list[str], list[str]], list[float]], query: str, text: str, value: str = "score", id_col: str = "key", pool: int = POOL) -> DataFrame:
+    """chunks with `value` of each query's best `pool` rows replaced by the model's; the tail keeps its own."""
+    place = F.row_number().over(W.partitionBy(query).orderBy(F.desc(value), id_col))
+    ranked = chunks.withColumn("_p", place)
+    head = rerank_scores(cross_encode(ranked.where(F.col("_p") <= pool), score, query, text), query, "raw")
+    return head.withColumn(value, F.col("rerank")).drop("raw", "rerank", "_p").unionByName(ranked.where(F.col("_p") > pool).drop("_p"))
+
+
+def used_legs(evidence: DataFrame, cited: DataFrame, case: str, most: int = EVIDENCE) -> DataFrame:
+    """(case, leg): legs behind the cited slots of the first `most`; of cases that cite none of them, all of these. evidence: (case, slot, leg)."""
+    shown = evidence.where(F.col("slot") <= most)
+    hits = shown.join(cited.select(case, "slot").distinct(), [case, "slot"], "left_semi")
+    rest = shown.join(hits.select(case).distinct(), case, "left_anti")
+    return hits.unionByName(rest).select(case, F.explode(F.split("leg", "[+]")).alias("leg")).distinct()
+
+
+def graph_quote(name: Column, label: Column, near: Column) -> Column:
+    """What an entity shows as evidence: its name, label and four neighbours at most."""
+    told = F.array_join(F.slice(F.transform(near, lambda n: n["other"]), 1, 4), ", ")
+    return F.concat(name, F.lit(" ("), label, F.lit(")"), F.when(told == "", "").otherwise(F.concat(F.lit(": "), told)))
+
+
+def path_quote(names: Column) -> Column:
+    return F.array_join(names, " -> ")
+
+
+def longest(tokens: Column) -> Column:
+    """The longest token, the first of equals; null of none."""
+    return F.get(F.filter(tokens, lambda t: F.length(t) == F.array_max(F.transform(tokens, F.length))), 0)
+
+
 def merge(results: DataFrame, rescored: Column | None = None) -> DataFrame:
     """Ranked rows of (key, type, score): caps of each type, rescoring of the pool, one row for each key, the best."""
     by_type = W.partitionBy("type").orderBy(F.desc("score"), "key")

@@ -16,13 +16,19 @@ def label_rank(label: Column, ranks: dict[str, int] = LABEL_RANK) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv]), label), F.lit(9))
 
 
+def small(few: DataFrame, most: int = 100_000) -> DataFrame:
+    """few, written, and broadcast if it has `most` rows or less."""
+    held = cut(few)
+    return F.broadcast(held) if held.limit(most + 1).count() <= most else held
+
+
 def lookup(nodes: DataFrame, names: DataFrame, ranks: dict[str, int] = LABEL_RANK, pool: int = 24, most: int = 4) -> DataFrame:
     """(name, id, label, rank) of up to `most` nodes for each name: equal names, else names that contain it.
 
     names: a question's few names.
     """
-    low = names.select(F.col("name").alias("q"), F.lower("name").alias("_q"))
-    near = nodes.join(F.broadcast(low), F.contains(F.lower("name"), F.col("_q"))).withColumn("_tier", F.when(F.lower("name") == F.col("_q"), 0).otherwise(1))
+    low = small(names.select(F.col("name").alias("q"), F.lower("name").alias("_q")).distinct())
+    near = nodes.join(low, F.contains(F.lower("name"), F.col("_q"))).withColumn("_tier", F.when(F.lower("name") == F.col("_q"), 0).otherwise(1))
     best = near.withColumn("_best", F.min("_tier").over(W.partitionBy("q"))).where("_tier = _best")
     pooled = best.withColumn("_n", F.row_number().over(W.partitionBy("q").orderBy("id"))).where(F.col("_n") <= pool)
     rank = F.row_number().over(W.partitionBy("q").orderBy(label_rank(F.col("label"), ranks), "id"))
@@ -35,7 +41,7 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def neighbours(found: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
     """found with `neighbours`: up to `most` (other, rel), smallest first; empty without any."""
-    near = undirected(edges).join(F.broadcast(found.select("id").distinct()), "id", "left_semi").distinct()
+    near = undirected(edges).join(small(found.select("id").distinct()), "id", "left_semi").distinct()
     kept = near.withColumn("_n", F.row_number().over(W.partitionBy("id").orderBy("other", "rel"))).where(F.col("_n") <= most)
     lists = kept.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("other", "rel"))).alias("neighbours"))
     return found.join(lists, "id", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<struct<other:string,rel:string>>")))
@@ -48,35 +54,52 @@ def witnesses(candidates: DataFrame, edges: DataFrame, scoped: DataFrame) -> Dat
 
 
 def walk(edges: DataFrame, starts: DataFrame, hops: int = 3, backward: bool = False) -> DataFrame:
-    """(start, node, hop): nodes 1 to `hops` steps from the starts, at the least number of steps."""
+    """(start, node, hop): nodes 1 to `hops` steps from the starts, at the least number of steps.
+
+    A node is gone on from once for each start, at its first step.
+    """
     a, b = ("dst", "src") if backward else ("src", "dst")
-    step = edges.select(F.col(a).alias("node"), F.col(b).alias("_next"))
-    front = starts.select(F.col("id").alias("start"), F.col("id").alias("node"))
-    out = None
+    step = edges.select(F.col(a).alias("node"), F.col(b).alias("_next")).distinct()
+    front, out = starts.select(F.col("id").alias("start"), F.col("id").alias("node")), None
     for hop in range(1, hops + 1):
         front = front.join(step, "node").select("start", F.col("_next").alias("node")).distinct()
+        if out is not None:
+            front = front.join(out, ["start", "node"], "left_anti")
+        front = cut(front) if hop < hops else front
         reached = front.withColumn("hop", F.lit(hop))
         out = reached if out is None else out.union(reached)
-    return out.groupBy("start", "node").agg(F.min("hop").alias("hop"))
+    return out
+
+
+def _level(front: DataFrame, seen: DataFrame, step: DataFrame, side: str) -> DataFrame:
+    grown = front.join(step, "node").select("a", "b", F.col("_next").alias("node"), (F.concat("path", F.array("_next")) if side == "a" else F.concat(F.array("_next"), F.col("path"))).alias("path"))
+    return cut(grown.join(seen.select("a", "b", "node"), ["a", "b", "node"], "left_anti").groupBy("a", "b", "node").agg(F.min("path").alias("path")))
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, hops: int = 5) -> DataFrame:
     """(a, b, hops, path): the first of the shortest undirected paths of each pair, by the order of its nodes.
 
-    Level by level from a; a level holds each reached node once for each pair, with its first path.
-    pairs: a question's few endpoint pairs.
+    Levels grow from both ends in turn, so that each goes half the way; a level holds each node once
+    for each pair, with its first path. Pairs that have met go no further. pairs: a question's few endpoint pairs.
     """
     step = undirected(edges).select(F.col("id").alias("node"), F.col("other").alias("_next")).distinct()
-    front = pairs.select("a", "b", F.col("a").alias("node"), F.array("a").alias("path"))
-    seen, out = front.select("a", "b", "node"), front.where("a = b").withColumn("hops", F.lit(0))
+    own = pairs.select("a", "b").distinct()
+    left = own.select("a", "b", F.col("a").alias("node"), F.array("a").alias("path"))
+    right = own.select("a", "b", F.col("b").alias("node"), F.array("b").alias("path"))
+    seen_l, seen_r = left, right
+    out = left.where("a = b").select("a", "b", F.lit(0).alias("hops"), "path")
     for hop in range(1, hops + 1):
-        grown = front.where("node <> b").join(step, "node").select("a", "b", F.col("_next").alias("node"), F.concat("path", F.array("_next")).alias("path"))
-        grown = grown.join(seen, ["a", "b", "node"], "left_anti").groupBy("a", "b", "node").agg(F.min("path").alias("path"))
-        grown = cut(grown)
-        out = out.union(grown.where("node = b").select("a", "b", "node", "path", F.lit(hop).alias("hops")))
-        seen, front = seen.union(grown.select("a", "b", "node")), grown
-    best = out.groupBy("a", "b").agg(F.min(F.struct("hops", "path")).alias("p"))
-    return best.select("a", "b", "p.hops", "p.path")
+        open_pairs = own.join(out.select("a", "b"), ["a", "b"], "left_anti")
+        if hop % 2:
+            left = _level(left.join(open_pairs, ["a", "b"], "left_semi"), seen_l, step, "a")
+            seen_l = seen_l.union(left)
+        else:
+            right = _level(right.join(open_pairs, ["a", "b"], "left_semi"), seen_r, step, "b")
+            seen_r = seen_r.union(right)
+        met = left.join(right.select("a", "b", "node", F.col("path").alias("rest")), ["a", "b", "node"]).join(open_pairs, ["a", "b"], "left_semi")
+        whole = F.concat("path", F.slice("rest", 2, F.size("rest")))
+        out = cut(out.union(met.groupBy("a", "b").agg(F.min(whole).alias("path")).select("a", "b", F.lit(hop).alias("hops"), "path")))
+    return out
 
 
 def endpoint_candidates(nodes: DataFrame, name: str, tokens: list[str], ranks: dict[str, int] = LABEL_RANK, most: int = 3) -> DataFrame:
@@ -94,3 +117,29 @@ def scope_tree(scopes: DataFrame) -> DataFrame:
     """(id, name, parent_name) of scopes (id, name, parent)."""
     up = scopes.select(F.col("id").alias("parent"), F.col("name").alias("parent_name"))
     return scopes.join(up, "parent", "left").select("id", "name", "parent_name")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component): the smallest node reachable over edges, for every node on an edge.
+
+    Alternates large-star and small-star steps, which needs O(log n) rounds even for
+    chains; every round is written to the checkpoint folder. Edges stay distributed.
+    """
+    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+    pairs = cut(pairs)
+    last = None
+    while True:
+        both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(low, "u")
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        pairs = cut(small)
+        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == last:
+            break
+        last = state
+    found = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = found.select(F.col("component").alias("node"), "component").distinct()
+    return found.union(roots).groupBy("node").agg(F.min("component").alias("component"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lantern.functions.text import canonical_id
+from lantern.operators.graph import components
 
 # Labels and relations that a graph may hold.
 LABELS = ["Character", "Event", "Movie", "Series", "Episode", "Location", "Object", "Organization", "Timeline"]
@@ -118,3 +121,153 @@ def temporal_edges(pairs: DataFrame) -> DataFrame:
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key: an upsert into a keyed table."""
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+
+
+# -- loading -------------------------------------------------------------------------------
+
+
+def known_labels(rows: DataFrame) -> DataFrame:
+    """Node rows of known labels; others are skipped."""
+    return rows.where(F.col("label").isin(LABELS))
+
+
+def provenance(document: Column, window: Column, model: Column, extracted: Column, quote: Column) -> Column:
+    """Where a node or an edge comes from, as JSON of five keys."""
+    return F.to_json(F.struct(document.alias("document_id"), window.alias("window_id"), model.alias("model"), extracted.alias("extracted_at"), quote.alias("quote")))
+
+
+def scoped_events(events: DataFrame, scopes: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges OCCURS_IN and DEPICTED_IN of events (event_id, scope, document_id), and one row of events, and of missing ends."""
+    s, d = scopes.select(F.col("id").alias("scope"), F.lit(1).alias("_s")), documents.select(F.col("id").alias("document_id"), F.lit(1).alias("_d"))
+    held = events.join(s.distinct(), "scope", "left").join(d.distinct(), "document_id", "left")
+    src = F.col("event_id")
+    edges = held.where("_s = 1").select(src.alias("src"), F.lit("OCCURS_IN").alias("rel"), F.col("scope").alias("dst"))
+    edges = edges.union(held.where("_d = 1").select(src, F.lit("DEPICTED_IN"), F.col("document_id"))).distinct()
+    missing = held.agg(F.count("*").alias("events"), F.count_if(F.col("_s").isNull()).alias("no_scope"), F.count_if(F.col("_d").isNull()).alias("no_document"))
+    return edges, missing
+
+
+def document_nodes(documents: DataFrame, scopes: DataFrame) -> DataFrame:
+    """(id, label, name, src, rel, dst) of documents (document_id, title, type, season, timeline_id) in known scopes: their node and edge."""
+    label = F.when(F.col("type") == "movie", "Movie").when(F.col("season").isNotNull(), "Episode").otherwise("Series")
+    held = documents.join(scopes.select(F.col("id").alias("timeline_id")).distinct(), "timeline_id")
+    return held.select(F.col("document_id").alias("id"), label.alias("label"), F.col("title").alias("name"), F.col("document_id").alias("src"), F.lit("DEPICTED_IN").alias("rel"), F.col("timeline_id").alias("dst"))
+
+
+def scope_branches(scopes: DataFrame) -> DataFrame:
+    """(src, rel, dst) of scopes (id, parent) to those of their parents that are scopes."""
+    return scopes.join(scopes.select(F.col("id").alias("parent")), "parent", "left_semi").select(F.col("id").alias("src"), F.lit("BRANCHES_FROM").alias("rel"), F.col("parent").alias("dst"))
+
+
+def relation_edges(relations: DataFrame) -> DataFrame:
+    """(src, rel, dst) of relations (source, relation, target). Both ends count as characters, whatever the relation; none leads to itself."""
+    end = lambda c: canonical_id(F.lit("character"), F.col(c))
+    return relations.select(end("source").alias("src"), F.col("relation").alias("rel"), end("target").alias("dst")).where("src <> dst")
+
+
+def written(edges: DataFrame) -> DataFrame:
+    """(rel, written): edges of each relation."""
+    return edges.groupBy("rel").agg(F.count("*").alias("written"))
+
+
+def load(extractions: DataFrame) -> dict[str, DataFrame]:
+    """Nodes, edges and totals of extractions (seq, document_id, scope, body: EXTRACTION), of which the gate lets through the valid."""
+    good = extractions.where(gate(F.col("body")))
+    entity = F.explode("body.entities").alias("e")
+    named = good.select("seq", "document_id", entity).select("seq", canonical_id(F.lower("e.type"), F.col("e.name")).alias("id"), F.col("e.type").alias("label"), F.col("e.name").alias("name"), F.coalesce("e.aliases", F.array().cast("array<string>")).alias("aliases"), F.col("document_id").alias("provenance"))
+    told = good.select("seq", "document_id", "scope", F.explode("body.events").alias("e"))
+    told = told.select("seq", "document_id", "scope", canonical_id(F.lit("event"), F.col("e.name")).alias("event_id"), F.col("e.name").alias("name"), "e.participants", "e.objects", "e.location")
+    stories = told.select("seq", F.col("event_id").alias("id"), F.lit("Event").alias("label"), "name", F.array().cast("array<string>").alias("aliases"), F.col("document_id").alias("provenance"))
+    people = told.select("seq", F.explode("participants").alias("n"), F.lit("Character").alias("label"), "document_id").union(told.select("seq", F.explode("objects"), F.lit("Object"), "document_id")).union(told.where("location is not null").select("seq", "location", F.lit("Location"), "document_id"))
+    related = good.select("seq", "document_id", F.explode(without_self_relations(F.col("body"))).alias("r"))
+    people = people.union(related.select("seq", F.explode(F.array("r.source", "r.target")), F.lit("Character"), "document_id"))
+    people = people.select("seq", canonical_id(F.lower("label"), F.col("n")).alias("id"), "label", F.col("n").alias("name"), F.array().cast("array<string>").alias("aliases"), F.col("document_id").alias("provenance"))
+    rows = known_labels(named.unionByName(stories).unionByName(people))
+    nodes = upsert_nodes(rows).join(rows.groupBy("id").agg(F.min_by("label", "seq").alias("label")), "id")
+    event = lambda c: canonical_id(F.lit("event"), F.col(c))
+    timed = good.select(F.explode("body.temporals").alias("t")).select(event("t.event_a").alias("a"), F.col("t.relation").alias("rel"), event("t.event_b").alias("b"))
+    edges = event_edges(told).union(relation_edges(related.select("r.source", "r.relation", "r.target"))).union(temporal_edges(timed))
+    ids = nodes.select("id")
+    kept = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "rel", "dst").distinct()
+    totals = extractions.agg(F.count("*").alias("windows"), F.count_if(gate(F.col("body"))).alias("valid"))
+    return {"nodes": nodes, "edges": kept, "missing": missing_ends(edges.distinct(), nodes), "loaded": totals, "written": written(kept)}
+
+
+# -- registry ------------------------------------------------------------------------------
+
+
+def seeds(rows: DataFrame) -> DataFrame:
+    """(entity_id, name, kind, aliases) of a seed table (name, kind, aliases); names that aren't ASCII are skipped."""
+    ascii_only = rows.where(~F.col("name").rlike(r"[^\x00-\x7F]"))
+    return ascii_only.select(canonical_id(F.lower("kind"), F.col("name")).alias("entity_id"), "name", "kind", "aliases")
+
+
+def merge_by_alias(mentions: DataFrame) -> DataFrame:
+    """(entity_id, name, kind, aliases): mentions (seq, name, kind, aliases) of a kind that share an id or a name or alias, directly or over others.
+
+    The first mention gives id and name; all names and aliases of the others become aliases.
+    """
+    named = mentions.withColumn("id", canonical_id(F.lower("kind"), F.col("name")))
+    keys = named.select("id", "kind", F.explode(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.array("name"))).alias("k"))
+    keys = keys.select("id", F.concat_ws("\u0001", "kind", F.lower(F.trim("k"))).alias("k")).distinct()
+    groups = components(keys.select("id", F.concat(F.lit("\u0002"), "k").alias("key")), "id", "key").select(F.col("node").alias("id"), "component")
+    held = named.join(groups, "id")
+    first = held.groupBy("component").agg(F.min_by(F.struct("id", "name", "kind"), "seq").alias("f"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.array("name")))))).alias("aliases"))
+    return first.select(F.col("f.id").alias("entity_id"), "f.name", "f.kind", F.array_except("aliases", F.array("f.name")).alias("aliases"))
+
+
+def record(entities: DataFrame, entity_id: str) -> dict | None:
+    """One entity, or None."""
+    found = entities.where(F.col("entity_id") == entity_id).first()
+    return found.asDict() if found else None
+
+
+# -- extraction ----------------------------------------------------------------------------
+
+
+def run_extraction(windows: DataFrame, extract: Callable[[str], str]) -> DataFrame:
+    """(window_id, status, body): what the extractor says of windows (window_id, text), through the gate; its failures are rows."""
+
+    def run(frames):
+        for frame in frames:
+            status, body = [], []
+            for text in frame["text"]:
+                try:
+                    body.append(extract(text))
+                    status.append("ok")
+                except Exception as e:  # noqa: BLE001  a window that fails doesn't stop the others
+                    body.append(None)
+                    status.append(f"error: {e}"[:120])
+            yield frame[["window_id"]].assign(status=status, body=body)
+
+    kind = windows.schema["window_id"].dataType.simpleString()
+    said = windows.select("window_id", "text").mapInPandas(run, f"window_id {kind}, status string, body string")
+    parsed = read_extraction(F.col("body"))
+    bad = F.when(parsed.isNull(), "not_dict").when(~gate(parsed), "invalid")
+    return said.withColumn("status", F.when(F.col("status") == "ok", F.coalesce(bad, F.lit("ok"))).otherwise(F.col("status")))
+
+
+def cache_put(cache: DataFrame, rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The cache with rows; the last of a key by `order` stays."""
+    return latest(cache.unionByName(rows), keys, [F.desc(order)])
+
+
+def cache_get(cache: DataFrame, body: str = "body") -> DataFrame:
+    """The cache with its bodies read; what can't be read is null."""
+    return cache.withColumn("read", read_extraction(F.col(body)))
+
+
+def read_extraction(body: Column) -> Column:
+    """A reply as a record, null unless it is a JSON object: from_json() alone would make a record of nulls."""
+    return F.when(body.rlike(r"^\s*\{") & F.try_parse_json(body).isNotNull(), F.from_json(body, EXTRACTION))
+
+
+def to_extract(windows: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
+    """Windows without a cached success that passes the gate: failures are tried again."""
+    good = cache_get(cache).where((F.col("status") == "ok") & gate(F.col("read")))
+    return windows.join(good.select(*keys), keys, "left_anti")
+
+
+def run_totals(run: DataFrame) -> DataFrame:
+    """(status, n), errors of all kinds together."""
+    return run.groupBy(F.regexp_replace("status", ":.*", "").alias("status")).agg(F.count("*").alias("n"))

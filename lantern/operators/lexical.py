@@ -50,7 +50,7 @@ def frequencies(docs: DataFrame, text_col: str, phrases: list[list[str]]) -> Dat
     """
     held = docs.select(*[c for c in docs.columns if c != text_col], F.explode(F.array(spaced_terms(F.col(text_col)))).alias("_t"))
     terms_held = (F.length("_t") - F.length(F.replace("_t", F.lit(" "), F.lit("")))) / 2
-    return held.withColumn("dl", F.floor(terms_held).cast("int")).withColumn("tf", F.array(*(occurrences(F.col("_t"), p) for p in phrases))).drop("_t")
+    return held.withColumn("dl", F.coalesce(F.floor(terms_held).cast("int"), F.lit(0))).withColumn("tf", F.array(*(occurrences(F.col("_t"), p) for p in phrases))).drop("_t")
 
 
 def bm25(docs: DataFrame, query: list[str], text_col: str = "text", scope: Column | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -25,8 +25,18 @@ def decode(data: bytes) -> str:
 
 
 def parse(text: str) -> list[tuple[int, float, float, str]]:
-    """(ordinal from 1, start, end, text) of each cue; lines of a cue are joined by spaces."""
+    """(ordinal from 1, start, end, text) of each cue; lines of a cue are joined by spaces.
+
+    Where a cue's text runs into another time line, empty lines in a row count as one, and the file is read again.
+    """
     text = text.lstrip("﻿").replace("\r\n", "\n")
+    found = _cues_of(text)
+    if any("-->" in c[3] for c in found) or (not found and "-->" in text):
+        found = _cues_of(re.sub(r"\n{3,}", "\n\n", text))
+    return found
+
+
+def _cues_of(text: str) -> list[tuple[int, float, float, str]]:
     found = list(_TIME.finditer(text))
     out = []
     for n, m in enumerate(found, 1):
@@ -52,6 +62,11 @@ def read_cues(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.srt").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(_cues, CUES)
 
 
+def is_usable(text: str, least_cues: int = 150, least_bytes: int = 2000) -> bool:
+    """usable() for one text."""
+    return text.count("-->") >= least_cues and len(text.encode("utf-8", "replace")) >= least_bytes and "<html" not in text[:400].lower()
+
+
 def usable(files: DataFrame, text_col: str = "text", least_cues: int = 150, least_bytes: int = 2000) -> DataFrame:
     """Files with enough cues and bytes that aren't HTML pages."""
     from lantern.functions.text import looks_like_html
