@@ -9,8 +9,11 @@
    full of links is saturated: there may be more than it has room for. The lists of all
    nodes linked with such a node, directly or not, are enlarged to hold them all: their
    component is compared exactly, in pairs of blocks of bounded size.
-4. Recall is audited: up to `audit` nodes, chosen by hash, are compared with all nodes. Under
-   `target`, everything is done again with twice the tables and lists.
+4. Recall is audited: up to `audit` nodes, half of them with links and half chosen from all, by hash, are
+   compared with all nodes. Under `target`, everything is done again with twice the tables and
+   lists; after LAST tables, the nodes of each label are compared exactly, in pairs of blocks.
+
+`recall` is what the last audit found, 1 where there was nothing to find.
 
 Vectors link only if their labels (and dimensions) are equal and not null. Null, zero and empty
 vectors and vectors with null, infinite or NaN components link with nothing, and so do rows
@@ -31,6 +34,8 @@ from . import common as C
 BITS = 24
 #: Nodes of a bucket or block that meet in one task; average size of a bucket; nodes joined in one call.
 MEET, BUCKET, BATCH = 256, 64, 1024
+#: Nodes of a block of an exact comparison; tables after which the descent is given up.
+BLOCK, LAST = 2048, 64
 EDGE = "src long, dst long, sim double"
 
 
@@ -120,11 +125,21 @@ def _exact(threshold: float):
         links[l] += hit @ copies[r]
         if first != second:
             links[r] += hit.T @ copies[l]
-        return pa.table({"node": ids, "links": links})
+        i, j = np.nonzero(hit)
+        root = C.star_edges(len(ids), l[i], r[j])
+        return pa.table({"node": ids, "links": links, "to": ids[root]})
 
     return run
 
 
+def exact(inside: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, to): links of the nodes of each group among themselves, and a spanning forest. inside: (component, node, copies, unit)."""
+    blocks = inside.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = inside.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", "node", "copies", "unit", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    return dealt.groupBy("component", "first", "second").applyInArrow(_exact(threshold), "node long, links long, to long")
+
+
 def _audit(ids: np.ndarray, spaces: list[str], units: list[np.ndarray], threshold: float):
     def run(batches):
         for batch in batches:
@@ -176,14 +191,17 @@ def neighbour_graph(nodes: DataFrame, k: int, tables: int, rounds: int, settled:
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93, k: int = 10, tables: int = 8, rounds: int = 4, settled: float = 0.002, audit: int = 256, target: float = 0.98) -> DataFrame:
-    """(id, n_links, component_id, kept) of every row."""
+    """(id, n_links, component_id, kept, recall) of every row."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.transform(vector_col, lambda x: x.cast("double")).alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    # Divided by its largest component first, so that squares neither overflow nor vanish.
+    rows = rows.withColumn("top", F.array_max(F.transform("v", lambda x: F.abs(x))))
+    rows = rows.withColumn("u", F.when((F.col("top") > 0) & (F.col("top") < float("inf")), F.transform("v", lambda x: x / F.col("top"))))
+    norm = F.sqrt(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x))
     valid = (F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & ~bad).cast("boolean")
     rows = rows.withColumn("norm", F.when(valid, norm)).withColumn("good", F.coalesce((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False)))
     rows = rows.withColumn("space", F.concat_ws(" ", F.size("v"), "label")).withColumn("name", F.md5(F.concat_ws(" ", F.array(F.col("space")), F.transform("v", lambda x: F.hex(x.cast("string"))))))
-    rows = C.cut(rows.select("id", "good", "space", F.when(F.col("good"), F.transform("v", lambda x: x / F.col("norm"))).alias("unit"), "name"))
+    rows = C.cut(rows.select("id", "good", "space", F.when(F.col("good"), F.transform("u", lambda x: x / F.col("norm"))).alias("unit"), "name"))
     nodes = C.cut(rows.where("good").groupBy("space", "name").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("unit").alias("unit")).drop("name"))
     while True:
         graph = neighbour_graph(nodes, k, tables, rounds, settled)
@@ -196,20 +214,25 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         full = graph.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n"), F.min("sim").alias("least")).where((F.col("n") >= k) & (F.col("least") >= threshold - 1e-3))
         dense = groups.join(full, "node", "left_semi").select("component").distinct()
         inside = groups.join(dense, "component", "left_semi").join(nodes, "node")
-        blocks = inside.groupBy("component").agg(F.ceil(F.count("*") / MEET).cast("int").alias("blocks"))
-        inside = inside.join(blocks, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", "node", "copies", "unit", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
-        enlarged = inside.groupBy("component", "first", "second").applyInArrow(_exact(threshold), "node long, links long")
+        enlarged = exact(inside.select("component", "node", "copies", "unit"), threshold).select("node", "links")
         sparse = links.join(groups.join(dense, "component", "left_anti").select(F.col("node").alias("a")), "a", "left_semi")
         both = sparse.union(sparse.select(F.col("b").alias("a"), F.col("a").alias("b")))
         single = both.join(nodes.select(F.col("node").alias("b"), "copies"), "b").select(F.col("a").alias("node"), F.col("copies").alias("links"))
         degree = C.cut(enlarged.union(single).groupBy("node").agg(F.sum("links").alias("links")))
-        chosen = nodes.orderBy(F.xxhash64("node", F.lit(3)), "node").limit(audit).collect()  # audit rows
-        if not chosen or tables >= 64:
+        order = [F.xxhash64("node", F.lit(3)), F.col("node")]
+        linked = nodes.join(degree.where("links > 0"), "node", "left_semi").orderBy(*order).limit(audit // 2)
+        chosen = linked.unionByName(nodes.orderBy(*order).limit(audit - audit // 2)).dropDuplicates(["node"]).orderBy("node").collect()  # audit rows
+        recall = 1.0
+        if not chosen:
             break
         check = _audit(np.array([r["node"] for r in chosen]), [r["space"] for r in chosen], [np.array(r["unit"]) for r in chosen], threshold)
         true = nodes.mapInArrow(check, "node long, true long").groupBy("node").agg(F.sum("true").alias("true")).join(degree, "node", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("links", F.lit(0))))).first()
-        if not true[0] or true[1] >= target * true[0]:
+        recall = true[1] / true[0] if true[0] else 1.0
+        if recall >= target:
+            break
+        if 2 * tables > LAST:
+            whole = C.cut(exact(nodes.select(F.col("space").alias("component"), "node", "copies", "unit"), threshold))
+            degree, groups, recall = whole.groupBy("node").agg(F.sum("links").alias("links")), C.cut(C.components(whole, "node", "to")), 1.0
             break
         k, tables = 2 * k, 2 * tables
     label = groups.join(nodes.select("node"), "node").select("node", "component")
@@ -219,7 +242,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     twins = named.groupBy("space", "name").agg(F.min("id").alias("node"))
     found = named.join(twins, ["space", "name"]).join(known, "node").select("id", "n_links", "component_id")
     alone = rows.where("not good").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return found.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return found.union(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"), F.lit(recall).alias("recall"))
 
 
 ORACLE = """
