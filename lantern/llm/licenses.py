@@ -4,7 +4,9 @@ Words are the runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after A-Z are lower
 wording with markup: `[[...]]` is optional, `{{name:a-b}}` stands for a to b words of any kind,
 `(x|y)` for one of some words. It compiles to an automaton over words without backtracking;
 a text is accepted where a run of its words takes the automaton to its end, so the
-mandatory wording must match exactly and in order.
+mandatory wording must match exactly and in order. Labels that end in -clause and those of short
+notices stand for that wording alone, the others of long wordings for whole licenses. An automaton runs on
+texts that hold all of its mandatory words.
 
 score is 1 - 0.5 ** places of base phrases * 0.25 ** labels by templates: 0 without any.
 Null and empty texts have no words, no labels (empty strings) and score 0. Ids may be null or
@@ -23,12 +25,25 @@ from pyspark.sql import functions as F
 # Phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Standard short wordings of licenses, in this module's markup.
+# Standard wordings of licenses, in this module's markup.
+MIT_START = "permission is hereby granted free of charge to any person obtaining a copy of this [[{{thing:1-2}}]] software"
+ISC_START = "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted"
+BSD_START = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] redistributions of source code must retain the above copyright notice "
+    "this list of conditions and the following disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+)
+BSD_END = (
+    "this software is provided by {{holder:1-8}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{holder:1-8}} "
+    "be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability "
+    "whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
 TEMPLATES = {
     "agpl-3.0": "gnu affero general public license [[as published by the free software foundation either]] version 3",
     "apache-2.0": "licensed under [[the terms of]] the apache license [[{{name:1-1}}]] version 2 0",
     "apache-2.0-named": "[[the]] apache license version 2 0",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
+    "bsd-clause": "redistribution and use in source and binary forms with or without modification are permitted",
+    "bsd-2-clause": BSD_START + BSD_END,
+    "bsd-3-clause": BSD_START + "[[3]] neither the name of [[the]] {{holder:1-8}} nor the names of (its|the) [[copyright holders nor the names of its]] contributors may be used to endorse or promote products derived from this software without specific prior written permission " + BSD_END,
     "bsd-named": "(released|licensed|distributed|available) under [[the terms of]] [[the]] [[(new|simplified|revised)]] [[(2|3|4) clause]] bsd [[(2|3|4) clause]] license",
     "cc-by-4.0": "cc by 4 0",
     "cc-by-nc-4.0": "cc by nc 4 0",
@@ -40,10 +55,12 @@ TEMPLATES = {
     "copyright": "copyright [[c]] {{year:1-1}} {{holder:1-6}} all rights reserved",
     "gpl-2.0": "gnu general public license [[as published by the free software foundation either]] version 2",
     "gpl-3.0": "gnu general public license [[as published by the free software foundation either]] version 3",
-    "isc": "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted",
+    "isc-clause": ISC_START,
+    "isc": ISC_START + " provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {{holder:1-6}} (disclaims|disclaim) all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{holder:1-6}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
     "lgpl": "gnu (lesser|library) general public license",
     "mit": "(released|licensed|distributed|available) under [[the terms of]] the mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this [[{{thing:1-2}}]] software",
+    "mit-clause": MIT_START,
+    "mit-text": MIT_START + " and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the {{holder:0-6}} authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "mpl-2.0": "mozilla public license [[v]] [[version]] 2 0",
     "spdx": "spdx license identifier {{id:1-1}}",
     "unlicense": "this is free and unencumbered software released into the public domain",
@@ -81,6 +98,17 @@ def parse(template: str) -> list:
     return sequence(())
 
 
+def mandatory(nodes: list) -> set[bytes]:
+    """Words that all accepted texts hold."""
+    out: set[bytes] = set()
+    for node in nodes:
+        if node[0] == "word":
+            out.add(node[1].encode())
+        elif node[0] == "one":
+            out |= set.intersection(*map(mandatory, node[1]))
+    return out
+
+
 class Automaton:
     """States with word edges, edges for any word, and free edges; the last state accepts."""
 
@@ -93,6 +121,8 @@ class Automaton:
         self.closed = [self._close(s) for s in range(len(self.words))]
         self.start = self.closed[start]
         self.first = {w for s in self.start for w in self.words[s]}
+        self.anywhere = any(self.any[s] for s in self.start) or self.end in self.start
+        self.mandatory = mandatory(parse(template))
 
     def _state(self) -> int:
         self.words.append({})
@@ -149,8 +179,6 @@ class Automaton:
 
 
 _TABLE = bytes(b if b > 0x7F or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 32 for b in range(256))
-#: A text that holds none of these accepts no template.
-ANCHORS = (b"licens", b"copyright", b"cc by", b"cc0", b"cc 0", b"is hereby granted", b"redistribution and use", b"public domain")
 
 
 def scan(text: str | None, automata: dict[str, Automaton]) -> tuple:
@@ -165,12 +193,11 @@ def scan(text: str | None, automata: dict[str, Automaton]) -> tuple:
             if found:
                 starts += found
                 base.add(label)
-    own_labels = set()
-    if any(a in joined for a in ANCHORS):
-        for name, automaton in automata.items():
-            label = NAMES.get(name, name)
-            if label not in own_labels and any(w in automaton.first and automaton.accepts_at(words, i) for i, w in enumerate(words)):
-                own_labels.add(label)
+    own_labels, held = set(), set(words)
+    for name, automaton in automata.items():
+        label = NAMES.get(name, name)
+        if label not in own_labels and automaton.mandatory <= held and any((automaton.anywhere or w in automaton.first) and automaton.accepts_at(words, i) for i, w in enumerate(words)):
+            own_labels.add(label)
     score = 1 - 0.5 ** len(starts) * 0.25 ** len(own_labels)
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | own_labels)), score
 
