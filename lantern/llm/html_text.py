@@ -14,7 +14,7 @@ result. Of pages of one path the least id (and text) is the one that others meet
 path, or of which nearly all lines agree, are the same page twice and don't delete each other's lines.
 
 A null or empty page gives an empty text. A page with a null or odd URL is not paired. Unclosed
-elements end with what encloses them. Ids may be null or repeated: one result row for each
+elements end with what encloses them; unclosed scripts, styles and titles run to the end, as they do in browsers. Ids may be null or repeated: one result row for each
 row; equal rows give equal results. Other columns are not read. An empty table gives an empty
 result. Pages are whole, of any length.
 """
@@ -37,8 +37,8 @@ from . import common as C
 SAME = 0.9
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|</?[a-zA-Z][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(?P<whole>noscript|template|svg|iframe|object)\b[^>]*>.*?</(?P=whole)\s*>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|</?[a-zA-Z][^>]*>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -120,10 +120,10 @@ def lines_of(html: str | None) -> list[tuple[str, str]]:
             if in_link:
                 linked += len(piece.strip())
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag, attributes = (m["tag"] or "").lower(), m["attributes"] or ""
         if not tag:
             continue
-        if m[2]:
+        if m["end"]:
             if tag in BLOCKS:
                 flush()
             elif tag in ("td", "th"):
@@ -148,8 +148,8 @@ def lines_of(html: str | None) -> list[tuple[str, str]]:
             in_link = 1
         if tag in VOID:
             continue
-        kind = _marked(tag, m[4] or "")
-        if tag in ("article", "main") and kind != "comments" or "main" in (m[4] or "") and re.search(r"\brole\s*=\s*[\"']?main\b", m[4]):
+        kind = _marked(tag, attributes)
+        if tag in ("article", "main") and kind != "comments" or "main" in attributes and re.search(r"\brole\s*=\s*[\"']?main\b", attributes):
             flush()
             if off and not seen_content and not any(k in ("comments", "aside", "footer") for _, k in stack):
                 for i, (_, k) in enumerate(stack):  # what looked like a frame holds the content
