@@ -13,8 +13,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lantern.operators.graph import components
 from lantern.plans.lineage import cut
 
+__all__ = ["components", "cut"]
+
 #: Bytes of a text that are hashed at once; bounds the memory of a task, not the text.
 CHUNK_BYTES = 1 << 18
 
@@ -30,32 +33,6 @@ def trim() -> None:
         release(0)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable over edges, for every node on an edge.
-
-    Alternates large-star and small-star steps, which needs O(log n) rounds even for
-    chains; every round is written to the checkpoint folder. Edges stay distributed.
-    """
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    pairs = cut(pairs)
-    last = None
-    while True:
-        both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        pairs = cut(small)
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == last:
-            break
-        last = state
-    found = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = found.select(F.col("component").alias("node"), "component").distinct()
-    return found.union(roots).groupBy("node").agg(F.min("component").alias("component"))
-
-
 def star_edges(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For links (i, j) among n rows, each row's root: the smallest linked index."""
     root = np.arange(n)

@@ -42,7 +42,7 @@ from . import common as C
 QUOTED, VARIABLE = re.compile(r'"[^"]*"'), re.compile("[0-9@]")
 MAY_VARY = re.compile('[0-9@"]')
 #: Lines of a block; two blocks are compared at once. Rows that go to a task in one call.
-BLOCK, BATCH = 512, 20_000
+BLOCK, BATCH = 2048, 20_000
 #: MinHash values of a document, and values in a band: a pair that agrees to 0.8 is missed with probability 2e-4.
 HASHES, BAND = 64, 4
 #: Keys that are broadcast at most, 8 bytes each.
@@ -287,14 +287,15 @@ def _numbers(batches):
 
 def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 5, depth: int = 3, similarity: float = 0.7, alike: float = 0.8, most_keys: int = 2_000_000) -> DataFrame:
     """The rows of docs with the kept lines in text_col, and `lines_dropped`."""
-    rows = docs.select(*[c for c in docs.columns if c not in ("lines_dropped", "_doc", "_nos")])
+    rows = docs.drop("lines_dropped")
     texts = rows.where(F.length(text_col) > 0).select(F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("text"))
     bad, held = _few(recurring(texts, min_docs, depth, similarity, alike), most_keys)
     if held:
         schema = T.StructType([*rows.schema.fields, T.StructField("lines_dropped", T.IntegerType())])
         return rows.mapInArrow(_dropper(text_col, held), schema)
     numbers = texts.mapInArrow(_numbers, "doc long, no int, line long").join(bad, "line").groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("no").alias("_nos"))
-    joined = rows.withColumn("_doc", F.xxhash64(text_col)).join(numbers, "_doc", "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("_nos", i)), "\n")
-    out = [F.when(F.col("_nos").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in rows.columns]
+    joined = rows.select(F.struct(*rows.columns).alias("_row"), F.xxhash64(text_col).alias("_doc")).join(numbers, "_doc", "left")
+    text = F.col(f"_row.{text_col}")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_nos", i)), "\n")
+    out = [F.when(F.col("_nos").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(f"_row.{c}").alias(c) for c in rows.columns]
     return joined.select(*out, F.when(F.col("_nos").isNull(), 0).otherwise(F.size("_nos")).alias("lines_dropped"))
