@@ -153,7 +153,10 @@ def _comparer(threshold: float, tolerance: float, step: int):
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, tolerance: float = 1e-7, step: int = 16) -> DataFrame:
-    """(id, class_id, n_links, kept, text_key): the smallest id of each group, links to other rows, id = class_id, and the text's xxhash64."""
+    """(id, class_id, n_links, kept, text_key, group_key): the smallest id of each group, links to other rows, id = class_id.
+
+    text_key is the text's xxhash64; group_key tells groups apart even where ids repeat, and is null for rows without words or id.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("name"), F.col(text_col).alias("text"))
     signed = C.cut(texts.mapInArrow(_signer(n), "id long, name long, k1 long, k2 long, n int, bands array<long>"))
     # Equal sets have equal k1 and k2; k1 names the class from here on.
@@ -189,29 +192,30 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = C.components(compared, "node", "to")
     smallest = groups.join(classes, "node").groupBy("component").agg(F.min("rep").alias("class_id"))
     found = classes.select("node", "k2", "rep", "copies").join(links, "node", "left").join(groups.join(smallest, "component"), "node", "left")
-    found = found.select(F.col("node").alias("k1"), "k2", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    named = signed.where("n > 0 and id is not null").select("id", "name", "k1", "k2").join(found, ["k1", "k2"]).select("id", "name", "class_id", "n_links")
-    alone = signed.where("n = 0 or id is null").select("id", "name", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return named.union(alone).select(F.col("id").alias(id_col), "class_id", "n_links", F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)).alias("kept"), F.col("name").alias("text_key"))
+    found = found.select(F.col("node").alias("k1"), "k2", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("group_key"))
+    named = signed.where("n > 0 and id is not null").select("id", "name", "k1", "k2").join(found, ["k1", "k2"]).select("id", "name", "class_id", "n_links", "group_key")
+    alone = signed.where("n = 0 or id is null").select("id", "name", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("group_key"))
+    return named.union(alone).select(F.col("id").alias(id_col), "class_id", "n_links", F.coalesce(F.col("id") == F.col("class_id"), F.lit(False)).alias("kept"), F.col("name").alias("text_key"), "group_key")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of docs of each group: with the smallest id, and of that with the smallest text key.
 
-    Rows without an id or without words stay, all of them.
+    Rows without links stay, all of them; so those without an id or without words.
     """
-    found = C.cut(jaccard_join(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("_id"), F.col("text_key").alias("_key"), "class_id", "kept").where("_id is not null"))
-    one = found.where("kept").groupBy("class_id").agg(F.min("_key").alias("one"))
-    several = C.cut(found.groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").join(one, "class_id").select("class_id", "one"))
-    gone = C.cut(found.join(several, "class_id").where("_id <> class_id or _key <> one").select("_id", "_key").distinct())
-    again = C.cut(found.join(several, "class_id").where("_id = class_id and _key = one").groupBy("_id", "_key").agg(F.count("*").alias("n")).where("n > 1").select("_id", "_key"))
-    keyed = docs.withColumn("_id", F.col(id_col).cast("long")).withColumn("_key", F.xxhash64(text_col))
-    few = gone.count() <= 1_000_000  # 16 bytes each
-    kept = keyed.join(F.broadcast(gone) if few else gone, ["_id", "_key"], "left_anti")
+    found = C.cut(jaccard_join(docs, id_col, text_col).where("n_links > 0").select(F.col(id_col).cast("long").alias("id"), F.col("text_key").alias("key"), F.col("group_key").alias("group")))
+    one = found.groupBy("group").agg(F.min(F.struct("id", "key")).alias("one"))
+    held = C.cut(found.groupBy("group", "id", "key").agg(F.count("*").alias("n")).join(one, "group").select("id", "key", "n", ((F.col("id") == F.col("one.id")) & (F.col("key") == F.col("one.key"))).alias("first")))
+    gone = held.where("not first").select(F.col("id").alias("_id"), F.col("key").alias("_key"))
+    again = held.where("first and n > 1").select(F.col("id").alias("_id"), F.col("key").alias("_key"))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_key"))
+    few = held.count() <= 1_000_000  # 16 bytes each
+    small = lambda df: F.broadcast(df) if few else df
+    kept = keyed.join(small(gone), ["_id", "_key"], "left_anti")
     if not again.isEmpty():  # equal rows
-        once = kept.join(again, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
-        kept = kept.join(again, ["_id", "_key"], "left_anti").unionByName(once)
-    return kept.select(docs.columns)
+        once = kept.join(small(again), ["_id", "_key"], "left_semi").groupBy("_id", "_key").agg(F.first("_row").alias("_row"))
+        kept = kept.join(small(again), ["_id", "_key"], "left_anti").unionByName(once)
+    return kept.select(*(F.col(f"_row.{c}").alias(c) for c in docs.columns))
 
 
 ORACLE = r"""

@@ -46,7 +46,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents")).drop("text_key")
+    return jaccard_join(table(spark, sf_dir, "documents")).drop("text_key", "group_key")
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings")).drop("recall")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
