@@ -176,12 +176,13 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     """The rows of docs with surrogates in text_col, and `n_entities`."""
     if not key:
         raise ValueError("a key is needed")
-    own = ("n_entities", "_at", "_new", "_real", "_pattern")
-    rows = docs.select(*[c for c in docs.columns if c not in own]).withColumn("_at", F.xxhash64(text_col))
+    names_kept = [c for c in docs.columns if c != "n_entities"]
+    rest = [c for c in names_kept if c != text_col]
+    rows = docs.select(F.struct(*rest, F.lit(0).alias("_")).alias("_row"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_at"))
     # explode() drops texts without a match and evaluates the patterns once, as a filter wouldn't.
-    matches = F.filter(F.array(F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0))), lambda m: F.size(m) > 0)
+    matches = F.filter(F.array(F.regexp_extract_all(F.col("_text"), F.lit(ANY), F.lit(0))), lambda m: F.size(m) > 0)
     titled = rf"^(?:(?:{TITLES})\.? )+"
-    found = rows.where(F.col(text_col).rlike(MAYBE)).select("_at", F.col(text_col).alias("text"), F.explode(matches).alias("matches"))
+    found = rows.where(F.col("_text").rlike(MAYBE)).select("_at", F.col("_text").alias("text"), F.explode(matches).alias("matches"))
     names = F.array_distinct(F.flatten(F.transform(F.filter("matches", lambda m: m.rlike(titled)), lambda m: F.split(F.regexp_replace(m, titled, ""), " "))))
     found = found.withColumn("names", names).withColumn("text", F.when(F.size("names") > 0, F.col("text"))).dropDuplicates(["_at"])
     found = C.cut(found.withColumn("pattern", F.when(F.size("names") > 0, F.concat(F.lit(ANY + r"|(?<!\p{L})(?:"), F.array_join("names", "|"), F.lit(r")(?!\p{L})")))))
@@ -200,7 +201,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     lists = C.cut(lists.join(found.select("_at", F.col("pattern").alias("_pattern")), "_at"))
     chars = F.aggregate("_new", F.lit(0), lambda a, x: a + F.length(x)) + F.coalesce(F.length("_pattern"), F.lit(0))
     joined = rows.join(_broadcast(lists, chars), "_at", "left")
-    between = F.when(F.col("_pattern").isNull(), F.split(F.col(text_col), ANY, -1)).otherwise(F.split(F.col(text_col), F.col("_pattern"), F.lit(-1)))
+    between = F.when(F.col("_pattern").isNull(), F.split(F.col("_text"), ANY, -1)).otherwise(F.split(F.col("_text"), F.col("_pattern"), F.lit(-1)))
     text = F.array_join(F.zip_with(between, "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    out = [F.when(F.col("_new").isNull(), F.col(c)).otherwise(text).alias(c) if c == text_col else F.col(c) for c in rows.columns if c != "_at"]
+    out = [F.when(F.col("_new").isNull(), F.col("_text")).otherwise(text).alias(c) if c == text_col else F.col(f"_row.{c}").alias(c) for c in names_kept]
     return joined.select(*out, F.coalesce("_real", F.lit(0)).alias("n_entities"))
