@@ -33,6 +33,18 @@ def trim() -> None:
         release(0)
 
 
+#: Bytes of an Arrow batch, unless the session sets another size; of whole texts, Spark's own size is much for a worker.
+BATCH_BYTES, SPARKS_OWN = "8388608b", "67108864b"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands texts to the workers in batches of BATCH_BYTES."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, SPARKS_OWN) == SPARKS_OWN:
+        conf.set(name, BATCH_BYTES)
+    return df
+
+
 def star_edges(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For links (i, j) among n rows, each row's root: the smallest linked index."""
     root = np.arange(n)

@@ -203,7 +203,7 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, rate: float
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rate: float = 0.08) -> DataFrame:
     """(id, item_id, start, end, edits): the best occurrence of each item in each document, by places in the normal text."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = C.small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     out = None
     for items in _blocks(benchmark, item_col, item_text_col, rate):
@@ -222,9 +222,11 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                 clean = np.ones(len(texts), dtype=bool)
                 clean[[f[0] for f in find(texts, items.value)]] = False
                 yield batch.filter(pa.array(clean))
+            C.trim()
 
         return run
 
+    C.small_batches(docs)
     for items in _blocks(benchmark, item_col, item_text_col, rate):
         docs = docs.mapInArrow(keeper(items), docs.schema)
     return docs

@@ -157,7 +157,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     text_key is the text's xxhash64; group_key tells groups apart even where ids repeat, and is null for rows without words or id.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("name"), F.col(text_col).alias("text"))
+    texts = C.small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("name"), F.col(text_col).alias("text"))
     signed = C.cut(texts.mapInArrow(_signer(n), "id long, name long, k1 long, k2 long, n int, bands array<long>"))
     # Equal sets have equal k1 and k2; k1 names the class from here on.
     classes = C.cut(

@@ -287,7 +287,7 @@ def _numbers(batches):
 
 def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 5, depth: int = 3, similarity: float = 0.7, alike: float = 0.8, most_keys: int = 2_000_000) -> DataFrame:
     """The rows of docs with the kept lines in text_col, and `lines_dropped`."""
-    rows = docs.drop("lines_dropped")
+    rows = C.small_batches(docs).drop("lines_dropped")
     texts = rows.where(F.length(text_col) > 0).select(F.xxhash64(text_col).alias("doc"), F.col(text_col).alias("text"))
     bad, held = _few(recurring(texts, min_docs, depth, similarity, alike), most_keys)
     if held:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _BYTE, chunks, cut, mix, powers, trim
+from .common import _BYTE, chunks, cut, mix, powers, small_batches, trim
 
 SPACE = "▁"
 WORD = f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
@@ -426,7 +426,7 @@ def _encoder(model: Model, known):
 def encode(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", common_words: int = 1_000_000) -> DataFrame:
     """(id, ids, n_ids, round_trip) of every row."""
     spark: SparkSession = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # About 30 bytes for each of common_words at most.
     parts = word_table(common(rows, model, common_words), model).mapInArrow(_packed(model), "keys binary, count binary, ids binary").collect()
     held = WordIds(*(np.frombuffer(b"".join(bytes(r[c]) for r in parts), dtype=kind) for c, kind in (("keys", np.uint64), ("count", np.int32), ("ids", np.int32))))

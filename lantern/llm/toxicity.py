@@ -325,7 +325,7 @@ def _scorer(model: Crf | None):
 
 def score(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """(id, held_out, score, predicted, spans) of every row."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = C.small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(_scorer(model), f"id {rows.schema['id'].dataType.simpleString()}, score double, spans array<struct<start:int,end:int,marginal:double>>")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
 
@@ -342,5 +342,6 @@ def keep_clean(docs: DataFrame, model: Crf | None, text_col: str = "text", thres
                     for d, _, p in model.tag(C.Words(texts[a:b], PREFIXES)):
                         score[d] = model.score(p)
                 yield batch.slice(a, b - a).filter(pa.array(score < threshold))
+        C.trim()
 
-    return docs.mapInArrow(run, docs.schema)
+    return C.small_batches(docs).mapInArrow(run, docs.schema)
