@@ -59,7 +59,12 @@ def _cues(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def read_cues(spark: SparkSession, path: str) -> DataFrame:
     """Cues of all subtitle files under a path, by Spark's binary file source."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.srt").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(_cues, CUES)
+    return cues_of(spark.read.format("binaryFile").option("pathGlobFilter", "*.srt").option("recursiveFileLookup", "true").load(path))
+
+
+def cues_of(files: DataFrame) -> DataFrame:
+    """(path, cue, start_s, end_s, text) of files (path, content), content being bytes."""
+    return files.select("path", "content").mapInPandas(_cues, CUES)
 
 
 def is_usable(text: str, least_cues: int = 150, least_bytes: int = 2000) -> bool:

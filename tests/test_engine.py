@@ -95,9 +95,25 @@ def test_partitions_are_replaced(spark, tmp_path):
 
 
 def test_upsert_stream(spark, tmp_path):
-    source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for rows in ([("k", 1, "x"), ("m", 1, "y")], [("k", 2, "z")]):
-        spark.createDataFrame(rows, "key string, seq int, v string").write.mode("append").parquet(source)
-        stream = spark.readStream.schema("key string, seq int, v string").parquet(source)
-        ledger.upsert_stream(stream, out, "key", "seq", str(tmp_path / "c")).awaitTermination()
-    assert sorted((r["key"], r["v"]) for r in spark.read.parquet(f"{out}/v=1").collect()) == [("k", "z"), ("m", "y")]
+    source, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "key string, seq int, v string"
+    assert ledger.upserted(spark, out, schema).collect() == []
+    kept = {}
+    batches = [[("k", 1, "x"), ("m", 1, "y"), (None, 1, "n")], [("k", 2, "z")], [("k", 1, "late"), ("p", 1, "q")], [("m", 1, "equal"), (None, 2, "o")]]
+    for number, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        ledger.upsert_stream(stream, out, "key", "seq", str(tmp_path / "c"), buckets=64).awaitTermination()
+        for k, n, v in rows:
+            if n >= kept.get(k, (0, ""))[0]:
+                kept[k] = (n, v)
+        assert {r["key"]: (r["seq"], r["v"]) for r in ledger.upserted(spark, out, schema).collect()} == kept
+    held = ledger._state(spark, out, number)
+    assert len(set(held.values())) > 1  # untouched buckets stay where they are
+    assert not (tmp_path / "out" / "state" / f"n={number - 2}").exists()
+    import shutil
+
+    shutil.rmtree(tmp_path / "out" / "state" / f"n={number}")  # a batch that died before its state was written
+    (tmp_path / "c" / "commits" / str(number)).unlink()
+    (tmp_path / "c" / "commits" / f".{number}.crc").unlink(missing_ok=True)
+    ledger.upsert_stream(spark.readStream.schema(schema).parquet(source), out, "key", "seq", str(tmp_path / "c"), buckets=64).awaitTermination()
+    assert {r["key"]: (r["seq"], r["v"]) for r in ledger.upserted(spark, out, schema).collect()} == kept
