@@ -216,9 +216,10 @@ def near_copies(named: DataFrame, alike: float) -> DataFrame:
     shared = held.groupBy("template").agg(F.count("*").alias("n")).where("n > 1").select("template", F.lit(1).alias("shared"))
     held = held.join(_small(shared), "template", "left").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("template", "size"))).alias("held"), F.sum("size").alias("total"), F.sum(F.col("size") * F.col("shared")).alias("common"))
     held = C.cut(held.where(F.col("common") >= alike * F.col("total")).select("doc", "held", "total"))  # others agree with none
-    keys = held.mapInArrow(_bands, "doc long, key long")
+    keys = C.cut(held.mapInArrow(_bands, "doc long, key long"))
+    # Broadcast, so that the many documents of one key stay where they are; beyond that AQE may split them.
     first = keys.groupBy("key").agg(F.min("doc").alias("copied"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = keys.join(first, "key").where("doc <> copied").select("doc", "copied").distinct()
+    pairs = keys.join(_small(first), "key").where("doc <> copied").select("doc", "copied").distinct()
     pairs = pairs.join(held, "doc").join(held.select(F.col("doc").alias("copied"), F.col("held").alias("other"), F.col("total").alias("others")), "copied")
     both = F.aggregate(F.array_intersect("held", "other"), F.lit(0).cast("long"), lambda a, x: a + x["size"])
     near = pairs.withColumn("both", both).where(F.col("both") >= alike * (F.col("total") + F.col("others") - F.col("both")))
