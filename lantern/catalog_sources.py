@@ -17,7 +17,7 @@ __all__ = ["ORACLES", "QUERIES"]
 # -- subtitle files ------------------------------------------------------------------------
 
 @query(r"""WITH c AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INTEGER AS cue, turn, text FROM conversations WHERE turn < 60 AND trim(text, chr(10) || ' ') <> '')
-SELECT conv_id, cue, turn * 2.0 AS start_s, turn * 2.0 + 1.5 AS end_s, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS text FROM c""")
+SELECT conv_id, cue, (turn * 2.0)::DOUBLE AS start_s, (turn * 2.0 + 1.5)::DOUBLE AS end_s, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' ') AS text FROM c""")
 def subtitle_cues(spark, sf_dir):
     turns = T(spark, sf_dir, "conversations").where("turn < 60 and trim(both '\\n ' from text) <> ''")
     at = lambda plus, end: F.format_string(f"00:%02d:%02d,{end}", F.floor(F.col("turn") * 2 / 60).cast("int"), ((F.col("turn") * 2) % 60 + plus).cast("int"))
