@@ -534,16 +534,18 @@ def latest_success(spark, sf_dir):
 
 # -- grounding -----------------------------------------------------------------------------
 
-ANSWER_SQL = "SELECT conv_id, regexp_replace(text, '([.!?])( |$)', '\\1 [' || (1 + turn % 4) || ']\\2', 'g') AS answer FROM conversations WHERE turn = 1"
+ANSWER_SQL = "SELECT conv_id, string_agg(regexp_replace(text, '([.!?])( |$)', '\\1 [' || (1 + turn % 4) || ']\\2', 'g'), ' ' ORDER BY turn) AS answer FROM conversations GROUP BY conv_id"
 
 
 def _answers(spark, sf_dir) -> DataFrame:
+    """All turns of a conversation, in order, as one answer."""
     mark = F.concat(F.lit("$1 ["), (1 + F.col("turn") % 4).cast("string"), F.lit("]$2"))
-    return T(spark, sf_dir, "conversations").where("turn = 1").select("conv_id", F.regexp_replace("text", F.lit("([.!?])( |$)"), mark).alias("answer"))
+    marked = T(spark, sf_dir, "conversations").select("conv_id", F.struct("turn", F.regexp_replace("text", F.lit("([.!?])( |$)"), mark).alias("text")).alias("t"))
+    return marked.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list("t"))["text"], " ").alias("answer"))
 
 
 def _evidence(spark, sf_dir) -> DataFrame:
-    return T(spark, sf_dir, "conversations").where("turn < 3").select("conv_id", (F.col("turn") + 1).cast("int").alias("slot"), F.col("text").alias("quote"), F.col("role").alias("title"))
+    return T(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).cast("int").alias("slot"), F.col("text").alias("quote"), F.col("role").alias("title"))
 
 
 @query(f"SELECT DISTINCT conv_id, unnest(regexp_extract_all(answer, '\\[(\\d+)\\]', 1))::INTEGER AS slot FROM ({ANSWER_SQL})")
@@ -555,7 +557,7 @@ FAITHFUL_SQL = rf"""WITH a AS ({ANSWER_SQL}),
 g AS (SELECT conv_id, regexp_replace(regexp_replace(answer, '([.!?])\s*(\[\d+\])', '\1\2', 'g'), '([.!?\]])\s+([A-Z])', '\1' || chr(1) || '\2', 'g') AS t FROM a),
 s AS (SELECT conv_id, unnest(list_filter(string_split(t, chr(1)), lambda x: trim(x) <> '')) AS sentence, unnest(range(len(list_filter(string_split(t, chr(1)), lambda x: trim(x) <> '')))) AS n FROM g),
 c AS (SELECT *, list_distinct(regexp_extract_all(sentence, '\[(\d+)\]', 1)) AS cites FROM s),
-e AS (SELECT conv_id, turn + 1 AS slot, text FROM conversations WHERE turn < 3),
+e AS (SELECT conv_id, turn + 1 AS slot, text FROM conversations),
 q AS (SELECT c.conv_id, c.n, string_agg(e.text, ' ') AS quotes FROM c JOIN e ON e.conv_id = c.conv_id AND list_contains(c.cites, e.slot::VARCHAR) GROUP BY c.conv_id, c.n),
 w AS (SELECT c.conv_id, c.n, c.sentence, len(cites) > 0 AS cited, quotes,
   list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(c.sentence, '\[\d+\]', '', 'g')), '[a-z]{{4,}}'), lambda x: NOT list_contains({X.FUNCTION_WORDS!r}, x))) AS words,
@@ -570,7 +572,7 @@ def faithfulness_overlap(spark, sf_dir):
 
 
 @query(f"""WITH a AS ({ANSWER_SQL}), cited AS (SELECT DISTINCT conv_id, unnest(regexp_extract_all(answer, '\\[(\\d+)\\]', 1))::INTEGER AS slot FROM a),
-e AS (SELECT conv_id, turn + 1 AS slot, role AS title FROM conversations WHERE turn < 3),
+e AS (SELECT conv_id, turn + 1 AS slot, role AS title FROM conversations),
 u AS (SELECT a.conv_id, 'user' AS title, 0 AS o FROM a WHERE a.conv_id IN (SELECT conv_id FROM e WHERE title = 'user')
 UNION ALL SELECT e.conv_id, e.title, e.slot + 1000 FROM e JOIN cited USING (conv_id, slot)),
 k AS (SELECT conv_id, title, min(o) AS o FROM u GROUP BY ALL)
