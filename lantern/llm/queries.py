@@ -1,4 +1,4 @@
-"""Queries op1 to op10 over the tables of a folder, and SQL for those that SQL can express."""
+"""Queries op1 to op13 over the tables of a folder, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, nn_descent, sentencepiece_lattice, toxicity
+from . import importance, licenses, nn_descent, sentencepiece_lattice, toxicity
 from .common import table
 from .decontaminate import contaminated
 from .html_text import html_text
@@ -65,6 +65,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "lines_dropped")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nn_descent": op8_nn_descent,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_line_dedup": op10_line_dedup,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
-ORACLES: dict[str, str] = {"op6_jaccard_join": JACCARD_SQL, "op7_licenses": licenses.oracle(), "op8_nn_descent": nn_descent.ORACLE}
+ORACLES: dict[str, str] = {"op6_jaccard_join": JACCARD_SQL, "op7_licenses": licenses.oracle(), "op8_nn_descent": nn_descent.ORACLE, "op11_importance_resampling": importance.ORACLE}
