@@ -8,7 +8,7 @@ from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import importance, licenses, nn_descent, sentencepiece_lattice, toxicity
+from . import collocations, importance, licenses, nn_descent, sentencepiece_lattice, toxicity
 from .common import table
 from .decontaminate import contaminated
 from .html_text import html_text
@@ -69,6 +69,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_line_dedup": op10_line_dedup,
     "op11_importance_resampling": op11_importance_resampling,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLES: dict[str, str] = {"op6_jaccard_join": JACCARD_SQL, "op7_licenses": licenses.oracle(), "op8_nn_descent": nn_descent.ORACLE, "op11_importance_resampling": importance.ORACLE}
+ORACLES: dict[str, str] = {"op6_jaccard_join": JACCARD_SQL, "op7_licenses": licenses.oracle(), "op8_nn_descent": nn_descent.ORACLE, "op11_importance_resampling": importance.ORACLE, "op13_collocations": collocations.ORACLE}
