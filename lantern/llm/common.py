@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_keys(row_id, text) -> list:
+    """k1 and k2, 128 bits that name a row by its id and text; rows with equal ids and texts have equal names."""
+    return [F.xxhash64(row_id, text).alias("k1"), F.xxhash64(F.lit("row"), text, row_id).alias("k2")]
+
+
 def trim() -> None:
     """Give memory that a task has freed back to the machine; workers live on after their tasks."""
     pa.default_memory_pool().release_unused()

@@ -116,8 +116,7 @@ HEAD = ["k1", "k2", "n_words", "n_features", "hot", "copies"]
 
 def weights(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", low: int = 1, high: int = 1, buckets: int = 10_000) -> DataFrame:
     """(id, n_words, n_features, weight), a row for each of docs."""
-    # 128 bits that name a row; rows with equal id and text have equal results
-    keys = [F.xxhash64(F.col(id_col), F.col(text_col)).alias("k1"), F.xxhash64(F.lit("row"), F.col(text_col), F.col(id_col)).alias("k2")]
+    keys = C.row_keys(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(text_col).cast("binary").alias("text"), *keys)
     own = C.cut(dictionary(rows.select("text"), low, high, buckets))
     sought = dictionary(target.select(F.col(text_col).cast("binary").alias("text")), low, high, buckets)

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from secrets import token_hex
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import collocations, importance, licenses, nn_descent, sentencepiece_lattice, toxicity
+from . import collocations, importance, licenses, nn_descent, repeats, sentencepiece_lattice, toxicity
 from .common import table
 from .decontaminate import contaminated
 from .html_text import html_text
@@ -69,6 +70,12 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -85,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": op9_sentencepiece,
     "op10_line_dedup": op10_line_dedup,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_collocations": op13_collocations,
 }
 
