@@ -5,7 +5,7 @@
    anchors, so all places of a string that stands twice are in segments of one anchor.
 2. Segments are counted by (anchor, contents) inside the tasks and then globally. Anchors that stand once are out.
    Of equal segments one is looked up, with its count; so copies of a text cost no more than two.
-3. Segments of an anchor go to one task. A task transforms about a megabyte of segments at once:
+3. Segments of an anchor go to one task. A task transforms a quarter of a megabyte of segments at once, or all of an anchor:
    suffixes are sorted, and neighbours in that order whose next character to the left is the same are
    extended breadth-first: two neighbours share l + 1 bytes unless one of those between them shares less than l.
    Common prefixes are found by increasing length, and the search stops at `length` or when nothing new was found. What
@@ -34,7 +34,7 @@ SECTION, TOGETHER = 1 << 22, 1 << 18
 #: Segments that a task counts together.
 HELD = 300_000
 #: Bytes of a transform, and different segments of an anchor that go into one.
-BLOCK, ANCHOR = 1 << 20, 8192
+BLOCK, ANCHOR = 1 << 18, 8192
 #: Columns of a segment; place is its start, times 2^20, and its windows.
 SEGMENT = ["anchor", "seg", "k1", "k2", "place"]
 _LOW = np.uint64((1 << 24) - 1)
@@ -192,7 +192,7 @@ def suffixes(data: np.ndarray, depth: int) -> np.ndarray:
         rank = (rank << np.uint64(8)) | np.roll(data, -k)
     size = 8
     while True:
-        order = np.argsort(rank, kind="stable" if size >= depth else "quicksort")
+        order = np.argsort(rank)
         if size >= depth:
             return order
         ordered = rank[order]
