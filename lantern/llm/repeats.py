@@ -1,6 +1,6 @@
 """Removal of repeated byte strings by threshold-bounded interval expansion on Burrows-Wheeler transforms.
 
-1. Every window of `length` bytes has an anchor: its 16-byte gram of the least hash. Windows of one
+1. Every window of `length` bytes has an anchor: its 48-byte gram of the least hash. Windows of one
    text that follow each other and have the same anchor are a segment. Equal windows have equal
    anchors, so all places of a string that stands twice are in segments of one anchor.
 2. Segments are counted by (anchor, contents) inside the tasks and then globally. Anchors that stand once are out.
@@ -28,7 +28,7 @@ from pyspark.sql.window import Window as W
 
 from . import common as C
 
-GRAM = 16
+GRAM = 48
 #: Bytes of a text that are read at once, and of texts that are read together.
 SECTION, TOGETHER = 1 << 22, 1 << 18
 #: Segments that a task counts together.
@@ -43,16 +43,11 @@ _LOW = np.uint64((1 << 24) - 1)
 def segments(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """(text, anchor, contents, start, windows) of all segments of the texts that stand in data up to ends; start counts in data."""
     n = data.size - length + 1
-    if n <= 0:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
     gram = min(GRAM, length)
-    if gram == 16:
-        words = np.ndarray((data.size - 7,), dtype="<u8", buffer=data, strides=(1,))
-        grams = C.mix(words[:-8] * np.uint64(0x9E3779B97F4A7C15) + C.mix(words[8:] + np.uint64(1)))
-    else:
-        grams = np.zeros(data.size - gram + 1, dtype=np.uint64)
-        for k in range(gram):
-            grams = C.mix(grams + data[k : k + grams.size])
+    power, inverse = C.powers(data.size + 1)
+    total = np.zeros(data.size + 1, dtype=np.uint64)
+    np.cumsum(C._BYTE[data] * power[: data.size], out=total[1:])
+    grams = C.mix((total[gram:] - total[:-gram]) * inverse[: data.size - gram + 1])
     least = (grams & ~_LOW) | np.arange(grams.size, dtype=np.uint64)
     width, size = length - gram + 1, 1
     while 2 * size <= width:
@@ -60,21 +55,20 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarra
         size *= 2
     if size < width:
         least = np.minimum(least[: least.size - (width - size)], least[width - size :])
-    at = (least & _LOW).astype(np.int64)  # of each window, the place of its anchor
-    text = np.searchsorted(ends, np.arange(n), side="right")
-    inside = np.arange(n) + length <= ends[text]
+    at = (least & _LOW).view(np.int64)  # of each window, the place of its anchor
+    inside = np.ones(n, dtype=bool)
+    for end in ends[:-1].tolist():
+        inside[end - length + 1 : end] = False
     change = np.ones(n, dtype=bool)
-    change[1:] = (at[1:] != at[:-1]) | (inside[1:] != inside[:-1]) | (text[1:] != text[:-1])
+    change[1:] = (at[1:] != at[:-1]) | (inside[1:] != inside[:-1])
     first = np.flatnonzero(change)
     many = np.diff(np.append(first, n))
     good = inside[first]
     first, many = first[good], many[good]
-    power, inverse = C.powers(data.size + 1)
-    total = np.zeros(data.size + 1, dtype=np.uint64)
-    np.cumsum(C._BYTE[data] * power[: data.size], out=total[1:])
+    text = np.searchsorted(ends, first, side="right")
     own = (total[first + many + length - 1] - total[first]) * inverse[first]
     own = C.mix(own + many.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + (at[first] - first).astype(np.uint64))
-    return text[first], grams[at[first]].view(np.int64), own.view(np.int64), first, many
+    return text, grams[at[first]].view(np.int64), own.view(np.int64), first, many
 
 
 def _each(batch: pa.RecordBatch, length: int):
@@ -206,26 +200,47 @@ def expansion(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(places in suffix order, common prefix of each with the one before, or length if it is that or more)."""
     order = suffixes(data, length + 1)
     left = data[order - 1]  # the transform
-    back = np.argsort(left, kind="stable").astype(np.int32)  # row of the transform that each suffix extends to the left
+    back = np.argsort(left, kind="stable")  # row of the transform that each suffix extends to the left
     # back's order is that of one byte more, which agrees with order on prefixes of up to length bytes
-    prefix = np.full(data.size, length, dtype=np.int16)
-    known = np.ones(data.size, dtype=bool)
+    n = data.size
+    prefix = np.full(n, length, dtype=np.int16)
+    known = np.ones(n, dtype=bool)
     known[1:] = left[back[1:]] != left[back[:-1]]
     prefix[known] = 0
-    open_ = np.flatnonzero(~known).astype(np.int32)
+    fresh, depth = np.flatnonzero(known), 1
+    # While most intervals are new, all open neighbours are looked at
+    open_ = np.flatnonzero(~known)
     low, high = back[open_ - 1], back[open_]
-    fresh = known
-    for depth in range(1, length):
-        if not open_.size or not fresh.any():
-            break
-        before = np.cumsum(fresh, dtype=np.int32)  # boundaries that the last round found
+    while depth < length and fresh.size and 64 * fresh.size > n:
+        before = np.zeros(n, dtype=np.int32)
+        before[fresh] = 1
+        np.cumsum(before, out=before)
         hit = before[high] != before[low]
-        found = open_[hit]
-        prefix[found] = depth
-        fresh = np.zeros(data.size, dtype=bool)
-        fresh[found] = True
-        stay = ~hit
-        open_, low, high = open_[stay], low[stay], high[stay]
+        fresh = open_[hit]
+        prefix[fresh] = depth
+        open_, low, high = open_[~hit], low[~hit], high[~hit]
+        depth += 1
+    # Then the new intervals alone: [first, end) of each is extended by every byte that stands left of it
+    bounds = np.flatnonzero(prefix < length)
+    first, end = bounds[np.searchsorted(bounds, fresh[fresh > 0]) - 1], fresh[fresh > 0]
+    row = np.empty(n, dtype=np.int64)
+    row[back] = np.arange(n)
+    while depth < length and first.size:
+        size = end - first
+        inside = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+        parent = np.repeat(np.arange(size.size), size)
+        longer = row[inside]
+        by = np.argsort(longer)
+        longer, parent = longer[by], parent[by]
+        begins = np.ones(longer.size, dtype=bool)
+        begins[1:] = (longer[1:] != longer[:-1] + 1) | (parent[1:] != parent[:-1]) | (prefix[longer[1:]] == 0)
+        at = np.flatnonzero(begins)
+        first, end = longer[at], longer[np.append(at[1:], longer.size) - 1] + 1
+        new = prefix[np.minimum(end, n - 1)] == length
+        new &= end < n
+        first, end = first[new], end[new]
+        prefix[end] = depth
+        depth += 1
     return order[back] - 1, prefix
 
 
