@@ -2,11 +2,12 @@
 
 1. Texts become shards of one language each: the distinct words, and the sequence of their numbers
    with a gap after each piece. Shards are written once; later rounds read no text.
-2. A shard's sequence is cut into containers of 4096 positions at most. In a container each word
+2. A shard's sequence is cut into containers of 512 positions at most. In a container each word
    has a bitmap of its positions (words that don't stand there have none): a phrase's bitmap,
    shifted by one, AND a word's bitmap is the bitmap of the longer phrase; its popcount is the
    phrase's count. Gaps have no bit, so no phrase crosses one. A piece that is longer than a
-   container goes on in the next, and a phrase counts where it starts.
+   container goes on in the next, and a phrase counts where it starts. Some containers at a time are
+   worked on side by side and down to the longest phrases, before the next are read.
 3. Popcounts are summed over shards: first of words, then of pairs of frequent words, then, depth
    first, of longer phrases all of whose pairs are frequent. After the first two rounds each
    shard is told which of its own words and pairs are frequent, by joins: nothing is broadcast.
@@ -31,11 +32,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Positions of a container, and words of a shard: both bound a task's memory.
-BITS, SHARD = 4096, 1 << 22
-#: Distinct phrases that a task holds before it hands their counts on.
-HELD = 400_000
-_ONE = [1 << k for k in range(BITS)]
+#: Positions of a container, a multiple of 64; containers that are worked on together; words of a shard. All bound a task's memory.
+BITS, SLAB, SHARD = 512, 256, 1 << 22
+#: Phrases that a task holds before it sums their counts and hands them on.
+HELD = 1_000_000
 _CLEAN = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x0A if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 SHARDS = "shard long, lang string, total long, words array<string>, counts array<int>, sequence binary"
 
@@ -87,7 +87,7 @@ def _sharder(most: int):
 
 
 def containers(seq: np.ndarray, most: int, bits: int):
-    """(numbers of the positions, how many of them are starts). Pieces are whole, or go on with the last positions as a look ahead."""
+    """(first, end, starts) of each container. Pieces are whole, or go on in the next container and end with a look ahead."""
     at, gaps = 0, np.flatnonzero(seq == 0)
     while at < seq.size:
         end = min(at + bits, seq.size)
@@ -95,70 +95,109 @@ def containers(seq: np.ndarray, most: int, bits: int):
         if end == seq.size or gap >= 0 and gaps[gap] >= at:
             upto = end if end == seq.size else int(gaps[gap]) + 1
             if upto - at > 1:
-                yield seq[at:upto].tolist(), upto - at
+                yield at, upto, upto - at
             at = upto
         else:
-            yield seq[at:end].tolist(), end - at - (most - 1)
+            yield at, end, end - at - (most - 1)
             at = end - (most - 1)
 
 
-def bitmaps(numbers: list[int]) -> dict[int, int]:
-    """The positions of each word, as bits."""
-    out: dict[int, int] = {}
-    for place, w in enumerate(numbers):
-        if w:
-            out[w] = out.get(w, 0) | _ONE[place]
+def slabs(seq: np.ndarray, most: int, bits: int):
+    """Containers side by side, SLAB at a time: (numbers, one row for each container; starts of each)."""
+    held = []
+    for found in containers(seq, most, bits):
+        held.append(found)
+        if len(held) == SLAB:
+            yield _side_by_side(seq, held, bits)
+            held = []
+    if held:
+        yield _side_by_side(seq, held, bits)
+
+
+def _side_by_side(seq: np.ndarray, held: list, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    out = np.zeros((len(held), bits), dtype=np.int32)
+    for k, (first, end, _) in enumerate(held):
+        out[k, : end - first] = seq[first:end]
+    return out, np.array([starts for _, _, starts in held])
+
+
+def _bit(n: np.ndarray) -> np.ndarray:
+    return np.uint64(1) << (n & 63).astype(np.uint64)
+
+
+def shifted(bitmaps: np.ndarray) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) moved on by one position; the last one leaves its container."""
+    out = bitmaps << np.uint64(1)
+    out[:, 1:] |= bitmaps[:, :-1] >> np.uint64(63)
     return out
 
 
-def places(bits: int):
-    while bits:
-        low = bits & -bits
-        yield low.bit_length() - 1
-        bits ^= low
-
-
-def _pairs(numbers: list[int], starts: int, counts: Counter) -> None:
-    bits, mask, shifted = bitmaps(numbers), (1 << starts) - 1, {}
-    for a, b in set(zip(numbers, numbers[1:], strict=False)):
-        if a and b:
-            if a not in shifted:
-                shifted[a] = (bits[a] & mask) << 1
-            if n := (shifted[a] & bits[b]).bit_count():
-                counts[a, b] += n
-
-
-def _deeper(numbers: list[int], starts: int, frequent: set[tuple[int, int]], most: int, counts: Counter) -> None:
-    bits, mask = bitmaps(numbers), (1 << starts) - 1
-    after = defaultdict(list)
-    pairs = set(zip(numbers, numbers[1:], strict=False)) & frequent
-    for a, b in pairs:
-        after[a].append(b)
-
-    def extend(phrase: tuple[int, ...], ends: int) -> None:
-        moved, last = ends << 1, phrase[-1]
-        if ends.bit_count() > 8:
-            words = after[last]
-        else:  # fewer bits than words that may follow: look at the words that do
-            words = {numbers[p] for p in places(moved) if p < len(numbers)}
-        for w in words:
-            if (last, w) in frequent and (longer := moved & bits[w]):
-                counts[*phrase, w] += longer.bit_count()
-                if len(phrase) + 1 < most:
-                    extend((*phrase, w), longer)
-
-    for a, b in pairs if most > 2 else ():
-        if b in after and (ends := ((bits[a] & mask) << 1) & bits[b]):
-            extend((a, b), ends)
-
-
-def _numbers(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """The shard's sequence over its frequent words only, the rest as gaps; the global number of each of them."""
-    seq = np.frombuffer(zlib.decompress(row["sequence"].as_py()), dtype=np.int32)
-    local, known = (row["known"].values.field(k).to_numpy() for k in ("i", "id"))
-    table = np.zeros(int(max(seq.max(initial=0), local.max(initial=0))) + 1, dtype=np.int32)
-    table[local] = np.arange(1, local.size + 1, dtype=np.int32)
-    return table[seq], np.concatenate([[-1], known])
+def mine(numbers: np.ndarray, starts: np.ndarray, most: int, frequent: np.ndarray | None = None):
+    """(words of each phrase as columns, counts) of the phrases of 2 to most words, a size at a time.
+
+    frequent: sorted codes first * 2^32 + second of pairs; phrases with another pair are not extended.
+    """
+    bits = numbers.shape[1]
+    flat = numbers.ravel()
+    place = np.arange(flat.size)
+    held = np.flatnonzero(flat)
+    # A bitmap for each word of each container where it stands
+    key, at = np.unique((held // bits) << 32 | flat[held], return_inverse=True)
+    word_row = np.full(flat.size, -1, dtype=np.int64)
+    word_row[held] = at
+    words = np.zeros((key.size, bits // 64), dtype=np.uint64)
+    np.add.at(words.reshape(-1), at * (bits // 64) + (held % bits) // 64, _bit(held))  # each bit once
+    limit = np.where(np.arange(bits // 64)[None, :] * 64 + 64 <= starts[:, None], ~np.uint64(0), np.uint64(0))
+    edge = np.flatnonzero(starts < bits)
+    limit[edge, starts[edge] // 64] = _bit(starts[edge]) - np.uint64(1)
+    word_of = (key & 0xFFFFFFFF).astype(np.int32)
+    ends, end_row, columns = words & limit[key >> 32], word_row, [word_of]
+    for _ in range(2, most + 1):
+        next_ = place[1:][(end_row[:-1] >= 0) & (word_row[1:] >= 0) & (place[1:] % bits != 0)]
+        if frequent is not None:
+            code = flat[next_ - 1].astype(np.int64) << 32 | flat[next_]
+            near = np.searchsorted(frequent, code)
+            next_ = next_[frequent[np.minimum(near, frequent.size - 1)] == code] if frequent.size else next_[:0]
+        if not next_.size:
+            return
+        # The phrases that may stand here, and the bitmap of each: shift, AND, popcount
+        pair, at = np.unique(end_row[next_ - 1] * key.size + word_row[next_], return_inverse=True)
+        phrase, word = pair // key.size, pair % key.size
+        ends = shifted(ends[phrase]) & words[word]
+        n = np.bitwise_count(ends).sum(1, dtype=np.int64)
+        columns = [*(c[phrase] for c in columns), word_of[word]]
+        there = n > 0
+        yield [c[there] for c in columns], n[there]
+        end_row = np.full(flat.size, -1, dtype=np.int64)
+        end_row[next_] = np.where(there[at], at, -1)
+
+
+def summed(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each phrase once, its counts summed."""
+    order = np.lexsort(columns)
+    columns = [c[order] for c in columns]
+    fresh = np.ones(n.size, dtype=bool)
+    fresh[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    at = np.flatnonzero(fresh)
+    return [c[at] for c in columns], np.add.reduceat(n[order], at)
+
+
+def _all_of(seq: np.ndarray, most: int, bits: int, frequent: np.ndarray | None = None, least: int = 2):
+    """(words as columns, counts) of a shard's phrases of least to most words, summed over up to HELD rows."""
+    held: dict[int, list] = defaultdict(list)
+    rows: Counter = Counter()
+    for numbers, starts in slabs(seq, most, bits):
+        for columns, n in mine(numbers, starts, most, frequent):
+            size = len(columns)
+            if size < least:
+                continue
+            held[size].append((columns, n))
+            rows[size] += n.size
+            if rows[size] >= HELD:
+                yield summed([np.concatenate(c) for c in zip(*(c for c, _ in held[size]), strict=True)], np.concatenate([n for _, n in held.pop(size)]))
+                rows[size] = 0
+    for found in held.values():
+        yield summed([np.concatenate(c) for c in zip(*(c for c, _ in found), strict=True)], np.concatenate([n for _, n in found]))
 
 
 def _rows(batches):
@@ -167,46 +206,45 @@ def _rows(batches):
             yield {name: batch.column(name)[k] for name in batch.schema.names}
 
 
-def _count_pairs(most: int):
-    def run(batches):
-        for row in _rows(batches):
-            seq, ids = _numbers(row)
-            counts: Counter = Counter()
+def _coded(batches):
+    """A shard's sequence over its frequent words only, the rest as gaps, of which one is kept; the words' global numbers, sorted."""
+    for row in _rows(batches):
+        seq = np.frombuffer(zlib.decompress(row["sequence"].as_py()), dtype=np.int32)
+        local, known = (row["known"].values.field(k).to_numpy() for k in ("i", "id"))
+        order = np.argsort(known)
+        table = np.zeros(int(max(seq.max(initial=0), local.max(initial=0))) + 1, dtype=np.int32)
+        table[local[order]] = np.arange(1, local.size + 1, dtype=np.int32)
+        seq = table[seq]
+        keep = np.ones(seq.size, dtype=bool)
+        keep[1:] = (seq[1:] != 0) | (seq[:-1] != 0)
+        ids = known[order].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([row["shard"].as_py()]), pa.array([zlib.compress(seq[keep].tobytes(), 1)]), pa.array([zlib.compress(ids.tobytes(), 1)])], names=["shard", "sequence", "ids"])
+
 
-            def out(counts=counts, row=row, ids=ids):
-                at = np.array(list(counts), dtype=np.int64).reshape(-1, 2)
-                n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
-                return pa.RecordBatch.from_arrays([pa.array(np.full(n.size, row["shard"].as_py())), pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]]), pa.array(n)], names=["shard", "a", "b", "n"])
+def _read(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    seq, ids = (np.frombuffer(zlib.decompress(row[c].as_py()), dtype=t) for c, t in (("sequence", np.int32), ("ids", np.int64)))
+    return seq, np.concatenate([[-1], ids])
 
-            for numbers, starts in containers(seq, most, BITS):
-                _pairs(numbers, starts, counts)
-                if len(counts) >= HELD:
-                    yield out()
-                    counts.clear()
-            yield out()
+
+def _count_pairs(most: int, bits: int):
+    def run(batches):
+        for row in _rows(batches):
+            seq, ids = _read(row)
+            for (a, b), n in _all_of(seq, most, bits):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n.size, row["shard"].as_py())), pa.array(ids[a]), pa.array(ids[b]), pa.array(n.astype(np.int32))], names=["shard", "a", "b", "n"])
 
     return run
 
 
-def _count_longer(most: int):
+def _count_longer(most: int, bits: int):
     def run(batches):
         for row in _rows(batches):
-            seq, ids = _numbers(row)
-            order = np.argsort(ids)
-            a, b = (order[np.searchsorted(ids[order], row["pairs"].values.field(k).to_numpy())] for k in ("a", "b"))
-            frequent, counts = set(zip(a.tolist(), b.tolist(), strict=True)), Counter()
-
-            def out(counts=counts, ids=ids):
-                ends = np.cumsum([0, *map(len, counts)])
-                held = ids[np.fromiter((w for p in counts for w in p), dtype=np.int64)]
-                return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(held, pa.int64())), pa.array(list(counts.values()), pa.int64())], names=["p", "n"])
-
-            for numbers, starts in containers(seq, most, BITS):
-                _deeper(numbers, starts, frequent, most, counts)
-                if len(counts) >= HELD:
-                    yield out()
-                    counts.clear()
-            yield out()
+            seq, ids = _read(row)
+            a, b = (np.searchsorted(ids, row[c].values.to_numpy()) for c in ("a", "b"))
+            for columns, n in _all_of(seq, most, bits, np.sort(a << 32 | b), 3):
+                held = np.stack([ids[c] for c in columns], 1)
+                ends = np.arange(0, held.size + 1, held.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(held.ravel())), pa.array(n)], names=["p", "n"])
 
     return run
 
@@ -223,14 +261,16 @@ def frequent_phrases(held: DataFrame, least: int, most: int) -> tuple[DataFrame,
     known = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     known = C.cut(known.withColumn("id", F.monotonically_increasing_id()))
     told = words.join(known, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("i", "id")).alias("known"))  # a shard's own words
-    sequences = held.select("shard", "sequence").join(told, "shard")
-    counted = C.small_batches(sequences).mapInArrow(_count_pairs(most), "shard long, a long, b long, n long")
-    often = counted.withColumn("f", F.sum("n").over(Window.partitionBy("a", "b"))).where(F.col("f") >= least)  # a row for each shard
-    pairs = C.cut(often.groupBy("shard").agg(F.collect_set(F.struct("a", "b", "f")).alias("pairs")))  # a shard's own pairs
-    longer = sequences.join(pairs, "shard").mapInArrow(_count_longer(most), "p array<long>, n long")
+    coded = C.cut(C.small_batches(held.select("shard", "sequence").join(told, "shard")).mapInArrow(_coded, "shard long, sequence binary, ids binary"))
+    counted = coded.mapInArrow(_count_pairs(2, BITS), "shard long, a long, b long, n int")
+    alike = Window.partitionBy("a", "b")  # a row for each shard
+    often = counted.withColumn("f", F.sum("n").over(alike)).withColumn("_first", F.min("shard").over(alike)).where(F.col("f") >= least)
+    own = often.groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("x"), F.collect_list(F.when(F.col("shard") == F.col("_first"), F.struct("a", "b", "f"))).alias("told"))  # a shard's own pairs; each pair's count once
+    pairs = C.cut(own.select("shard", F.transform("x", lambda p: p["a"]).alias("a"), F.transform("x", lambda p: p["b"]).alias("b"), "told"))
+    longer = coded.join(pairs.select("shard", "a", "b"), "shard").mapInArrow(_count_longer(most, BITS), "p array<long>, n long")
     longer = longer.groupBy("p").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    two = pairs.select(F.explode("pairs").alias("x")).groupBy("x.a", "x.b").agg(F.max("x.f").alias("f"))
-    return known.select("id", "lang", "word"), C.cut(known.select(F.array("id").alias("p"), "f").union(two.select(F.array("a", "b"), "f")).union(longer))
+    two = pairs.select(F.explode("told").alias("x")).select(F.array("x.a", "x.b").alias("p"), "x.f")
+    return known.select("id", "lang", "word"), C.cut(known.select(F.array("id").alias("p"), "f").union(two).union(longer))
 
 
 def _exact(name: str):

@@ -56,7 +56,7 @@ def texts(n, seed=3):
     return out + [(None, "en"), ("", None), ("the " * 700, "en"), ("of the, " * 50, "fr"), ("solo", "de")]
 
 
-@pytest.mark.parametrize("bits, shard, held, least, most, top", [(4096, 1 << 22, 400_000, 5, 4, 2000), (16, 60, 10, 3, 4, 40), (7, 500, 50, 4, 3, 15), (9, 1, 1, 30, 2, 2000)])
+@pytest.mark.parametrize("bits, shard, held, least, most, top", [(512, 1 << 22, 400_000, 5, 4, 2000), (64, 60, 10, 3, 4, 40), (64, 500, 50, 4, 3, 15), (128, 1, 1, 30, 2, 2000)])
 def test_equals_the_plain_version(spark, monkeypatch, bits, shard, held, least, most, top):
     for name, value in (("BITS", bits), ("SHARD", shard), ("HELD", held)):
         monkeypatch.setattr(collocations, name, value)
@@ -71,15 +71,18 @@ def test_empty_table(spark):
     assert collocations.collocations(spark.createDataFrame([], "text string, lang string")).count() == 0
 
 
-@pytest.mark.parametrize("bits", [5, 8, 64, 4096])
-def test_containers_count_each_start_once(bits):
+@pytest.mark.parametrize("bits, slab", [(64, 1), (64, 7), (128, 3), (512, 256)])
+def test_containers_count_each_start_once(monkeypatch, bits, slab):
+    monkeypatch.setattr(collocations, "SLAB", slab)
     rng = np.random.default_rng(1)
-    for most in (2, 3, 4):
-        seq = np.where(rng.random(3000) < 0.05, 0, rng.integers(1, 5, 3000)).astype(np.int32)
-        counts, frequent = Counter(), {(a, b) for a in range(1, 5) for b in range(1, 5)}
-        for numbers, starts in collocations.containers(seq, most, bits):
-            assert len(numbers) <= bits
-            collocations._pairs(numbers, starts, counts)
-            collocations._deeper(numbers, starts, frequent, most, counts)
-        s = seq.tolist()
-        assert counts == Counter(t for k in range(2, most + 1) for t in zip(*(s[i:] for i in range(k)), strict=False) if 0 not in t)
+    for most, gap in ((2, 0.05), (3, 0.01), (4, 0.001), (4, 0.3)):
+        seq = np.where(rng.random(3000) < gap, 0, rng.integers(1, 5, 3000)).astype(np.int32)
+        pairs = np.sort(np.array([a << 32 | b for a in range(1, 5) for b in range(1, 5) if a + b != 5]))
+        for frequent in (None, pairs, pairs[:0]):
+            counts = Counter()
+            for columns, n in collocations._all_of(seq, most, bits, frequent):
+                for *p, k in zip(*(c.tolist() for c in columns), n.tolist(), strict=True):
+                    counts[tuple(p)] += k
+            s = seq.tolist()
+            good = lambda t: 0 not in t and (frequent is None or all(a + b != 5 and frequent.size for a, b in zip(t, t[1:], strict=False)))  # noqa: B023, E731
+            assert counts == Counter(t for k in range(2, most + 1) for t in zip(*(s[i:] for i in range(k)), strict=False) if good(t))
