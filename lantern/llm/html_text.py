@@ -6,7 +6,8 @@ common prefix). The lines of a pair are aligned by longest common subsequence an
 lines are deleted. Markup has the last word in two ways, since the method alone can't give
 right results: lines in navigation, headers, footers, sidebars, notices, adverts, forms and
 comments go whether shared or not, and lines inside an article or main element stay even if
-the site repeats them. Pages without such an element also lose lines that are mostly links.
+the site repeats them. Of articles, main and the rest without shared lines, the one with most text is kept; so
+a teaser's article doesn't stand for its page. Lines outside an article or main that are mostly links go.
 
 Pairs are sought in the whole host: its distinct paths are dealt out in order, by ranges, and the
 paths at a cut know their neighbour beyond it, so no task gathers a host and no size changes a
@@ -37,10 +38,11 @@ from . import common as C
 SAME = 0.9
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(?P<whole>noscript|template|svg|iframe|object)\b[^>]*>.*?</(?P=whole)\s*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|</?[a-zA-Z][^>]*>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|</?[a-zA-Z][^>]*>",
     re.S | re.I,
 )
+#: Elements that go with all they hold, if they end.
+WHOLE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("noscript", "template", "svg", "iframe", "object")}
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,7 +54,7 @@ MARKS = set(
     "consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup social share sharing related recommended recommendations teaser teasers pagination pager "
     "widget widgets toolbar login search searchform disclaimer skip hidden".split()
 )
-COMMENTS = set("comment comments commentlist disqus respond reply replies discussion".split())
+COMMENTS = set("comment comments commentlist disqus respond response responses reply replies discussion feedback reactions".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
@@ -79,8 +81,9 @@ def _marked(tag: str, attributes: str) -> str:
 
 
 def lines_of(html: str | None) -> list[tuple[str, str]]:
-    """(line, place): place is 'article', 'main', 'open', 'links' or 'off'."""
-    out: list[tuple[str, str, int]] = []
+    """(line, place): place is 'article' and its number on the page, 'main', 'open', 'links' or 'off'. Linear in the page."""
+    out: list[tuple[str, str]] = []
+    articles = 0
     stack: list[tuple[str, str]] = []  # open elements with an end of their own: (tag, kind)
     off = 0
     containers = {"article": 0, "main": 0}
@@ -94,8 +97,8 @@ def lines_of(html: str | None) -> list[tuple[str, str]]:
         text = " ".join(unescape("".join(held)).split()) if held else ""
         if text:
             header = off == 1 and stack_kind() == "header" and containers["article"] and heading
-            place = "off" if off and not header else "article" if containers["article"] else "main" if containers["main"] else "links" if 2 * linked >= len(text) else "open"
-            out.append((text, place, 0))
+            place = "off" if off and not header else f"article {articles}" if containers["article"] else "main" if containers["main"] else "links" if 2 * linked >= len(text) else "open"
+            out.append((text, place))
         held.clear()
         linked = 0
 
@@ -113,16 +116,25 @@ def lines_of(html: str | None) -> list[tuple[str, str]]:
 
     at = 0
     html = html or ""
-    for m in TOKEN.finditer(html):
+    last = html.rfind(">") + 1  # no tag ends beyond
+    unended: set[str] = set()
+    while m := TOKEN.search(html, at, last):
         if m.start() > at:
             piece = html[at : m.start()]
             held.append(piece)
             if in_link:
                 linked += len(piece.strip())
         at = m.end()
+        if at == last and (m[1] and not re.search(rf"</{m[1]}\s*>$", m[0], re.I) or m[0].startswith("<!--") and not m[0].endswith("-->")):
+            at = len(html)  # a script or comment that doesn't end
         tag, attributes = (m["tag"] or "").lower(), m["attributes"] or ""
         if not tag:
             continue
+        if tag in WHOLE and not m["end"] and tag not in unended:
+            if end := WHOLE[tag].search(html, at):
+                at = end.end()
+                continue
+            unended.add(tag)  # nor does any later one
         if m["end"]:
             if tag in BLOCKS:
                 flush()
@@ -160,6 +172,7 @@ def lines_of(html: str | None) -> list[tuple[str, str]]:
                 seen_content = True
             kind = kind or ("article" if tag == "article" else "main")
             if kind in containers:
+                articles += kind == "article" and not containers["article"]
                 containers[kind] += 1
             else:
                 off += 1
@@ -177,18 +190,28 @@ def lines_of(html: str | None) -> list[tuple[str, str]]:
         elif stack and any(t == tag for t, _ in stack):
             stack.append((tag, ""))
     if at < len(html):
-        tail = html[at:]
+        tail = html[at:].partition("<!--")[0]
         cut = tail.rfind("<")
         held.append(tail if cut < 0 or not re.match(r"<[!/a-zA-Z]", tail[cut:]) else tail[:cut])
     flush()
-    return [(text, place) for text, place, _ in out]
+    return out
 
 
 def main_lines(lines: list[tuple[str, str]], shared: set[int]) -> list[str]:
-    """The kept lines. shared: numbers of lines that the nearest page has too."""
-    places = {p for _, p in lines}
-    best = "article" if "article" in places else "main" if "main" in places else "open"
-    return [text for i, (text, place) in enumerate(lines) if place == best and (best != "open" or i not in shared)]
+    """The kept lines. shared: numbers of lines that the nearest page has too.
+
+    The container with most text of its own has the main text: an article, main without its articles, or what is open
+    without lines that the nearest page shares. Articles of a third of the largest stay with it; smaller ones are teasers.
+    """
+    size: dict[str, int] = {}
+    for i, (text, place) in enumerate(lines):
+        if place not in ("off", "links") and (place != "open" or i not in shared):
+            size[place] = size.get(place, 0) + len(text)
+    if not size:
+        return []
+    best = max(size, key=lambda p: (size[p], p.startswith("article"), p == "main"))
+    kept = {p for p in size if p.startswith("article") and 3 * size[p] >= size[best]} if best.startswith("article") else {best}
+    return [text for i, (text, place) in enumerate(lines) if place in kept and (place != "open" or i not in shared)]
 
 
 def common_subsequence(a: list[int], b: list[int]) -> set[int]:
@@ -255,10 +278,6 @@ def nearest(paths: DataFrame) -> DataFrame:
     return known.select("host", "path", *sides).where("before is not null or after is not null").mapInArrow(_choose, "host string, path string, other string")
 
 
-LETTERS = {"article": "a", "main": "m", "open": "o", "links": "l", "off": "x"}
-PLACES = {v: k for k, v in LETTERS.items()}
-
-
 def _keys(lines: list[str]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) - (1 << 63) for x in lines]
 
@@ -275,9 +294,9 @@ def _reader(batches):
         for html in batch.column("html").to_pylist():
             lines = lines_of(html)
             texts.append([t for t, _ in lines])
-            places.append("".join(LETTERS[p] for _, p in lines))
+            places.append([p for _, p in lines])
         kept = [c for c in batch.schema.names if c != "html"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.string())], names=[*kept, "lines", "places"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.list_(pa.string()))], names=[*kept, "lines", "places"])
 
 
 def _differ(batches):
@@ -288,7 +307,7 @@ def _differ(batches):
             shared = common_subsequence(keys, other) if other is not None else set()
             if keys and len(shared) >= SAME * max(len(keys), len(other or ())):
                 shared = set()
-            texts.append("\n".join(main_lines([(t, PLACES[p]) for t, p in zip(lines, places, strict=True)], shared)))
+            texts.append("\n".join(main_lines(list(zip(lines, places, strict=True)), shared)))
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
 
@@ -305,6 +324,6 @@ def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     hashed = hosted.select("host", "path", "id", "html").mapInArrow(_hasher, f"host string, path string, id {kind}, keys array<long>")
     met = hashed.groupBy("host", "path").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "keys")).alias("least"))
     others = near.join(met.select("host", F.col("path").alias("other"), F.col("least.keys").alias("other_keys")), ["host", "other"]).select("host", "path", "other_keys")
-    read = rows.mapInArrow(_reader, f"id {kind}, url string, host string, path string, lines array<string>, places string")
+    read = rows.mapInArrow(_reader, f"id {kind}, url string, host string, path string, lines array<string>, places array<string>")
     out = read.join(others, ["host", "path"], "left").select("id", "url", "lines", "places", "other_keys").mapInArrow(_differ, f"id {kind}, url string, text string")
     return out.select(F.col("id").alias(id_col), "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -10,7 +10,10 @@ keep gender (if all their titles agree), script, case and number of words.
 A surrogate is drawn for the entity, not for its spelling: letter case, blanks and punctuation
 of a number make no difference, and each spelling gets the same digits and letters in its own
 format. Collisions are looked for over the corpus: a surrogate that two entities share, or that is
-some entity of the corpus itself, is drawn again for all but the first, until none is left.
+some entity of the corpus itself, is drawn again for all but the first, until none is left. Names and
+e-mail addresses grow by a letter or more with each draw, so there is always one left. Other formats can be exhausted, as the
+numbers of a length are finite: what is still without a surrogate after 24 draws gets a marker, such as
+`[phone 0123456789ab]`, that is keyed and distinct too, and one for all spellings.
 
 The key must be given; without it nobody can recompute a surrogate.
 
@@ -54,6 +57,8 @@ SYLLABLES = {
 }
 # Endings of names by script: women's, men's.
 ENDINGS = {"latin": ("na", "rt"), "cyrillic": ("на", "рт"), "greek": ("να", "ρτ")}
+#: Draws after which a format counts as exhausted.
+EXHAUSTED = 24
 #: Replacements that are broadcast at most, and their characters.
 SMALL, SMALL_CHARS = 300_000, 16_000_000
 
@@ -106,7 +111,9 @@ def surrogate(key: str, kind: Column, own: Column, sex: Column, attempt: Column)
     def stream(salt: str) -> Column:
         return F.concat(*(F.sha2(F.concat_ws("|", F.lit(key + salt + str(k)), kind, own, attempt.cast("string")), 256) for k in range(2)))
 
-    digits, letters, hexes = F.translate(stream("d"), "abcdef", "729405"), F.translate(stream("l"), "0123456789abcdef", "qwrtypsdfghjklzx"), stream("n")
+    digits, hexes = F.translate(stream("d"), "abcdef", "729405"), stream("n")
+    # All 26 letters: a third stream tells which of two alphabets a letter is of
+    letters, others, which = F.translate(stream("l"), "0123456789abcdef", "qwrtypsdfghjklzx"), F.translate(stream("m"), "0123456789abcdef", "aeioubcmnvaeioum"), stream("w")
     code = F.when(own.rlike(CODES), F.length(F.regexp_extract(own, CODES, 0))).otherwise(3)
     fixed = F.when(kind == "abroad", code).when(kind == "iban", F.lit(4)).when(kind == "card", F.lit(2)).otherwise(F.lit(0))
     until = F.when(kind == "email", F.length(F.regexp_extract(own, r"^(.*\.)[^.]*$", 1))).otherwise(F.length(own))
@@ -114,7 +121,7 @@ def surrogate(key: str, kind: Column, own: Column, sex: Column, attempt: Column)
     def char(i: Column) -> Column:
         c = F.substring(own, i, F.lit(1))
         place = F.pmod(i - 1, F.lit(128)) + 1
-        letter = F.substring(letters, place, F.lit(1))
+        letter = F.when(F.substring(which, place, F.lit(1)) < "a", F.substring(letters, place, F.lit(1))).otherwise(F.substring(others, place, F.lit(1)))
         new = F.when(c.rlike(r"\d"), F.substring(digits, place, F.lit(1))).when(c.rlike(r"\p{Lu}"), F.upper(letter)).when(c.rlike(r"\p{L}"), letter).otherwise(c)
         return F.when((i <= fixed) | (i > until), c).otherwise(new)
 
@@ -133,7 +140,11 @@ def surrogate(key: str, kind: Column, own: Column, sex: Column, attempt: Column)
         stem = F.array_join(F.transform(F.sequence(F.lit(1), F.least(attempt + 4, F.lit(128))), lambda i: F.element_at(table, F.conv(F.substring(hexes, i, F.lit(1)), 16, 10).cast("int") + 1)), "")
         ending = F.when(sex == 1, ENDINGS[s][0]).when(sex == 2, ENDINGS[s][1]).otherwise("")
         name = F.when(script == s, F.concat(stem, ending)).otherwise(name)
-    return F.when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "name", name).otherwise(plain)
+    # An address that was taken gets longer with each attempt
+    grown = F.concat(F.substring(letters, F.lit(1), F.least(attempt, F.lit(128))), plain)
+    new = F.when(kind == "ip", ip).when(kind == "card", card).when(kind == "iban", iban).when(kind == "name", name).when(kind == "email", grown).otherwise(plain)
+    marker = F.concat(F.lit("["), kind, F.lit(" "), F.substring(hexes, F.lit(1), F.least(F.lit(12) + attempt, F.lit(128))), F.lit("]"))
+    return F.when((attempt >= EXHAUSTED) & ~kind.isin("name", "email"), marker).otherwise(new)
 
 
 def rendered(kind: Column, surface: Column, new: Column) -> Column:
@@ -145,8 +156,9 @@ def rendered(kind: Column, surface: Column, new: Column) -> Column:
 
     spaced = F.array_join(F.transform(F.sequence(F.lit(1), F.length(surface)), char), "")
     cased = F.array_join(F.transform(F.sequence(F.lit(1), F.length(surface)), lambda i: F.when(F.substring(surface, i, F.lit(1)).rlike(r"\p{Lu}"), F.upper(F.substring(new, i, F.lit(1)))).otherwise(F.substring(new, i, F.lit(1)))), "")
+    cased = F.concat(cased, F.substring(new, F.length(surface) + 1, F.length(new)))  # an address may have grown
     named = F.when((F.length(surface) > 1) & (surface == F.upper(surface)), F.upper(new)).otherwise(F.initcap(new))
-    return F.when(kind == "as it is", surface).when(kind == "name", named).when(kind == "email", F.when(surface == F.lower(surface), new).otherwise(cased)).when(kind == "ip", new).otherwise(spaced)
+    return F.when(kind == "as it is", surface).when(new.startswith("["), new).when(kind == "name", named).when(kind == "email", F.when(surface == F.lower(surface), new).otherwise(cased)).when(kind == "ip", new).otherwise(spaced)
 
 
 def draws(entities: DataFrame, key: str) -> DataFrame:

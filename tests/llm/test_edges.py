@@ -20,6 +20,28 @@ def test_html_unclosed_elements(spark):
     assert got == {1: "ab\nrest of the page", 2: "x y\nz", 3: "plain", 4: "a", None: "<b> & c"}
 
 
+def test_html_teasers_and_readers():
+    text = lambda html: html_text.main_lines(html_text.lines_of(html), set())
+    story = "<h1>Headline here</h1><p>First long paragraph of the story.</p><p>Second paragraph of the story.</p>"
+    lines = ["Headline here", "First long paragraph of the story.", "Second paragraph of the story."]
+    assert text(f"<main>{story}<article><h3>Other story</h3><p>Teaser text.</p></article></main>") == lines
+    assert text(f"<div>{story}</div><article>Card one</article><article>Card two</article>") == lines
+    assert text(f"<article>{story}</article><article>Teaser.</article>") == lines
+    assert text(f"<article>{story}<div class='feedback'>Reader A</div><ul id='responses'><li>Reader B</li></ul></article><div>open</div>") == lines
+    assert text("<article>One of two posts.</article><article>Two of two posts.</article>") == ["One of two posts.", "Two of two posts."]
+
+
+def test_html_unended_elements_are_linear():
+    import time
+
+    began = time.process_time()
+    for tag in ("object", "svg", "noscript"):
+        lines = html_text.lines_of("<article>" + f"<{tag}> a " * 40_000 + "</article>")
+        assert lines == [(" ".join("a" * 40_000), "article 1")]
+    assert html_text.lines_of("<p>x</p>" + "<! " * 100_000)
+    assert time.process_time() - began < 20
+
+
 def test_html_by_brute_force(spark):
     """Pages without an article: lines that the nearest path of the host shares go."""
     rng = np.random.default_rng(5)

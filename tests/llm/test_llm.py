@@ -139,6 +139,25 @@ def test_pii_collisions_are_drawn_again(spark, monkeypatch):
     assert len(set(got.split(" "))) == 3 and "a@b.cc" in got
 
 
+def test_pii_all_short_addresses(spark):
+    """All 676 addresses of one shape use up their own shape: surrogates grow, stay distinct and are no address of the corpus."""
+    own = [f"{a}@{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    rows = [(k, f"{x}, or {x.upper()}") for k, x in enumerate(own)]
+    got = {r["doc_id"]: r["text"] for r in pii_surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    new = [got[k].split(", or ") for k in range(len(own))]
+    assert len({a for a, _ in new}) == len(own) and not {a for a, _ in new} & set(own)
+    assert all(a.lower() == b.lower() and a.endswith(".com") and "@" in a for a, b in new)
+
+
+def test_pii_exhausted_formats(spark, monkeypatch):
+    monkeypatch.setattr(pii_surrogates, "EXHAUSTED", 0)
+    rows = [(1, "123-45-6789 and 555-123-4567"), (2, "123-45-6789, 10.1.2.3; (555) 123-4567"), (3, "a@b.com")]
+    got = {r["doc_id"]: r["text"] for r in pii_surrogates.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    first, second = re.findall(r"\[[a-z]+ [0-9a-f]{12}\]", got[1]), re.findall(r"\[[a-z]+ [0-9a-f]{12}\]", got[2])
+    assert first[0] == second[0] and first[1] == second[2] and len({*first, *second}) == 3
+    assert got[2] == f"{second[0]}, {second[1]}; {second[2]}" and "@" in got[3]
+
+
 def test_pii_spellings(spark):
     """One surrogate for an entity in all its spellings, and for a name with and without its title."""
     rows = [
