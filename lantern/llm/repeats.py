@@ -181,18 +181,24 @@ def _segment_rows(out: list[tuple]) -> pa.RecordBatch:
 def suffixes(data: np.ndarray, depth: int) -> np.ndarray:
     """Places of data, read in a circle, in the order of the depth bytes or more that begin there."""
     n = data.size
+    wide = np.uint64(max(1, (n - 1).bit_length()))
     rank = np.zeros(n, dtype=np.uint64)
-    for k in range(8):
+    for k in range(4):
         rank = (rank << np.uint64(8)) | np.roll(data, -k)
-    size = 8
+    size, place = 4, np.arange(n, dtype=np.uint64)
     while True:
-        order = np.argsort(rank)
+        if size == 4 and wide <= 32 or 3 * wide <= 64:  # keys with their places are sorted faster than places by keys
+            ordered = np.sort((rank << wide) | place)
+            order = (ordered & ((np.uint64(1) << wide) - np.uint64(1))).view(np.int64)
+            ordered >>= wide
+        else:
+            order = np.argsort(rank)
+            ordered = rank[order]
         if size >= depth:
             return order
-        ordered = rank[order]
-        dense = np.zeros(n, dtype=np.uint64)
+        dense = np.empty(n, dtype=np.uint64)
         dense[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]])).astype(np.uint64)
-        rank = (dense << np.uint64(32)) | np.roll(dense, -size)
+        rank = (dense << wide) | np.roll(dense, -size)
         size *= 2
 
 
@@ -208,10 +214,16 @@ def expansion(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     known[1:] = left[back[1:]] != left[back[:-1]]
     prefix[known] = 0
     fresh, depth = np.flatnonzero(known), 1
-    # While most intervals are new, all open neighbours are looked at
     open_ = np.flatnonzero(~known)
     low, high = back[open_ - 1], back[open_]
-    while depth < length and fresh.size and 64 * fresh.size > n:
+    while True:
+        # The new intervals, [first, end) each
+        bounds = np.flatnonzero(prefix < length)
+        end = fresh[fresh > 0]
+        first = bounds[np.searchsorted(bounds, end) - 1]
+        if depth == length or 16 * (end - first).sum() < n:
+            break
+        # While they hold much of the text, all open neighbours are looked at
         before = np.zeros(n, dtype=np.int32)
         before[fresh] = 1
         np.cumsum(before, out=before)
@@ -220,9 +232,7 @@ def expansion(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         prefix[fresh] = depth
         open_, low, high = open_[~hit], low[~hit], high[~hit]
         depth += 1
-    # Then the new intervals alone: [first, end) of each is extended by every byte that stands left of it
-    bounds = np.flatnonzero(prefix < length)
-    first, end = bounds[np.searchsorted(bounds, fresh[fresh > 0]) - 1], fresh[fresh > 0]
+    # Then the new intervals alone: each is extended by every byte that stands left of it
     row = np.empty(n, dtype=np.int64)
     row[back] = np.arange(n)
     while depth < length and first.size:
