@@ -1,4 +1,4 @@
-"""Documents to training tokens, as stages that are written and read again.
+"""Documents to training tokens, in stages; the rows of each are written once, and the next reads those.
 
 The last stage returns doc_id, ids, n_ids and round_trip; the others the columns of documents.
 """
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.llm import decontaminate, jaccard_join, sentencepiece_lattice, toxicity
+from lantern.llm import common, decontaminate, jaccard_join, sentencepiece_lattice, toxicity
 from lantern.llm.line_dedup import line_dedup
 from lantern.llm.queries import TOKENIZER
 
@@ -55,6 +55,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = common.cut(stage(spark, docs, sf_dir))  # stages read their input several times
+    return STAGES[-1][1](spark, docs, sf_dir)
