@@ -43,6 +43,10 @@ WORDS = ["license", "rights reserved", "gnu general public license", "scum", "wo
 SINGLE = ["license", "scum", "worthless", "version"]
 
 
+#: The index's terms in SQL: case and accents folded, split at all that isn't a letter or number.
+TERMS_SQL = r"regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}\p{Co}]+')"
+
+
 def bm25_sql(phrases: list[str], after: str) -> str:
     split = [lexical.phrases_of([p])[0] for p in phrases]
     counts = ", ".join(
@@ -54,7 +58,7 @@ def bm25_sql(phrases: list[str], after: str) -> str:
     )
     some = " OR ".join(f"f{j} > 0" for j in range(len(split)))
     return f"""
-WITH t AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+WITH t AS (SELECT doc_id, lang, {TERMS_SQL} AS w FROM documents),
 c AS (SELECT doc_id, lang, len(w) AS dl, {counts} FROM t),
 s AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS a, {dfs} FROM c),
 hits AS (SELECT doc_id, lang, round({score}, 6) AS bm25 FROM c, s WHERE {some})
@@ -89,20 +93,20 @@ def bm25_index_search(spark, sf_dir):
     return lexical.search_index(spark, folder, WORDS).select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents) WHERE list_contains(w, 'and') AND list_contains(w, 'license') AND list_contains(w, 'the')")
+@query(f"SELECT doc_id FROM (SELECT doc_id, {TERMS_SQL} AS w FROM documents) WHERE list_contains(w, 'and') AND list_contains(w, 'license') AND list_contains(w, 'the')")
 def boolean_and_search(spark, sf_dir):
     return lexical.boolean_and(T(spark, sf_dir, "documents").select("doc_id", "text"), 'and "license" the').select("doc_id")
 
 
-@query("""SELECT doc_id, n FROM (SELECT doc_id, len(list_filter(range(len(w)), lambda i: w[i + 1] = 'public' AND w[i + 2] = 'license'))::INTEGER AS n
-FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)) WHERE n > 0""")
+@query(f"""SELECT doc_id, n FROM (SELECT doc_id, len(list_filter(range(len(w)), lambda i: w[i + 1] = 'public' AND w[i + 2] = 'license'))::INTEGER AS n
+FROM (SELECT doc_id, {TERMS_SQL} AS w FROM documents)) WHERE n > 0""")
 def phrase_search(spark, sf_dir):
     found = lexical.frequencies(T(spark, sf_dir, "documents").select("doc_id", "text"), "text", [["public", "license"]])
     return found.select("doc_id", F.col("tf")[0].alias("n")).where("n > 0")
 
 
-@query("""SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (
-  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents) GROUP BY ALL) GROUP BY term""")
+@query(f"""SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS_SQL}) AS term FROM documents) GROUP BY ALL) GROUP BY term""")
 def doc_stats_postings(spark, sf_dir):
     return lexical.term_statistics(T(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
@@ -636,8 +640,8 @@ def asof_neighbor_windows(spark, sf_dir):
     return evaluation.around(events, "user_id", "s", "t", "event_id").select("event_id", "previous_end", "next_end")
 
 
-@query("""WITH b AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 5], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 4)) AS i FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark))),
-d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)))
+@query(f"""WITH b AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 5], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 4)) AS i FROM (SELECT item_id, {TERMS_SQL} AS w FROM benchmark))),
+d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS i FROM (SELECT doc_id, {TERMS_SQL} AS w FROM documents)))
 SELECT item_id, doc_id, count(*) AS shared FROM b JOIN d USING (g) GROUP BY item_id, doc_id""")
 def ngram_overlap(spark, sf_dir):
     items = T(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(X.ngrams(X.terms(F.col("text")), 6))).alias("g"))

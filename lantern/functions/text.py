@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,21 +25,52 @@ HEDGES = [
     "doesn't specify", "does not specify", "not specify", "doesn't say", "does not say", "not stated", "not directly stated", "no explicit", "does not mention", "doesn't mention", "do not mention",
     "no information", "not shown", "no record", "cannot determine", "not directly", "not mention", "do not specify",
 ]
+# Words by which an answer speaks of its sources.
 META = ["evidence", "entries", "excerpts", "passages", "provided", "supplied", "retrieved", "sources", "records", "the show itself", "referenced", "mentioned in"]
+# Verbs of such sentences.
 REPORTING = [
     "discuss", "discusses", "mention", "mentions", "referenced", "references", "cited", "cites", "cite", "explicitly place", "explicitly places", "does not place", "does not state",
     "does not support", "does not establish", "does not identify", "does not name", "does not describe", "does not cover",
 ]
 
 
+def _fold_table() -> dict[str, str]:
+    """Letters that decompose into one letter and marks, in lower case, and that letter; marks by themselves go."""
+    out = {chr(c): "" for c in range(0x300, 0x370)}
+    for c in map(chr, range(0x80, 0x10000)):
+        parts = unicodedata.normalize("NFD", c)
+        if len(parts) > 1 and c == c.lower() and unicodedata.category(c)[0] == "L" and all(unicodedata.category(m) == "Mn" for m in parts[1:]):
+            out[c] = parts[0]
+    return out
+
+
+FOLD = _fold_table()
+_FOLDED = {ord(c): to or None for c, to in FOLD.items()}
+#: What an index term is made of: letters, numbers and characters of private use.
+TERM = r"[\p{L}\p{N}\p{Co}]+"
+_LETTERS = sorted(FOLD, key=lambda c: not FOLD[c])  # those that go come last, as translate() wants them
+
+
+def folded(text: Column) -> Column:
+    """Lower case without accents. Texts of ASCII alone, which have none, are not looked through."""
+    low = F.lower(text)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, "".join(_LETTERS), "".join(FOLD[c] for c in _LETTERS)))
+
+
 def terms(text: Column) -> Column:
-    """Index terms: lower-cased runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    """Index terms: folded runs of letters and numbers of any script."""
+    return F.regexp_extract_all(folded(text), F.lit(TERM), F.lit(0))
+
+
+def terms_of(text: str) -> list[str]:
+    """The index terms of a question's part."""
+    low = text.lower().translate(_FOLDED)
+    return "".join(c if (kind := unicodedata.category(c))[0] in "LN" or kind == "Co" else " " for c in low).split()
 
 
 def spaced_terms(text: Column) -> Column:
     """The index terms as one string, each with a space of its own on either side."""
-    spaced = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "  "))
+    spaced = F.trim(F.regexp_replace(folded(text), TERM.replace("[", "[^", 1), "  "))
     return F.when(spaced == "", "").otherwise(F.concat(F.lit(" "), spaced, F.lit(" ")))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.functions.text import content_tokens, sanitized, spaced_terms, terms
+from lantern.functions.text import content_tokens, sanitized, spaced_terms, terms, terms_of
 from lantern.plans.lineage import cut
 
 
@@ -19,9 +19,7 @@ def occurrences(spaced: Column, phrase: list[str]) -> Column:
 
 def phrases_of(query: list[str]) -> list[list[str]]:
     """Terms of each phrase, as the index has them."""
-    import re
-
-    return [p for q in query if (p := re.findall("[a-z0-9]+", q.lower()))]
+    return [p for q in query if (p := terms_of(q))]
 
 
 def match_terms(entities: list[str], query: str, most: int = 14) -> list[str]:
