@@ -68,7 +68,7 @@ class _Shard:
 def _sharder(most: int):
     def run(batches):
         held: defaultdict[str, _Shard] = defaultdict(_Shard)
-        first, n, size = TaskContext.get().partitionId() << 24, 0, 0
+        first, n, size = TaskContext.get().partitionId() << 12, 0, 0  # a shard has two million words at least, but for the last
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
                 if text := text.as_py():
@@ -207,18 +207,22 @@ def _rows(batches):
 
 
 def _coded(batches):
-    """A shard's sequence over its frequent words only, the rest as gaps, of which one is kept; the words' global numbers, sorted."""
+    """A shard's sequence over its frequent words only, the rest as gaps, of which one is kept; the words' numbers, sorted; and the words that are first met here."""
     for row in _rows(batches):
         seq = np.frombuffer(zlib.decompress(row["sequence"].as_py()), dtype=np.int32)
-        local, known = (row["known"].values.field(k).to_numpy() for k in ("i", "id"))
-        order = np.argsort(known)
+        known = row["known"].values
+        local, ids = (known.field(k).to_numpy() for k in ("i", "id"))
+        order = np.argsort(ids)
         table = np.zeros(int(max(seq.max(initial=0), local.max(initial=0))) + 1, dtype=np.int32)
         table[local[order]] = np.arange(1, local.size + 1, dtype=np.int32)
         seq = table[seq]
         keep = np.ones(seq.size, dtype=bool)
         keep[1:] = (seq[1:] != 0) | (seq[:-1] != 0)
-        ids = known[order].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([row["shard"].as_py()]), pa.array([zlib.compress(seq[keep].tobytes(), 1)]), pa.array([zlib.compress(ids.tobytes(), 1)])], names=["shard", "sequence", "ids"])
+        head = known.filter(known.field("f").is_valid())
+        words = row["words"].values.take(pa.array(head.field("i").to_numpy() - 1))
+        heads = pa.StructArray.from_arrays([head.field("id"), words, head.field("f")], names=["id", "word", "f"])
+        packed = [pa.array([zlib.compress(x.tobytes(), 1)]) for x in (seq[keep], ids[order].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays([pa.array([row["shard"].as_py()]), pa.array([row["lang"].as_py()]), *packed, pa.ListArray.from_arrays(pa.array([0, len(heads)], pa.int32()), heads)], names=["shard", "lang", "sequence", "ids", "heads"])
 
 
 def _read(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -257,17 +261,21 @@ def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
 def frequent_phrases(held: DataFrame, least: int, most: int) -> tuple[DataFrame, DataFrame]:
     """(id, lang, word) of frequent words, and (p: ids of a phrase's words, f: its count) of all frequent phrases of 1 to most words."""
     # explode() of two arrays zipped, so that a shard's words come out of a generator
+    # A word's number is that of its first shard and its place there
     words = held.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("shard", "lang", (F.col("at") + 1).alias("i"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    known = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    known = C.cut(known.withColumn("id", F.monotonically_increasing_id()))
-    told = words.join(known, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("i", "id")).alias("known"))  # a shard's own words
-    coded = C.cut(C.small_batches(held.select("shard", "sequence").join(told, "shard")).mapInArrow(_coded, "shard long, sequence binary, ids binary"))
-    counted = coded.mapInArrow(_count_pairs(2, BITS), "shard long, a long, b long, n int")
+    words = words.withColumn("own", F.shiftleft("shard", 27) + F.col("i"))
+    same = Window.partitionBy("lang", "word")  # a row for each shard
+    often = words.withColumn("f", F.sum("n").over(same)).withColumn("id", F.min("own").over(same)).where(F.col("f") >= least)
+    told = often.groupBy("shard").agg(F.collect_list(F.struct("i", "id", F.when(F.col("own") == F.col("id"), F.col("f")).alias("f"))).alias("known"))  # a shard's own words
+    coded = C.small_batches(held.select("shard", "lang", "sequence", "words").join(told, "shard"))
+    coded = C.cut(coded.mapInArrow(_coded, "shard long, lang string, sequence binary, ids binary, heads array<struct<id:long,word:string,f:long>>"))
+    known = coded.select("lang", F.explode("heads").alias("h")).select("h.id", "lang", "h.word", "h.f")
+    counted = coded.select("shard", "sequence", "ids").mapInArrow(_count_pairs(2, BITS), "shard long, a long, b long, n int")
     alike = Window.partitionBy("a", "b")  # a row for each shard
     often = counted.withColumn("f", F.sum("n").over(alike)).withColumn("_first", F.min("shard").over(alike)).where(F.col("f") >= least)
     own = often.groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("x"), F.collect_list(F.when(F.col("shard") == F.col("_first"), F.struct("a", "b", "f"))).alias("told"))  # a shard's own pairs; each pair's count once
     pairs = C.cut(own.select("shard", F.transform("x", lambda p: p["a"]).alias("a"), F.transform("x", lambda p: p["b"]).alias("b"), "told"))
-    longer = coded.join(pairs.select("shard", "a", "b"), "shard").mapInArrow(_count_longer(most, BITS), "p array<long>, n long")
+    longer = coded.select("shard", "sequence", "ids").join(pairs.select("shard", "a", "b"), "shard").mapInArrow(_count_longer(most, BITS), "p array<long>, n long")
     longer = longer.groupBy("p").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     two = pairs.select(F.explode("told").alias("x")).select(F.array("x.a", "x.b").alias("p"), "x.f")
     return known.select("id", "lang", "word"), C.cut(known.select(F.array("id").alias("p"), "f").union(two).union(longer))
