@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lantern.functions import text as X
-from lantern.operators import chunking, evaluation, fusion, graph, grounding, incremental, knowledge, lexical, vector
+from lantern.operators import chunking, evaluation, fusion, graph, grounding, incremental, index, knowledge, lexical, vector
 from lantern.plans.lineage import shared_folder
 from lantern.sources import releases, tables
 
@@ -81,16 +81,15 @@ def bm25_phrase_or(spark, sf_dir):
 
 @query(bm25_sql(WORDS, "SELECT h.doc_id, bm25, l.quality FROM (SELECT * FROM hits WHERE lang = 'en' ORDER BY bm25 DESC, doc_id LIMIT 20) h LEFT JOIN labels l ON l.doc_id = h.doc_id"))
 def bm25_scoped_topk(spark, sf_dir):
-    docs = T(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    best = _top(lexical.bm25(docs, WORDS, scope=F.col("lang") == "en").select("doc_id", "bm25"))
+    found = index.search(spark, corpus_index(spark, sf_dir), WORDS, 60, "en")
+    best = _top(found.select(F.col("id").alias("doc_id"), "bm25"))
     return T(spark, sf_dir, "labels").select("doc_id", "quality").join(F.broadcast(best), "doc_id", "right").select("doc_id", "bm25", "quality")
 
 
 @query(bm25_sql(WORDS, "SELECT doc_id, bm25 FROM hits"))
 def bm25_index_search(spark, sf_dir):
-    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    lexical.build_index(T(spark, sf_dir, "documents").select("doc_id", "text"), folder, "doc_id")
-    return lexical.search_index(spark, folder, WORDS).select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
+    found = index.search(spark, corpus_index(spark, sf_dir), WORDS)
+    return found.select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
 
 
 @query(f"SELECT doc_id FROM (SELECT doc_id, {TERMS_SQL} AS w FROM documents) WHERE list_contains(w, 'and') AND list_contains(w, 'license') AND list_contains(w, 'the')")
@@ -168,8 +167,22 @@ f AS (SELECT coalesce(ls.doc_id, v.doc_id) AS doc_id, round(0.3 * coalesce(cosin
 )
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def corpus_index(spark, sf_dir) -> str:
+    """The index of all documents, made by the first question of a session that asks for it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        index.update(T(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path, "doc_id", scope=F.col("lang"))
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
 def _legs(spark, sf_dir, by_rank: bool = False) -> DataFrame:
-    hits = lexical.bm25(T(spark, sf_dir, "documents").select("doc_id", "text"), LEGS)
+    # More than the 20 that are wanted, as scores are rounded before they are ordered
+    hits = index.search(spark, corpus_index(spark, sf_dir), LEGS, 60).withColumnRenamed("id", "doc_id")
     near = vector.top_k(T(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir)).select(F.col("vec_id").alias("doc_id"), F.round("score", 6).alias("cosine"))
     return fusion.blend(_top(hits), near, "doc_id", by_rank=by_rank).withColumn("score", F.round("score", 5))
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lantern.functions.text import content_tokens, sanitized, spaced_terms, terms, terms_of
@@ -75,38 +73,6 @@ def scored(found: DataFrame, phrases: int, k1: float = 1.2, b: float = 0.75) ->
     return found.withColumn("bm25", score).drop("_n", "_avg", "_df", "tf", "dl")
 
 
-def build_index(docs: DataFrame, path: str, id_col: str, text_col: str = "text", buckets: int = 64) -> None:
-    """Write the inverted index under path: postings by bucket of their term, sorted by term, and lengths of documents."""
-    sized = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sized.select("id", F.coalesce(F.size(terms(F.col("text"))), F.lit(0)).alias("dl")).write.mode("overwrite").parquet(f"{path}/lengths")
-    rows = postings(sized, "id").withColumn("bucket", _bucket(F.col("term"), buckets))
-    rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-
-
-def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
-def search_index(spark: SparkSession, path: str, query: list[str], buckets: int = 64, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, bm25) as of bm25(), reading the buckets of the query's terms and the documents' lengths."""
-    phrases = phrases_of(query)
-    sought = sorted({t for p in phrases for t in p})
-    if not sought:
-        return spark.createDataFrame([], "id long, bm25 double")
-    where = [r[0] for r in spark.createDataFrame([(t,) for t in sought], "t string").select(_bucket(F.col("t"), buckets)).distinct().collect()]
-    held = spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(where) & F.col("term").isin(sought))
-    places = held.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
-
-    def starting(term: str, back: int) -> Column:
-        return F.transform(F.coalesce(F.try_element_at("at", F.lit(term)), F.array().cast("array<int>")), lambda x: x - back)
-
-    counts = [F.size(reduce(F.array_intersect, [starting(t, n) for n, t in enumerate(p)])) for p in phrases]
-    found = places.select("id", F.array(*counts).alias("tf")).where(F.exists("tf", lambda t: t > 0))
-    lengths = spark.read.parquet(f"{path}/lengths")
-    stats = lengths.agg(F.count("*").alias("_n"), F.avg("dl").alias("_avg")).crossJoin(found.agg(F.array(*(F.count_if(F.col("tf")[i] > 0) for i in range(len(phrases)))).alias("_df")))
-    return scored(found.join(lengths, "id").crossJoin(F.broadcast(stats)), len(phrases), k1, b)  # one row
-
-
 def boolean_and(docs: DataFrame, query: str, text_col: str = "text") -> DataFrame:
     """Rows that hold every white-space separated phrase of the query."""
     phrases = phrases_of([q.strip('"') for q in query.split()])
@@ -131,4 +97,4 @@ def term_statistics(docs: DataFrame, id_col: str, text_col: str = "text") -> Dat
     return words.groupBy("term", id_col).agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-__all__ = ["bm25", "boolean_and", "build_index", "content_tokens", "frequencies", "match_terms", "occurrences", "phrases_of", "postings", "sanitized", "scored", "search_index", "term_statistics"]
+__all__ = ["bm25", "boolean_and", "content_tokens", "frequencies", "match_terms", "occurrences", "phrases_of", "postings", "sanitized", "scored", "term_statistics"]

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lantern.functions.text import STOP_WORDS
-from lantern.operators import fusion, graph, lexical, vector
+from lantern.operators import fusion, graph, grounding, index, lexical, vector
 
-from .models import NO_EVIDENCE
+from .models import NO_EVIDENCE, checked_answer
 from .planner import Plan, plan
 
 log = logging.getLogger(__name__)
@@ -27,6 +27,8 @@ class Answer:
     evidence: list[dict]
     text: str
     used: set[str] = field(default_factory=set)
+    note: str | None = None
+    sources: list[str] = field(default_factory=list)
 
 
 def content_words(text: str) -> list[str]:
@@ -81,12 +83,16 @@ class GraphLeg:
 
 
 class Engine:
-    """docs: (doc_id, text, scope); vectors: (doc_id, embedding); models are given as functions."""
+    """docs: (doc_id, text, scope), with a title if there is one; vectors: (doc_id, embedding); models are given as functions.
+
+    index_path: an index of docs with their scopes (operators.index), which the lexical leg then asks instead of the texts.
+    """
 
     def __init__(
         self, docs: DataFrame, vectors: DataFrame | None = None, embed: Callable[[str], list[float]] | None = None, planner: Callable[[str, str | None], Plan] = plan,
-        answerer: Callable[[str, list[dict]], str] | None = None, graph_leg: GraphLeg | None = None, rerank: Callable[[list[str], list[str]], list[float]] | None = None, seconds: float = 8.0,
+        answerer: Callable[[str, list[dict]], str] | None = None, graph_leg: GraphLeg | None = None, rerank: Callable[[list[str], list[str]], list[float]] | None = None, seconds: float = 8.0, index_path: str | None = None,
     ):
+        self.index_path = index_path
         self.docs, self.vectors, self.embed, self.planner, self.graph, self.rerank, self.seconds = docs, vectors, embed, planner, graph_leg, rerank, seconds
         self.answerer = answerer or (lambda question, evidence: " ".join(f"{e['quote'][:200]} [{e['slot']}]" for e in evidence[:2]))
 
@@ -126,7 +132,13 @@ class Engine:
         within: Column | None = F.col("scope") == scope if scope else None
         phrases = lexical.match_terms(list(p.entities), question)
         spark = self.docs.sparkSession
-        low = lambda: lexical.bm25(self.docs, phrases, scope=within).orderBy(F.desc("bm25"), "doc_id").limit(HITS).select("doc_id", "bm25") if lexical.phrases_of(phrases) else None
+
+        def low():
+            if not lexical.phrases_of(phrases):
+                return None
+            if self.index_path:
+                return index.search(spark, self.index_path, phrases, HITS, scope).select(F.col("id").alias("doc_id"), "bm25")
+            return lexical.bm25(self.docs, phrases, scope=within).orderBy(F.desc("bm25"), "doc_id").limit(HITS).select("doc_id", "bm25")
 
         def near():
             if self.vectors is None or self.embed is None:
@@ -142,24 +154,43 @@ class Engine:
             states[name], rows = self._leg(name, make)
             tables[name] = spark.createDataFrame([tuple(r) for r in rows], schema)
         ranked = fusion.blend(tables["lexical"], tables["vector"], "doc_id")
-        chunks = self.docs.select("doc_id", "text").join(F.broadcast(ranked), "doc_id")  # 30 rows at most
-        chunks = chunks.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("key"), F.lit("chunk").alias("type"), "score", F.col("text").alias("quote"), "legs")
+        titled = F.col("title") if "title" in self.docs.columns else F.lit(None).cast("string")
+        chunks = self.docs.select("doc_id", "text", titled.alias("title")).join(F.broadcast(ranked), "doc_id")  # 30 rows at most
+        chunks = chunks.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("key"), F.lit("chunk").alias("type"), "score", F.col("text").alias("quote"), "legs", "title")
         if self.rerank is not None:
             chunks = fusion.rescore(chunks.withColumn("_q", F.lit(question)), self.rerank, "_q", "quote").drop("_q")
         if "graph" in tables:
-            chunks = tables["graph"].withColumn("legs", F.lit("graph")).unionByName(chunks.select("key", "type", "score", "quote", "legs"))
+            chunks = tables["graph"].withColumns({"legs": F.lit("graph"), "title": F.lit(None).cast("string")}).unionByName(chunks.select("key", "type", "score", "quote", "legs", "title"))
         best = fusion.merge(chunks)
-        rows = best.select("key", "score", "legs", F.left("quote", F.lit(600)).alias("quote")).collect()  # RESULTS at most
+        rows = best.select("key", "score", "legs", "title", F.left("quote", F.lit(600)).alias("quote")).collect()  # RESULTS at most
         rows = sorted(rows, key=lambda r: -r["score"])
-        shown = [{"slot": n, "key": int(r["key"][4:]) if r["key"].startswith("doc:") else r["key"], "quote": r["quote"], "legs": r["legs"]} for n, r in enumerate(rows[: fusion.EVIDENCE], 1)]
+        shown = [{"slot": n, "key": int(r["key"][4:]) if r["key"].startswith("doc:") else r["key"], "quote": r["quote"], "legs": r["legs"], "title": r["title"] or r["key"]} for n, r in enumerate(rows[: fusion.EVIDENCE], 1)]
         if not shown:
             return Answer(p, states, shown, NO_EVIDENCE)
         try:
-            text = self.answerer(question, shown)
+            text, note = checked_answer(question, shown, lambda q, e, _: self.answerer(q, e), self._faithful)
         except Exception:  # noqa: BLE001  the evidence is worth showing without an answer
             log.exception("no answer was written")
-            text = "The answer could not be written; see the evidence."
-        return Answer(p, states, shown, text, used_legs(text, shown))
+            return Answer(p, states, shown, "The answer could not be written; see the evidence.", used_legs("", shown))
+        return Answer(p, states, shown, text, used_legs(text, shown), note, self._sources(text, shown))
+
+    def _answer(self, text: str) -> DataFrame:
+        """(id, answer, sources) of an answer, by itself or in a labelled block."""
+        rows = self.docs.sparkSession.createDataFrame([(0, text)], "id int, said string")
+        answer, _, sources = grounding.answer_sections(F.col("said"))
+        return rows.select("id", F.when(answer == "", F.col("said")).otherwise(answer).alias("answer"), sources.alias("sources"))
+
+    def _faithful(self, text: str, shown: list[dict]) -> bool:
+        """Whether the evidence bears each sentence."""
+        quotes = self.docs.sparkSession.createDataFrame([(0, e["slot"], e["quote"] or "") for e in shown], "id int, slot int, quote string")
+        return grounding.sentence_verdicts(self._answer(text), quotes, "id", "answer").where("not faithful").isEmpty()
+
+    def _sources(self, text: str, shown: list[dict]) -> list[str]:
+        """Titles that the answer claims and that were shown, then those of the slots it cites; documents without a title go by their key."""
+        answer = self._answer(text)
+        titled = self.docs.sparkSession.createDataFrame([(0, e["slot"], e["title"]) for e in shown], "id int, slot int, title string")
+        found = grounding.source_titles(answer.select("id", F.posexplode("sources").alias("n", "title")), grounding.cited_slots(answer, "id", "answer"), titled, "id").first()
+        return found["titles"] if found else []
 
 
 def used_legs(text: str, shown: list[dict]) -> set[str]:

@@ -73,6 +73,25 @@ def test_engine_legs(spark):
     assert status_line({"lexical": "ok", "vector": "down"}, {"lexical"}) == "DEGRADED: vector DOWN | lexical used"
 
 
+def test_engine_asks_the_index_and_gates_its_answers(spark, tmp_path):
+    from lantern.operators import index
+
+    docs = spark.createDataFrame([(1, "the vault is open wide today", "a", "Vaults"), (2, "the vault is shut", "b", "Doors"), (3, "rain", "a", None)], "doc_id long, text string, scope string, title string")
+    index.update(docs, f"{tmp_path}/i", "doc_id", scope=F.col("scope"))
+    said = []
+
+    def write(_, evidence):
+        said.append(1)
+        return "ANSWER: The moon is made of green cheese [1].\nUNCERTAINTY: none\nSOURCES: Nowhere" if len(said) == 1 else "ANSWER: The vault is open wide [1].\nUNCERTAINTY: none\nSOURCES: Nowhere; Vaults"
+
+    engine = Engine(docs, answerer=write, index_path=f"{tmp_path}/i")
+    found = engine.ask("what is in the open vault")
+    assert {e["key"] for e in found.evidence} == {1, 2} and len(said) == 2 and found.note is None and found.sources == ["Vaults"]
+    assert found.text.startswith("ANSWER: The vault is open") and found.used == {"lexical"}
+    false = Engine(docs, answerer=lambda q, e: "Pigs fly over green mountains [1].", index_path=f"{tmp_path}/i").ask("vault", "b")
+    assert false.note and {e["key"] for e in false.evidence} == {2} and false.sources == ["Doors"]
+
+
 def test_gate(spark):
     good = '{"entities": [{"name": "Loki", "type": "Character", "aliases": []}], "relations": [{"source": "A b", "relation": "KNOWS", "target": "a B", "evidence_quote": "they know each other"}]}'
     bad = '{"entities": [{"name": "12", "type": "Character"}]}'

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lantern.operators import fusion, graph, knowledge, lexical, store, vector
+from lantern.operators import fusion, graph, index, knowledge, lexical, store, vector
 from lantern.plans import models, planner, settings
 from lantern.plans.engine import Engine, GraphLeg
 from lantern.sources import subtitles, web
@@ -103,10 +103,10 @@ def test_batch_top_k_of_odd_vectors(spark):
 
 def test_index_equals_the_scan(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b a b"), (2, "b a"), (3, None), (4, "c")], "doc_id long, text string")
-    lexical.build_index(docs, str(tmp_path / "i"), "doc_id")
+    index.update(docs, str(tmp_path / "i"), "doc_id")
     for query in (["a b", "c"], ["zz"], ["b"]):
         want = {r["doc_id"]: round(r["bm25"], 9) for r in lexical.bm25(docs, query).collect()}
-        assert {r["id"]: round(r["bm25"], 9) for r in lexical.search_index(spark, str(tmp_path / "i"), query).collect()} == want
+        assert {r["id"]: round(r["bm25"], 9) for r in index.search(spark, str(tmp_path / "i"), query).collect()} == want
 
 
 def test_shortest_paths_meet_in_the_middle(spark):
