@@ -155,24 +155,47 @@ def written_counts(spark, sf_dir):
     return knowledge.written(T(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_returnflag").alias("rel"), F.col("l_partkey").alias("dst")).distinct())
 
 
-@query("""SELECT event_id, to_json({'document_id': 'doc:' || user_id, 'window_id': 'doc:' || user_id || '#w0001', 'model': event_type, 'extracted_at': strftime(ts, '%Y-%m-%d'), 'quote': props})::VARCHAR AS provenance FROM events""")
+@query("""SELECT e.event_id, to_json({'chunk_id': 'doc:' || user_id || '#w0001', 'document_id': 'doc:' || user_id, 'source': d.source, 'source_type': 'movie', 'timeline_id': d.lang})::VARCHAR AS provenance
+FROM events e LEFT JOIN documents d ON d.doc_id = e.user_id""")
 def provenance_json(spark, sf_dir):
     doc = F.concat(F.lit("doc:"), _string("user_id"))
-    made = knowledge.provenance(doc, chunking.window_id(doc, F.lit(1)), F.col("event_type"), F.date_format("ts", "yyyy-MM-dd"), F.col("props"))
-    return T(spark, sf_dir, "events").select("event_id", made.alias("provenance"))
+    made = knowledge.provenance(chunking.window_id(doc, F.lit(1)), doc, F.col("source"), F.lit("movie"), F.col("lang"))
+    events = T(spark, sf_dir, "events").join(T(spark, sf_dir, "documents").select(F.col("doc_id").alias("user_id"), "source", "lang"), "user_id", "left")
+    return events.select("event_id", made.alias("provenance"))
 
 
-@query("""WITH x AS (SELECT event_id, event_type AS name, (json_extract_string(props, '$.k'))::INTEGER AS k FROM events WHERE length(event_type) BETWEEN 2 AND 80)
-SELECT 'object:' || name AS id, name, 'Object' AS label FROM x WHERE k <> 7 GROUP BY name UNION ALL SELECT DISTINCT 'character:person_' || k, 'person ' || k, 'Character' FROM x WHERE k <> 7
-UNION ALL SELECT DISTINCT 'event:meeting_' || k, 'meeting ' || k, 'Event' FROM x WHERE k <> 7""")
+# The reference's rules for what is read, in SQL: names of an event and of its pairs are registered in the order of windows.
+LOADED_SQL = """WITH x AS (SELECT event_id, user_id, event_type AS name, (json_extract_string(props, '$.k'))::INTEGER AS k FROM events JOIN documents ON doc_id = user_id),
+g AS (SELECT *, {'chunk_id': user_id || '#w' || event_id, 'document_id': user_id::VARCHAR, 'source': d.source, 'source_type': 'movie', 'timeline_id': d.lang} AS p FROM x JOIN documents d ON d.doc_id = user_id WHERE k <> 7)
+"""
+
+
+@query(LOADED_SQL + """, r AS (SELECT event_id, 'object:' || name AS id, name, 'Object' AS label, p FROM g UNION ALL SELECT event_id, 'character:person_' || k, 'person ' || k, 'Character', p FROM g
+UNION ALL SELECT event_id, 'event:meeting_' || k, 'Meeting ' || k, 'Event', p FROM g UNION ALL SELECT event_id, 'event:meeting_' || (k + 1), 'Meeting ' || (k + 1), 'Event', p FROM g)
+SELECT id, name, label, to_json(arg_max(p, event_id))::VARCHAR AS provenance FROM r GROUP BY id, name, label""")
 def load_extractions(spark, sf_dir):
-    return knowledge.load(_extractions(spark, sf_dir))["nodes"].select("id", "name", "label")
+    return _loaded(spark, sf_dir)["nodes"].select("id", "name", "label", "provenance")
 
 
-@query("""WITH x AS (SELECT DISTINCT (json_extract_string(props, '$.k'))::INTEGER AS k FROM events)
-SELECT 'character:person_' || k AS src, 'PARTICIPATES_IN' AS rel, 'event:meeting_' || k AS dst FROM x WHERE k <> 7 UNION ALL SELECT 'event:meeting_' || x.k, 'BEFORE', 'event:meeting_' || (x.k + 1) FROM x WHERE x.k <> 7 AND x.k + 1 IN (SELECT k FROM x WHERE k <> 7)""")
+@query(LOADED_SQL + """, r AS (SELECT event_id, 'character:person_' || k AS src, 'PARTICIPATES_IN' AS rel, 'event:meeting_' || k AS dst, p FROM g UNION ALL SELECT event_id, 'event:meeting_' || k, 'BEFORE', 'event:meeting_' || (k + 1), p FROM g)
+SELECT src, rel, dst, to_json(arg_min(p, event_id))::VARCHAR AS provenance FROM r GROUP BY src, rel, dst
+UNION ALL SELECT DISTINCT 'event:meeting_' || k, 'OCCURS_IN', 'timeline:' || (p).timeline_id, NULL FROM g WHERE (p).timeline_id IN ('en', 'fr') UNION ALL SELECT DISTINCT 'event:meeting_' || k, 'DEPICTED_IN', (p).document_id, NULL FROM g""")
 def load_extraction_edges(spark, sf_dir):
-    return knowledge.load(_extractions(spark, sf_dir))["edges"]
+    return _loaded(spark, sf_dir)["edges"]
+
+
+@query(LOADED_SQL + "SELECT (SELECT count(*) FROM x) AS windows, count(*) AS chunks, count(*) AS entities, count(*) AS events, 0::BIGINT AS relations, count(*) AS temporals, (SELECT count(*) FROM events) - count(*) AS skipped FROM g")
+def load_totals(spark, sf_dir):
+    """Counted by the pass that writes the gated windows."""
+    totals = _loaded(spark, sf_dir)["totals"]
+    known = T(spark, sf_dir, "events").join(T(spark, sf_dir, "documents").select(F.col("doc_id").alias("user_id")), "user_id", "left_semi").agg(F.count("*").alias("windows"))
+    return known.select("windows", *(F.lit(int(v)).cast("long").alias(k) for k, v in totals.items()))
+
+
+def _loaded(spark, sf_dir) -> dict:
+    documents = T(spark, sf_dir, "documents").select(_string("doc_id").alias("document_id"), F.col("source").alias("title"), F.lit("movie").alias("type"), F.lit(None).cast("int").alias("season"), F.col("lang").alias("timeline_id"))
+    scopes = spark.createDataFrame([("timeline:en", None), ("timeline:fr", "timeline:en")], "id string, parent string")
+    return knowledge.load(_extractions(spark, sf_dir), documents, scopes)
 
 
 def _extractions(spark, sf_dir) -> DataFrame:
@@ -180,11 +203,12 @@ def _extractions(spark, sf_dir) -> DataFrame:
     k = F.from_json("props", "k int")["k"]
     none, quote = F.array().cast("array<string>"), F.lit("a quoted line")
     entity = F.struct(F.col("event_type").alias("name"), F.when(k == 7, "Nothing").otherwise("Object").alias("type"), none.alias("aliases"))
-    meeting = lambda n: F.concat(F.lit("meeting "), n.cast("string"))
+    meeting = lambda n: F.concat(F.lit("Meeting "), n.cast("string"))
     event = F.struct(meeting(k).alias("name"), F.array(F.concat(F.lit("person "), k.cast("string"))).alias("participants"), none.alias("objects"), F.lit(None).cast("string").alias("location"), F.lit(None).cast("string").alias("date"), F.lit("year").alias("date_precision"), quote.alias("evidence_quote"))
     after = F.struct(meeting(k + 1).alias("event_a"), meeting(k).alias("event_b"), F.lit("AFTER").alias("relation"), quote.alias("evidence_quote"))
     raw = F.to_json(F.struct(F.array(entity).alias("entities"), F.array(event).alias("events"), F.array(after).alias("temporals")))
-    return T(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), _string("user_id").alias("document_id"), F.lit("s").alias("scope"), F.from_json(raw, knowledge.EXTRACTION).alias("body"))
+    window = F.concat(_string("user_id"), F.lit("#w"), _string("event_id"))
+    return T(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), window.alias("window_id"), F.from_json(raw, knowledge.EXTRACTION).alias("body"))
 
 
 # -- registry and extraction ---------------------------------------------------------------

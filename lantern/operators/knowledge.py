@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lantern.functions.text import canonical_id
 from lantern.operators.graph import components
+from lantern.plans.lineage import cut
 
 # Labels and relations that a graph may hold.
 LABELS = ["Character", "Event", "Movie", "Series", "Episode", "Location", "Object", "Organization", "Timeline"]
@@ -26,15 +27,15 @@ EXTRACTION = (
 def resolve(mentions: DataFrame, aliases: DataFrame) -> DataFrame:
     """`entity_id` of mentions (name, kind): the alias's only entity, else the first of the kind, else the first; else a fresh id.
 
-    aliases: (alias, entity_id, kind, position).
+    aliases: (alias, entity_id, kind, position). Two rows of a few bytes stand for all candidates of an alias: the first, and the first of each kind.
     """
-    keyed = mentions.withColumn("_key", F.lower(F.trim("name"))).withColumn("_m", F.monotonically_increasing_id())
-    index = aliases.select(F.lower(F.trim("alias")).alias("_key"), F.col("entity_id").alias("_id"), F.col("kind").alias("_kind"), "position")
-    # One list for each alias, as the resolver's index has it; mentions then never multiply.
-    lists = index.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("position", "_id", "_kind"))).alias("_c"))
-    same = F.filter("_c", lambda c: c["_kind"] == F.col("kind"))
-    pick = F.when(F.size(same) > 0, same[0]["_id"]).otherwise(F.col("_c")[0]["_id"])
-    return keyed.join(lists, "_key", "left").withColumn("entity_id", F.when(F.col("_c").isNull(), canonical_id(F.lower("kind"), F.col("name"))).otherwise(pick)).drop("_key", "_m", "_c")
+    index = aliases.select(F.lower(F.trim("alias")).alias("_key"), F.col("kind").alias("_kind"), F.struct("position", F.col("entity_id").alias("id")).alias("c"))
+    of_kind = index.groupBy("_key", "_kind").agg(F.min("c").alias("_same"))
+    first = of_kind.groupBy("_key").agg(F.min("_same").alias("_any"))
+    held = mentions.withColumn("_key", F.lower(F.trim("name"))).join(first, "_key", "left")
+    held = held.join(of_kind.withColumnRenamed("_key", "_k"), (F.col("_key") == F.col("_k")) & (F.col("kind") == F.col("_kind")), "left")
+    found = F.coalesce(F.col("_same.id"), F.col("_any.id"), canonical_id(F.lower("kind"), F.col("name")))
+    return held.withColumn("entity_id", found).drop("_key", "_k", "_kind", "_same", "_any")
 
 
 def register(mentions: DataFrame) -> DataFrame:
@@ -131,9 +132,10 @@ def known_labels(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("label").isin(LABELS))
 
 
-def provenance(document: Column, window: Column, model: Column, extracted: Column, quote: Column) -> Column:
-    """Where a node or an edge comes from, as JSON of five keys."""
-    return F.to_json(F.struct(document.alias("document_id"), window.alias("window_id"), model.alias("model"), extracted.alias("extracted_at"), quote.alias("quote")))
+def provenance(window: Column, document: Column, title: Column, kind: Column, timeline: Column) -> Column:
+    """Where a node or an edge comes from, as JSON of five keys; what isn't known is null."""
+    parts = F.struct(window.alias("chunk_id"), document.alias("document_id"), title.alias("source"), kind.alias("source_type"), timeline.alias("timeline_id"))
+    return F.to_json(parts, {"ignoreNullFields": "false"})
 
 
 def scoped_events(events: DataFrame, scopes: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -170,27 +172,85 @@ def written(edges: DataFrame) -> DataFrame:
     return edges.groupBy("rel").agg(F.count("*").alias("written"))
 
 
-def load(extractions: DataFrame) -> dict[str, DataFrame]:
-    """Nodes, edges and totals of extractions (seq, document_id, scope, body: EXTRACTION), of which the gate lets through the valid."""
-    good = extractions.where(gate(F.col("body")))
-    entity = F.explode("body.entities").alias("e")
-    named = good.select("seq", "document_id", entity).select("seq", canonical_id(F.lower("e.type"), F.col("e.name")).alias("id"), F.col("e.type").alias("label"), F.col("e.name").alias("name"), F.coalesce("e.aliases", F.array().cast("array<string>")).alias("aliases"), F.col("document_id").alias("provenance"))
-    told = good.select("seq", "document_id", "scope", F.explode("body.events").alias("e"))
-    told = told.select("seq", "document_id", "scope", canonical_id(F.lit("event"), F.col("e.name")).alias("event_id"), F.col("e.name").alias("name"), "e.participants", "e.objects", "e.location")
-    stories = told.select("seq", F.col("event_id").alias("id"), F.lit("Event").alias("label"), "name", F.array().cast("array<string>").alias("aliases"), F.col("document_id").alias("provenance"))
-    people = told.select("seq", F.explode("participants").alias("n"), F.lit("Character").alias("label"), "document_id").union(told.select("seq", F.explode("objects"), F.lit("Object"), "document_id")).union(told.where("location is not null").select("seq", "location", F.lit("Location"), "document_id"))
-    related = good.select("seq", "document_id", F.explode(without_self_relations(F.col("body"))).alias("r"))
-    people = people.union(related.select("seq", F.explode(F.array("r.source", "r.target")), F.lit("Character"), "document_id"))
-    people = people.select("seq", canonical_id(F.lower("label"), F.col("n")).alias("id"), "label", F.col("n").alias("name"), F.array().cast("array<string>").alias("aliases"), F.col("document_id").alias("provenance"))
-    rows = known_labels(named.unionByName(stories).unionByName(people))
-    nodes = upsert_nodes(rows).join(rows.groupBy("id").agg(F.min_by("label", "seq").alias("label")), "id")
-    event = lambda c: canonical_id(F.lit("event"), F.col(c))
-    timed = good.select(F.explode("body.temporals").alias("t")).select(event("t.event_a").alias("a"), F.col("t.relation").alias("rel"), event("t.event_b").alias("b"))
-    edges = event_edges(told).union(relation_edges(related.select("r.source", "r.relation", "r.target"))).union(temporal_edges(timed))
-    ids = nodes.select("id")
-    kept = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "rel", "dst").distinct()
-    totals = extractions.agg(F.count("*").alias("windows"), F.count_if(gate(F.col("body"))).alias("valid"))
-    return {"nodes": nodes, "edges": kept, "missing": missing_ends(edges.distinct(), nodes), "loaded": totals, "written": written(kept)}
+#: Registrations of a window at most; the gate's limits allow about 530.
+OF_WINDOW = 1024
+
+
+def registrations(x: Column) -> Column:
+    """All names of an extraction in the order in which they are registered, each with the group of edges it belongs to and its part there.
+
+    array<struct<kind, name, aliases, group, role>>. A group's head is an event, a relation's source or the first event of a pair.
+    """
+    none = F.array().cast("array<string>")
+
+    def one(kind: Column | str, name: Column, group: Column, role: Column | str, aliases: Column = none) -> Column:
+        text = lambda c: F.lit(c) if isinstance(c, str) else c
+        return F.struct(text(kind).alias("kind"), name.alias("name"), aliases.alias("aliases"), group.alias("group"), text(role).alias("role"))
+
+    def lists(c: str, f) -> Column:
+        return F.coalesce(F.transform(x[c], f), F.array())
+
+    def event(e: Column, i: Column) -> Column:
+        group = F.concat(F.lit("e"), i)
+        many = lambda c, kind, role: F.transform(F.coalesce(e[c], none), lambda n: one(kind, n, group, role))
+        where = F.when(F.coalesce(e["location"], F.lit("")) != "", F.array(one("Location", e["location"], group, "OCCURS_AT"))).otherwise(F.array().cast(PLACE))
+        return F.concat(F.array(one("Event", e["name"], group, "head")), many("participants", "Character", "PARTICIPATES_IN"), many("objects", "Object", "INVOLVES"), where)
+
+    def pair(kind: str, letter: str, a: str, b: str):
+        return lambda r, i: F.array(one(kind, r[a], F.concat(F.lit(letter), i), "head"), one(kind, r[b], F.concat(F.lit(letter), i), r["relation"]))
+
+    entities = lists("entities", lambda e: one(e["type"], e["name"], F.lit(None).cast("string"), "entity", F.coalesce(e["aliases"], none)))
+    related = F.transform(without_self_relations(x), pair("Character", "r", "source", "target"))
+    return F.concat(*(c.cast(f"array<{REGISTRATION}>") for c in (entities, F.flatten(lists("events", event)), F.flatten(F.coalesce(related, F.array())), F.flatten(lists("temporals", pair("Event", "t", "event_a", "event_b"))))))
+
+
+REGISTRATION = "struct<kind:string,name:string,aliases:array<string>,group:string,role:string>"
+PLACE = f"array<{REGISTRATION}>"
+
+
+def load(extractions: DataFrame, documents: DataFrame, scopes: DataFrame, ledger: DataFrame | None = None, known: DataFrame | None = None, model: str = "default") -> dict[str, DataFrame | dict]:
+    """Extractions (seq, window_id, body: EXTRACTION) as a graph, each name by way of the registry, in the order of seq.
+
+    documents: (document_id, title, type, season, timeline_id), of which a window's id names one before its `#`; scopes: (id, parent) of
+    timelines. ledger: (window_id, model) of windows that were loaded before, which are left out. known: the registry so far, as `entities`
+    has it. Windows that the gate refuses, and those of no document, are skipped. Totals count relations and pairs as read, without those of a name with itself. Returns nodes (id, label, name, aliases, provenance), events
+    (id, date, date_precision, evidence_quote), edges (src, rel, dst, provenance), entities, documents, missing, ledger, and totals.
+
+    The gated windows are written once and counted by the same pass; one long table of registrations serves nodes and edges.
+    """
+    fresh = extractions if ledger is None else extractions.join(ledger.where(F.col("model") == model).select("window_id").distinct(), "window_id", "left_anti")
+    about = documents.select("document_id", "title", "type", "timeline_id")
+    seen = Observation()
+    held = fresh.withColumn("document_id", F.when(F.contains("window_id", F.lit("#")), F.substring_index("window_id", "#", 1))).join(about, "document_id", "left")
+    # Out of a generator, or the gate would be copied into every mention of it
+    held = held.select("*", F.explode(F.array(F.coalesce(gate(F.col("body")), F.lit(False)) & F.col("type").isNotNull())).alias("_good"))
+    size = lambda c: F.coalesce(F.sum(F.when(F.col("_good"), F.size(F.coalesce(c, F.array())))), F.lit(0))
+    held = held.observe(seen, F.count(F.lit(1)).alias("windows"), F.count_if("_good").alias("chunks"), size(F.col("body.entities")).alias("entities"), size(F.col("body.events")).alias("events"), size(without_self_relations(F.col("body"))).alias("relations"), size(F.col("body.temporals")).alias("temporals"))
+    made = provenance(F.col("window_id"), F.col("document_id"), F.col("title"), F.col("type"), F.col("timeline_id"))
+    held = held.where("_good").select("seq", "window_id", "document_id", "timeline_id", made.alias("provenance"), registrations(F.col("body")).alias("r"), F.transform("body.events", lambda e: F.struct(e["date"].alias("date"), e["date_precision"].alias("date_precision"), e["evidence_quote"].alias("evidence_quote"))).alias("dated"))
+    good = cut(held)
+    totals = seen.get
+    totals["skipped"] = totals.pop("windows") - totals["chunks"]
+    rows = good.select(F.col("seq").alias("window"), "document_id", "timeline_id", "provenance", "dated", F.posexplode("r").alias("n", "x"))
+    rows = cut(rows.select((F.col("window") * OF_WINDOW + F.col("n")).alias("seq"), "window", "document_id", "timeline_id", "provenance", "x.*", F.when((F.col("x.role") == "head") & F.col("x.group").startswith("e"), F.get("dated", F.expr("cast(substring(x.group, 2) as int)"))).alias("told")))
+    outcomes, entities = register_in_order(rows.select("seq", "name", "kind", "aliases"), known)
+    named = cut(rows.drop("name", "kind", "aliases").join(outcomes, "seq"))
+    queued = named.groupBy(F.col("entity_id").alias("id")).agg(F.max_by("provenance", "seq").alias("provenance"))
+    nodes = known_labels(queued.join(entities.withColumnRenamed("entity_id", "id"), "id").select("id", F.col("kind").alias("label"), "name", "aliases", "provenance"))
+    stories = named.where("told is not null")
+    events = stories.groupBy(F.col("entity_id").alias("id")).agg(F.max_by("told", "seq").alias("told")).select("id", "told.*")
+    grouped = named.where("group is not null").groupBy("window", "group").agg(F.max(F.when(F.col("role") == "head", F.col("entity_id"))).alias("head"), F.collect_list(F.when(F.col("role") != "head", F.struct("seq", "role", "entity_id", "provenance"))).alias("m"))  # an event's 41 at most
+    ends = grouped.select("group", "head", F.explode("m").alias("m")).select("head", F.col("m.role").alias("rel"), F.col("m.entity_id").alias("other"), F.col("m.seq").alias("seq"), F.col("m.provenance").alias("provenance"), F.left("group", F.lit(1)).alias("g"))
+    to_head = (F.col("rel") == "PARTICIPATES_IN") & (F.col("g") == "e") | (F.col("rel") == "AFTER") & (F.col("g") == "t")
+    ends = ends.where("g = 'e' or head <> other").select(
+        "seq", F.when(to_head, F.col("other")).otherwise(F.col("head")).alias("src"), F.when((F.col("rel") == "AFTER") & (F.col("g") == "t"), "BEFORE").otherwise(F.col("rel")).alias("rel"), F.when(to_head, F.col("head")).otherwise(F.col("other")).alias("dst"), "provenance"
+    )
+    scoped, missing = scoped_events(stories.select(F.col("entity_id").alias("event_id"), F.concat(F.lit("timeline:"), "timeline_id").alias("scope"), "document_id"), scopes, documents.select(F.col("document_id").alias("id")))
+    edges = ends.groupBy("src", "rel", "dst").agg(F.min_by("provenance", "seq").alias("provenance"))  # both ends are registered, so none dangles
+    edges = edges.unionByName(scoped.withColumn("provenance", F.lit(None).cast("string")))
+    shown = document_nodes(documents.withColumn("timeline_id", F.concat(F.lit("timeline:"), "timeline_id")), scopes)
+    done = good.select("window_id", F.lit(model).alias("model"))
+    return {"nodes": nodes, "events": events, "edges": edges, "entities": entities, "documents": shown, "missing": missing, "ledger": done, "totals": totals, "written": written(edges)}
 
 
 # -- registry ------------------------------------------------------------------------------
@@ -202,6 +262,45 @@ def seeds(rows: DataFrame) -> DataFrame:
     return ascii_only.select(canonical_id(F.lower("kind"), F.col("name")).alias("entity_id"), "name", "kind", "aliases")
 
 
+def register_in_order(mentions: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Outcomes (seq, entity_id) and entities (entity_id, name, kind, aliases) of mentions (seq, name, kind, aliases), as if registered one by one.
+
+    A mention is the entity of its own canonical id if there is one by then, else the first entity of its kind that had its name as an
+    alias, else a new one. seq is a number, the order. known: entities from before, which come first, by id.
+
+    No group is replayed. A mention can go to another entity only if some earlier mention of the kind had its name as an alias: the
+    earliest such decides, whatever entity it went to itself. So a canonical id has an entity of its own from its first mention
+    that no alias preceded; and the other mentions follow the earliest alias, link by link, in rounds that double their reach.
+    """
+    none = F.array().cast("array<string>")
+    rows = mentions.select("seq", F.trim("name").alias("name"), "kind", F.coalesce("aliases", none).alias("aliases"))
+    if known is not None:
+        first = (rows.agg(F.min("seq")).first()[0] or 0) - 1 - known.count()
+        before = known.select((F.row_number().over(W.partitionBy(F.lit(0)).orderBy("entity_id")) + first).cast("long").alias("seq"), F.trim("name").alias("name"), "kind", F.coalesce("aliases", none).alias("aliases"), F.col("entity_id").alias("id"))
+        rows = rows.withColumn("id", F.lit(None).cast("string")).unionByName(before)
+    else:
+        rows = rows.withColumn("id", F.lit(None).cast("string"))
+    rows = rows.select("seq", "name", "kind", F.lower("kind").alias("_k"), F.lower("name").alias("_key"), "aliases", F.coalesce("id", canonical_id(F.lower("kind"), F.col("name"))).alias("id"), F.col("id").isNotNull().alias("_known"))
+    heard = F.when(F.col("_known"), F.concat("aliases", F.array("name"))).otherwise(F.col("aliases"))  # an id that was given need not be its name's
+    aliases = rows.select("_k", F.explode(heard).alias("a"), "seq").select("_k", F.lower(F.trim("a")).alias("_key"), "seq").where("_key <> ''")
+    rows = rows.join(aliases.groupBy("_k", "_key").agg(F.min("seq").alias("at")), ["_k", "_key"], "left")
+    free = F.col("_known") | F.col("at").isNull() | (F.col("at") >= F.col("seq"))
+    made = rows.where(free).groupBy("id").agg(F.min("seq").alias("made"))
+    rows = cut(rows.join(made, "id", "left").withColumn("own", F.coalesce(F.col("made") <= F.col("seq"), F.lit(False))))
+    # Names are short; a table of links has a row for each mention that an alias took
+    found = rows.where("own").select("seq", F.col("id").alias("entity_id"))
+    links = cut(rows.where("not own").select("seq", "at"))
+    while not links.isEmpty():
+        ended = links.join(found.select(F.col("seq").alias("at"), "entity_id"), "at").select("seq", "entity_id")
+        ahead = links.select(F.col("seq").alias("at"), F.col("at").alias("_on"))
+        links, found = cut(links.join(ended, "seq", "left_anti").join(ahead, "at").select("seq", F.col("_on").alias("at"))), cut(found.union(ended))
+    held = rows.select("seq", "id", "name", "kind", "aliases", "made").join(found, "seq")
+    makers = held.where("seq = made").select("entity_id", "name", "kind")
+    said = held.select("entity_id", F.explode_outer("aliases").alias("a")).groupBy("entity_id").agg(F.array_sort(F.collect_set("a")).alias("aliases"))
+    outcomes = found if known is None else found.join(mentions.select("seq"), "seq", "left_semi")
+    return outcomes, makers.join(said, "entity_id").select("entity_id", "name", "kind", "aliases")
+
+
 def merge_by_alias(mentions: DataFrame) -> DataFrame:
     """(entity_id, name, kind, aliases): mentions (seq, name, kind, aliases) of a kind that share an id or a name or alias, directly or over others.
 

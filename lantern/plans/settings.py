@@ -56,17 +56,21 @@ def ingest(spark: SparkSession, folder: str, stored: DataFrame, document_of: Cal
     return records, states.select("document_id", F.coalesce("state", F.lit("ok")).alias("state"))
 
 
-def build_graph(windows: DataFrame, extract: Callable[[str], str] | None, cache: DataFrame, load: bool = True) -> dict[str, DataFrame]:
-    """Extract what the cache lacks, if an extractor is given, and load what is known, if asked for. windows: (window_id, seq, document_id, scope, text)."""
+def build_graph(windows: DataFrame, extract: Callable[[str], str] | None, cache: DataFrame, documents: DataFrame | None = None, scopes: DataFrame | None = None, ledger: DataFrame | None = None, known: DataFrame | None = None) -> dict[str, DataFrame | dict]:
+    """Extract what the cache lacks, if an extractor is given, and load what is known, if documents and scopes are. windows: (window_id, seq, text).
+
+    The rest, and what comes back, is as knowledge.load has it; ledger and entities go into the next call.
+    """
     out: dict[str, DataFrame] = {"cache": cache}
     if extract is not None:
         run = knowledge.run_extraction(knowledge.to_extract(windows, cache, ["window_id"]), extract)
         fresh = run.withColumn("seq", F.lit(1) + F.coalesce(F.lit(cache.agg(F.max("seq")).first()[0]), F.lit(0)))
         out["cache"] = knowledge.cache_put(cache, fresh.select(cache.columns), ["window_id"], "seq")
         out["totals"] = knowledge.run_totals(run)
-    if load:
-        known = knowledge.cache_get(out["cache"]).where("status = 'ok'").select("window_id", F.col("read").alias("body"))
-        out |= knowledge.load(windows.join(known, "window_id").select("seq", "document_id", "scope", "body"))
+    if documents is not None and scopes is not None:
+        told = knowledge.cache_get(out["cache"]).where("status = 'ok'").select("window_id", F.col("read").alias("body"))
+        loaded = knowledge.load(windows.join(told, "window_id").select("seq", "window_id", "body"), documents, scopes, ledger, known)
+        out |= {"loaded" if k == "totals" else k: v for k, v in loaded.items()}
     return out
 
 

@@ -35,7 +35,8 @@ def test_corrupt_cache_entries_are_done_again(spark):
 
 
 def test_build_graph_resumes(spark):
-    windows = spark.createDataFrame([("w1", 1, "d", "s", "one"), ("w2", 2, "d", "s", "two"), ("w3", 3, "d", "s", "bad")], "window_id string, seq long, document_id string, scope string, text string")
+    windows = spark.createDataFrame([("d#w1", 1, "one"), ("d#w2", 2, "two"), ("d#w3", 3, "bad")], "window_id string, seq long, text string")
+    documents = spark.createDataFrame([("d", "D", "movie", None, "s")], "document_id string, title string, type string, season int, timeline_id string")
     asked = []
 
     def extract(text):
@@ -44,11 +45,12 @@ def test_build_graph_resumes(spark):
         return json.dumps({"entities": [{"name": f"thing {text}", "type": "Object"}], "events": [{"name": "big meeting", "participants": ["Ann"], "location": "Town hall", "evidence_quote": "they met at last"}]})
 
     cache = spark.createDataFrame([], "window_id string, status string, body string, seq int")
-    out = settings.build_graph(windows, extract, cache)
+    out = settings.build_graph(windows, extract, cache, documents, spark.createDataFrame([("timeline:s", None)], "id string, parent string"))
     assert {r["status"]: r["n"] for r in out["totals"].collect()} == {"ok": 2, "error": 1}
     assert {r["id"] for r in out["nodes"].collect()} == {"object:thing_one", "object:thing_two", "event:big_meeting", "character:ann", "location:town_hall"}
-    assert {tuple(r) for r in out["edges"].collect()} == {("character:ann", "PARTICIPATES_IN", "event:big_meeting"), ("event:big_meeting", "OCCURS_AT", "location:town_hall")}
-    again = settings.build_graph(windows, lambda t: asked.append(t) or "{}", out["cache"], load=False)
+    edges = {("character:ann", "PARTICIPATES_IN", "event:big_meeting"), ("event:big_meeting", "OCCURS_AT", "location:town_hall"), ("event:big_meeting", "OCCURS_IN", "timeline:s"), ("event:big_meeting", "DEPICTED_IN", "d")}
+    assert {tuple(r)[:3] for r in out["edges"].collect()} == edges and out["loaded"]["chunks"] == 2
+    again = settings.build_graph(windows, lambda t: asked.append(t) or "{}", out["cache"])
     assert {r["status"]: r["n"] for r in again["totals"].collect()} == {"ok": 1}
 
 
