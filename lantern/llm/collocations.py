@@ -240,15 +240,38 @@ def _count_pairs(most: int, bits: int):
     return run
 
 
+def _packed(batches):
+    """A shard's pairs, sorted and compressed."""
+    for row in _rows(batches):
+        a, b = (row[c].values.to_numpy() for c in ("a", "b"))
+        order = np.lexsort((b, a))
+        packed = zlib.compress(np.stack([np.diff(a[order], prepend=0), b[order]]).tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([row["shard"].as_py()]), pa.array([packed]), pa.ListArray.from_arrays(pa.array([0, len(row["told"].values)], pa.int32()), row["told"].values)], names=["shard", "pairs", "told"])
+
+
 def _count_longer(most: int, bits: int):
+    """Phrases by their words' global numbers, summed over a task's shards as long as they are HELD at most."""
+
+    def out(held: list) -> pa.RecordBatch:
+        columns, n = summed([np.concatenate(c) for c in zip(*(c for c, _ in held), strict=True)], np.concatenate([n for _, n in held]))
+        words = np.stack(columns, 1)
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(0, words.size + 1, words.shape[1], dtype=np.int32)), pa.array(words.ravel())), pa.array(n)], names=["p", "n"])
+
     def run(batches):
+        held, rows = defaultdict(list), Counter()
         for row in _rows(batches):
             seq, ids = _read(row)
-            a, b = (np.searchsorted(ids, row[c].values.to_numpy()) for c in ("a", "b"))
+            gaps, second = np.frombuffer(zlib.decompress(row["pairs"].as_py()), dtype=np.int64).reshape(2, -1)
+            a, b = np.searchsorted(ids, np.cumsum(gaps)), np.searchsorted(ids, second)
             for columns, n in _all_of(seq, most, bits, np.sort(a << 32 | b), 3):
-                held = np.stack([ids[c] for c in columns], 1)
-                ends = np.arange(0, held.size + 1, held.shape[1], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(held.ravel())), pa.array(n)], names=["p", "n"])
+                size = len(columns)
+                held[size].append(([ids[c] for c in columns], n))
+                rows[size] += n.size
+                if rows[size] >= HELD:
+                    yield out(held.pop(size))
+                    rows[size] = 0
+        for found in held.values():
+            yield out(found)
 
     return run
 
@@ -273,9 +296,10 @@ def frequent_phrases(held: DataFrame, least: int, most: int) -> tuple[DataFrame,
     counted = coded.select("shard", "sequence", "ids").mapInArrow(_count_pairs(2, BITS), "shard long, a long, b long, n int")
     alike = Window.partitionBy("a", "b")  # a row for each shard
     often = counted.withColumn("f", F.sum("n").over(alike)).withColumn("_first", F.min("shard").over(alike)).where(F.col("f") >= least)
-    own = often.groupBy("shard").agg(F.collect_list(F.struct("a", "b")).alias("x"), F.collect_list(F.when(F.col("shard") == F.col("_first"), F.struct("a", "b", "f"))).alias("told"))  # a shard's own pairs; each pair's count once
-    pairs = C.cut(own.select("shard", F.transform("x", lambda p: p["a"]).alias("a"), F.transform("x", lambda p: p["b"]).alias("b"), "told"))
-    longer = coded.select("shard", "sequence", "ids").join(pairs.select("shard", "a", "b"), "shard").mapInArrow(_count_longer(most, BITS), "p array<long>, n long")
+    # A shard's own pairs, and each pair's count once. Both lists are gathered from the same rows in the same order.
+    own = often.groupBy("shard").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"), F.collect_list(F.when(F.col("shard") == F.col("_first"), F.struct("a", "b", "f"))).alias("told"))
+    pairs = C.cut(own.mapInArrow(_packed, "shard long, pairs binary, told array<struct<a:long,b:long,f:long>>"))
+    longer = coded.select("shard", "sequence", "ids").join(pairs.select("shard", "pairs"), "shard").mapInArrow(_count_longer(most, BITS), "p array<long>, n long")
     longer = longer.groupBy("p").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     two = pairs.select(F.explode("told").alias("x")).select(F.array("x.a", "x.b").alias("p"), "x.f")
     return known.select("id", "lang", "word"), C.cut(known.select(F.array("id").alias("p"), "f").union(two).union(longer))
