@@ -17,6 +17,7 @@ from pyspark.sql.window import Window as W
 
 from lantern.functions import text as X
 from lantern.operators import chunking, evaluation, fusion, graph, grounding, incremental, index, knowledge, lexical, vector
+from lantern.operators.names import lookup
 from lantern.plans.lineage import shared_folder
 from lantern.sources import releases, tables
 
@@ -452,7 +453,7 @@ found AS (SELECT qn AS name, id, label, row_number() OVER (PARTITION BY qn ORDER
 def _lookup(spark, sf_dir):
     nodes, edges = _graph(spark, sf_dir)
     names = spark.createDataFrame([("NATION_1",), ("000000012",), ("Supplier#00000000",), ("no such name",)], "name string")
-    return graph.lookup(nodes, names, RANKS), edges
+    return lookup(nodes, names, RANKS), edges
 
 
 @query(f"WITH {GRAPH_SQL}, {LOOKUP_SQL} SELECT name, id, label, rank FROM found")
@@ -469,11 +470,21 @@ def neighbors_capped(spark, sf_dir):
     return graph.neighbours(found, edges).select("name", "id", near.alias("neighbours"))
 
 
-@query(f"WITH {GRAPH_SQL} SELECT id FROM nodes WHERE id IN (SELECT src FROM edges WHERE dst IN (SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey = 1)) OR id IN (SELECT dst FROM edges WHERE src IN (SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey = 1))")
+@query("""WITH o AS (SELECT 'o' || o_orderkey AS id, 'c' || o_custkey AS cust, CASE o_orderstatus WHEN 'O' THEN 'Event' WHEN 'F' THEN 'Movie' ELSE 'Series' END AS label, CASE WHEN o_orderkey % 2 = 0 THEN 'OCCURS_IN' ELSE 'DEPICTED_IN' END AS rel, 'timeline:' || o_orderpriority AS scope FROM orders),
+inside AS (SELECT id, cust FROM o WHERE scope = 'timeline:1-URGENT' AND (label = 'Event' AND rel = 'OCCURS_IN' OR label = 'Movie' AND rel = 'DEPICTED_IN'))
+SELECT DISTINCT cust AS id FROM inside UNION SELECT DISTINCT 'p' || l_partkey FROM inside JOIN lineitem ON 'o' || l_orderkey = inside.id WHERE l_linenumber > 1""")
 def scope_witness(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
-    scoped = T(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"))
-    return graph.witnesses(nodes, edges, scoped).select("id")
+    """Customers take part in orders, which involve parts (the first line only mentions its part); an order is an event, a film or a series of its priority's timeline."""
+    key = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    orders = T(spark, sf_dir, "orders").withColumn("id", key("o", "o_orderkey"))
+    label = F.when(F.col("o_orderstatus") == "O", "Event").when(F.col("o_orderstatus") == "F", "Movie").otherwise("Series")
+    rel = F.when(F.col("o_orderkey") % 2 == 0, "OCCURS_IN").otherwise("DEPICTED_IN")
+    scope = F.concat(F.lit("timeline:"), "o_orderpriority")
+    edges = orders.select(F.col("id").alias("src"), rel.alias("rel"), scope.alias("dst")).union(orders.select(key("c", "o_custkey"), F.lit("PARTICIPATES_IN"), "id"))
+    edges = edges.union(T(spark, sf_dir, "lineitem").select(key("o", "l_orderkey"), F.when(F.col("l_linenumber") > 1, "INVOLVES").otherwise("MENTIONS"), key("p", "l_partkey")))
+    nodes = orders.select("id", label.alias("label"))
+    others = T(spark, sf_dir, "customer").select(key("c", "c_custkey").alias("id")).union(T(spark, sf_dir, "part").select(key("p", "p_partkey")))
+    return graph.witnesses(others, edges, nodes, "timeline:1-URGENT")
 
 
 NEXT_SQL = """WITH RECURSIVE e AS (SELECT event_id AS a, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events),

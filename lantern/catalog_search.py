@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lantern.catalog_queries import TERMS_SQL, T, WORDS, bm25_sql, ngram_overlap, query
 from lantern.catalog_sources import ORACLES, QUERIES
 from lantern.functions import text as X
-from lantern.operators import index, retrieval
+from lantern.operators import index, names, neighbours, retrieval
 from lantern.plans.lineage import shared_folder
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -84,3 +84,40 @@ def batch_retrieval_metrics(spark, sf_dir):
     cases = gold.select(F.col("item_id").alias("case_id"), "document_id", blank.alias("start"), blank.alias("end"), F.lit(0.0).alias("pad"))
     rows = _retrieved(spark, sf_dir).select(F.col("item_id").alias("case_id"), "rank", F.col("doc_id").alias("document_id"), blank.alias("start"), blank.alias("end"))
     return retrieval.evaluate(cases, rows).select("evidence6", *(f"doc_recall_{k}" for k in (1, 3, 6, 12)), "doc_rr", "ndcg")
+
+
+# -- neighbours and names ------------------------------------------------------------------
+
+@query(None)
+def ann_batch_topk(spark, sf_dir):
+    """The neighbours of every vector, of the lists that hold a tenth of all; tested against the exact search."""
+    e = T(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    path = f"{shared_folder(spark)}/lists-{uuid.uuid4().hex}"
+    neighbours.build(e, path)
+    return neighbours.search_many(spark, path, e, 10).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
+def _parts(spark, sf_dir) -> DataFrame:
+    return T(spark, sf_dir, "part").select(F.col("p_partkey").alias("text_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+
+
+@query("""WITH t AS (SELECT p_partkey, p_name || ' ' || p_type || ' ' || p_brand AS text FROM part), w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM t),
+s AS (SELECT word FROM w UNION SELECT left(word, 2) FROM w UNION SELECT right(word, 1) FROM w UNION SELECT word || 'x' FROM w)
+SELECT p_partkey AS text_id, word AS sought_id FROM t JOIN s ON contains(text, word)""")
+def names_containing(spark, sf_dir):
+    parts = _parts(spark, sf_dir)
+    w = parts.select(F.explode(F.split("text", " ")).alias("w")).distinct()
+    sought = w.union(w.select(F.left("w", F.lit(2)))).union(w.select(F.right("w", F.lit(1)))).union(w.select(F.concat("w", F.lit("x")))).distinct()
+    return names.containing(parts, sought.select(F.col("w").alias("sought_id"), F.col("w").alias("text")))
+
+
+@query("""WITH nodes AS (SELECT p_partkey AS id, p_name AS name, p_type AS label FROM part), q AS (SELECT DISTINCT p_name || ' of ' || p_brand AS name FROM part UNION SELECT DISTINCT 'lost ' || p_type || ' Gear' FROM part),
+tok AS (SELECT DISTINCT name, unnest(list_filter(string_split(lower(name), ' '), lambda x: len(x) > 2)) AS token FROM q),
+whole AS (SELECT q.name, id, label, 0 AS hits, abs(len(nodes.name) - len(q.name)) AS near FROM q JOIN nodes ON contains(lower(nodes.name), lower(q.name)) OR contains(lower(q.name), lower(nodes.name))),
+part_of AS (SELECT t.name, id, label, count(*) AS hits, -count(*) AS near FROM tok t JOIN nodes ON contains(lower(nodes.name), token) WHERE t.name NOT IN (SELECT name FROM whole) GROUP BY ALL)
+SELECT name, id, label, row_number() OVER (PARTITION BY name ORDER BY near, id)::INTEGER AS rank, hits::INTEGER AS hits FROM (SELECT * FROM whole UNION ALL SELECT * FROM part_of) QUALIFY rank <= 3""")
+def endpoints_batch(spark, sf_dir):
+    part = T(spark, sf_dir, "part")
+    wanted = part.select(F.concat("p_name", F.lit(" of "), "p_brand").alias("name")).union(part.select(F.concat(F.lit("lost "), "p_type", F.lit(" Gear")))).distinct()
+    tokens = wanted.select("name", F.explode(F.filter(F.split(F.lower("name"), " "), lambda x: F.length(x) > 2)).alias("token"))
+    return names.endpoints(part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("label")), wanted, tokens)

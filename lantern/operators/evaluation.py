@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lantern.operators.graph import small
+
 DEPTH = 12
 
 
@@ -79,8 +81,11 @@ def spaced(rows: DataFrame, group: str, order: str, time: str, most: int = 2, ap
 def of_length(rows: DataFrame, group: str, text: str, low: int = 150, high: int = 800, fallback: int = 80, few: int = 2) -> DataFrame:
     """Rows with texts of fitting length; in groups with fewer than `few` of them, all of `fallback` characters or more."""
     fits = F.length(text).between(low, high)
-    held = rows.withColumn("_n", F.count_if(fits).over(W.partitionBy(group)))
-    return held.where(F.when(F.col("_n") >= few, fits).otherwise(F.length(text) >= fallback)).drop("_n")
+    # Counts of groups meet the rows; texts stay where they are
+    poor = rows.groupBy(F.col(group).alias("_g")).agg(F.count_if(fits).alias("_n")).where(F.col("_n") < few).drop("_n")
+    is_poor = F.col("_p").isNotNull()
+    held = rows.join(small(poor.withColumn("_p", F.lit(True))), F.col(group).eqNullSafe(F.col("_g")), "left")
+    return held.where(F.when(is_poor, F.length(text) >= fallback).otherwise(fits)).drop("_g", "_p")
 
 
 def distinct_questions(rows: DataFrame, question: str, id_col: str) -> DataFrame:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lantern.plans.lineage import cut
+
 ALPHA = 0.3
 CAPS = {"path": 2, "entity": 3}
 POOL, RESULTS, EVIDENCE = 24, 20, 6
@@ -59,11 +62,14 @@ def cross_encode(pairs: DataFrame, score: Callable[[list[str], list[str]], list[
 
 
 def rescore(chunks: DataFrame, score: Callable[[list[str], list[str]], list[float]], query: str, text: str, value: str = "score", id_col: str = "key", pool: int = POOL) -> DataFrame:
-    """chunks with `value` of each query's best `pool` rows replaced by the model's; the tail keeps its own."""
-    place = F.row_number().over(W.partitionBy(query).orderBy(F.desc(value), id_col))
-    ranked = chunks.withColumn("_p", place)
-    head = rerank_scores(cross_encode(ranked.where(F.col("_p") <= pool), score, query, text), query, "raw")
-    return head.withColumn(value, F.col("rerank")).drop("raw", "rerank", "_p").unionByName(ranked.where(F.col("_p") > pool).drop("_p"))
+    """chunks with `value` of each query's best `pool` rows replaced by the model's; the tail keeps its own. A query's ids stand once."""
+    order = F.row_number().over(W.partitionBy(query).orderBy(F.desc(value), id_col))
+    # Ids and scores alone are ranked; texts are fetched for the pool, and the tail stays where it is.
+    best = cut(chunks.select(query, id_col, value).withColumn("_p", order).where(F.col("_p") <= pool).select(F.col(query).alias("_q"), F.col(id_col).alias("_id"), "_p"))
+    best = F.broadcast(best) if best.count() <= 100_000 else best
+    mine = (F.col(query) == F.col("_q")) & (F.col(id_col) == F.col("_id"))
+    head = rerank_scores(cross_encode(chunks.join(best.drop("_p"), mine).drop("_q", "_id"), score, query, text), query, "raw")
+    return head.withColumn(value, F.col("rerank")).drop("raw", "rerank").unionByName(chunks.join(best, mine, "left_anti"))
 
 
 def used_legs(evidence: DataFrame, cited: DataFrame, case: str, most: int = EVIDENCE) -> DataFrame:
@@ -91,9 +97,12 @@ def longest(tokens: Column) -> Column:
 
 def merge(results: DataFrame, rescored: Column | None = None) -> DataFrame:
     """Ranked rows of (key, type, score): caps of each type, rescoring of the pool, one row for each key, the best."""
-    by_type = W.partitionBy("type").orderBy(F.desc("score"), "key")
-    cap = F.when(F.col("type") == "path", CAPS["path"]).when(F.col("type") == "entity", CAPS["entity"]).otherwise(F.lit(1 << 30))
-    kept = results.withColumn("_p", F.row_number().over(by_type)).where(F.col("_p") <= cap)
+    place = F.row_number().over(W.partitionBy("type").orderBy(F.desc("score"), "key"))
+    # Each type under its own literal cap, which Spark keeps within each task before it sorts; a branch without the type is pruned
+    capped = [results.where(F.col("type") == kind).withColumn("_p", place).where(F.col("_p") <= cap) for kind, cap in CAPS.items()]
+    others = results.where(~F.col("type").isin(list(CAPS)))
+    others = others.withColumn("_p", place if rescored is not None else F.lit(None).cast("int"))
+    kept = reduce(DataFrame.unionByName, [*capped, others])
     score = F.when((F.col("type") == "chunk") & (F.col("_p") <= POOL), rescored).otherwise(F.col("score")) if rescored is not None else F.col("score")
     order = F.when(F.col("type") == "chunk", 1).otherwise(0)
     kept = kept.withColumn("score", score).withColumn("_o", order)

@@ -22,19 +22,6 @@ def small(few: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(held) if held.limit(most + 1).count() <= most else held
 
 
-def lookup(nodes: DataFrame, names: DataFrame, ranks: dict[str, int] = LABEL_RANK, pool: int = 24, most: int = 4) -> DataFrame:
-    """(name, id, label, rank) of up to `most` nodes for each name: equal names, else names that contain it.
-
-    names: a question's few names.
-    """
-    low = small(names.select(F.col("name").alias("q"), F.lower("name").alias("_q")).distinct())
-    near = nodes.join(low, F.contains(F.lower("name"), F.col("_q"))).withColumn("_tier", F.when(F.lower("name") == F.col("_q"), 0).otherwise(1))
-    best = near.withColumn("_best", F.min("_tier").over(W.partitionBy("q"))).where("_tier = _best")
-    pooled = best.withColumn("_n", F.row_number().over(W.partitionBy("q").orderBy("id"))).where(F.col("_n") <= pool)
-    rank = F.row_number().over(W.partitionBy("q").orderBy(label_rank(F.col("label"), ranks), "id"))
-    return pooled.withColumn("rank", rank).where(F.col("rank") <= most).select(F.col("q").alias("name"), "id", "label", "rank")
-
-
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id"), "rel", F.col("dst").alias("other")).union(edges.select(F.col("dst").alias("id"), "rel", F.col("src").alias("other")))
 
@@ -47,9 +34,17 @@ def neighbours(found: DataFrame, edges: DataFrame, most: int = 6) -> DataFrame:
     return found.join(lists, "id", "left").withColumn("neighbours", F.coalesce("neighbours", F.array().cast("array<struct<other:string,rel:string>>")))
 
 
-def witnesses(candidates: DataFrame, edges: DataFrame, scoped: DataFrame) -> DataFrame:
-    """Candidates with an edge to something in scope. scoped: (id)."""
-    touching = undirected(edges).join(scoped.select(F.col("id").alias("other")), "other", "left_semi").select("id")
+# Relations by which something bears witness to a scope, and how each kind of witness is in a scope.
+WITNESSED_BY = ["PARTICIPATES_IN", "INVOLVES", "OCCURS_AT"]
+IN_SCOPE = {"Event": "OCCURS_IN", "Movie": "DEPICTED_IN", "Episode": "DEPICTED_IN"}
+
+
+def witnesses(candidates: DataFrame, edges: DataFrame, nodes: DataFrame, scope: str) -> DataFrame:
+    """Candidates that take part in, are involved in or are the place of an event, movie or episode of the scope. nodes: (id, label)."""
+    ways = F.create_map(*[F.lit(x) for kv in IN_SCOPE.items() for x in kv])
+    inside = edges.where((F.col("dst") == scope) & F.col("rel").isin(*set(IN_SCOPE.values()))).select(F.col("src").alias("id"), "rel")
+    told = nodes.where(F.col("label").isin(*IN_SCOPE)).join(inside, "id").where(F.try_element_at(ways, F.col("label")) == F.col("rel")).select(F.col("id").alias("other")).distinct()
+    touching = undirected(edges.where(F.col("rel").isin(WITNESSED_BY))).join(told, "other", "left_semi").select("id")
     return candidates.join(touching, "id", "left_semi")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lantern.functions.text import STOP_WORDS
-from lantern.operators import fusion, graph, grounding, index, lexical, vector
+from lantern.operators import fusion, graph, grounding, index, lexical, names, vector
 
 from .models import NO_EVIDENCE, checked_answer
 from .planner import Plan, plan
@@ -37,10 +37,10 @@ def content_words(text: str) -> list[str]:
 
 
 class GraphLeg:
-    """Entities with neighbours, events before or after one, and connections, as a plan asks for. nodes: (id, label, name); edges: (src, rel, dst)."""
+    """Entities with neighbours, events before or after one, and connections, as a plan asks for. nodes: (id, label, name), events with a date and date_precision if they are known; edges: (src, rel, dst). A scope's node is `timeline:` and its name."""
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, scoped: DataFrame | None = None, ranks: dict[str, int] = graph.LABEL_RANK):
-        self.nodes, self.edges, self.scoped, self.ranks = nodes, edges, scoped, ranks
+    def __init__(self, nodes: DataFrame, edges: DataFrame, ranks: dict[str, int] = graph.LABEL_RANK):
+        self.nodes, self.edges, self.ranks = nodes, edges, ranks
 
     def rows(self, p: Plan) -> DataFrame | None:
         """(key, type, score, quote) of at most a few dozen rows."""
@@ -50,13 +50,18 @@ class GraphLeg:
             return self.connection(*p.entities[:2])
         return self.entities(list(p.entities[:NAMES]), p.scope) if p.entities else None
 
-    def entities(self, names: list[str], scope: str | None = None) -> DataFrame:
-        found = graph.lookup(self.nodes, self.nodes.sparkSession.createDataFrame([(n,) for n in names], "name string"), self.ranks)
-        if scope is not None and self.scoped is not None:
-            found = graph.witnesses(found, self.edges, self.scoped.where(F.col("scope") == scope).select("id"))
-        named = found.select("id", "label").distinct().join(self.nodes.select("id", "name"), "id")
+    def entities(self, wanted: list[str], scope: str | None = None) -> DataFrame:
+        found = names.lookup(self.nodes, self.nodes.sparkSession.createDataFrame([(n,) for n in wanted], "name string"), self.ranks)
+        if scope is not None:
+            found = graph.witnesses(found, self.edges, self.nodes, scope if scope.startswith("timeline:") else f"timeline:{scope}")
+        known = F.lit(False)
+        if "date" in self.nodes.columns:
+            known = F.coalesce(F.col("date"), F.lit("")) != ""
+        if "date_precision" in self.nodes.columns:
+            known = known | (F.coalesce("date_precision", F.lit("unknown")) != "unknown")
+        named = found.select("id", "label").distinct().join(self.nodes.select("id", "name", known.alias("known")), "id")
         told = fusion.graph_quote(F.col("name"), F.col("label"), F.col("neighbours"))
-        dated = (F.col("label") == "Event") & F.exists("neighbours", lambda n: n["rel"].isin("BEFORE", "AFTER"))
+        dated = (F.col("label") == "Event") & F.col("known")
         return graph.neighbours(named, self.edges).select(F.concat(F.lit("node:"), "id").alias("key"), F.lit("entity").alias("type"), fusion.graph_score(F.lit("entity"), dated).alias("score"), told.alias("quote"))
 
     def events(self, reference: str, backward: bool = False, hops: int = 3) -> DataFrame:

@@ -56,14 +56,17 @@ def test_build_graph_resumes(spark):
 
 def _graph(spark):
     nodes = spark.createDataFrame([("c1", "Character", "Ann"), ("c2", "Character", "Bob"), ("o1", "Object", "Red key"), ("e1", "Event", "the vault opens"), ("e2", "Event", "the alarm rings"), ("e3", "Event", "the vault shuts")], "id string, label string, name string")
-    edges = spark.createDataFrame([("c1", "USES", "o1"), ("c2", "USES", "o1"), ("e1", "BEFORE", "e2"), ("e2", "BEFORE", "e3"), ("c1", "PARTICIPATES_IN", "e1")], "src string, rel string, dst string")
+    edges = spark.createDataFrame([("c1", "USES", "o1"), ("c2", "USES", "o1"), ("e1", "BEFORE", "e2"), ("e2", "BEFORE", "e3"), ("c1", "PARTICIPATES_IN", "e1"), ("c2", "KNOWS", "e3"), ("e1", "OCCURS_IN", "timeline:s"), ("e3", "OCCURS_IN", "timeline:s")], "src string, rel string, dst string")
     return nodes, edges
 
 
 def test_graph_leg(spark):
-    leg = GraphLeg(*_graph(spark), scoped=spark.createDataFrame([("e1", "s")], "id string, scope string"))
+    nodes, edges = _graph(spark)
+    dates = spark.createDataFrame([("e2", None, "year"), ("e3", "", "unknown"), ("e1", "2015", None)], "id string, date string, date_precision string")
+    leg = GraphLeg(nodes.join(dates, "id", "left"), edges)
+    assert {r["key"]: r["score"] for r in leg.rows(planner.Plan(("vault", "alarm"))).collect()} == {"node:e1": 0.62, "node:e2": 0.62, "node:e3": 0.55}
     names = {r["key"]: r["quote"] for r in leg.rows(planner.Plan(("Ann", "Bob"))).collect()}
-    assert names == {"node:c1": "Ann (Character): e1, o1", "node:c2": "Bob (Character): o1"}
+    assert names == {"node:c1": "Ann (Character): e1, o1", "node:c2": "Bob (Character): e3, o1"}
     assert [r["key"] for r in leg.rows(planner.Plan(("Ann", "Bob"), scope="s")).collect()] == ["node:c1"]
     paths = leg.rows(planner.Plan(("Ann", "Bob"), operation="find_connection")).collect()
     assert [(r["type"], r["quote"], r["score"]) for r in paths] == [("path", "Ann -> Red key -> Bob", 0.95)]
