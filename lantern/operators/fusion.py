@@ -65,10 +65,10 @@ def rescore(chunks: DataFrame, score: Callable[[list[str], list[str]], list[floa
     """chunks with `value` of each query's best `pool` rows replaced by the model's; the tail keeps its own. A query's ids stand once."""
     order = F.row_number().over(W.partitionBy(query).orderBy(F.desc(value), id_col))
     # Ids and scores alone are ranked; texts are fetched for the pool, and the tail stays where it is.
-    best = cut(chunks.select(query, id_col, value).withColumn("_p", order).where(F.col("_p") <= pool).select(F.col(query).alias("_q"), F.col(id_col).alias("_id"), "_p"))
+    best = cut(chunks.select(query, id_col, value).withColumn("_p", order).where(F.col("_p") <= pool).select(F.col(query).alias("_asked"), F.col(id_col).alias("_named"), "_p"))
     best = F.broadcast(best) if best.count() <= 100_000 else best
-    mine = (F.col(query) == F.col("_q")) & (F.col(id_col) == F.col("_id"))
-    head = rerank_scores(cross_encode(chunks.join(best.drop("_p"), mine).drop("_q", "_id"), score, query, text), query, "raw")
+    mine = (F.col(query) == F.col("_asked")) & (F.col(id_col) == F.col("_named"))
+    head = rerank_scores(cross_encode(chunks.join(best.drop("_p"), mine).drop("_asked", "_named"), score, query, text), query, "raw")
     return head.withColumn(value, F.col("rerank")).drop("raw", "rerank").unionByName(chunks.join(best, mine, "left_anti"))
 
 
