@@ -13,13 +13,26 @@ from lantern.llm.line_dedup import line_dedup
 from lantern.llm.queries import TOKENIZER
 
 
+#: Bytes of an Arrow batch: many stages run in one session, whose executors keep what they once held.
+BATCH_BYTES = "2097152b"
+
+
+def _lean(spark: SparkSession) -> None:
+    """Hand texts to the workers in batches of BATCH_BYTES, unless the session sets another size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, common.SPARKS_OWN) in (common.SPARKS_OWN, common.BATCH_BYTES):
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a score of 0.7 or more go; null and empty texts stay."""
+    _lean(spark)
     return toxicity.keep_clean(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def remove_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row stays, without the lines whose template recurs; n_chars, if there, follows the text."""
+    _lean(spark)
     kept = line_dedup(docs)
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("lines_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
@@ -28,16 +41,19 @@ def remove_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays, that of the smallest id; so do rows without an id or without words."""
+    _lean(spark)
     return jaccard_join.keep_one(docs)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a passage of the benchmark go."""
+    _lean(spark)
     return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every row; null texts have null ids."""
+    _lean(spark)
     return sentencepiece_lattice.encode(docs, sentencepiece_lattice.Model.load(TOKENIZER))
 
 
