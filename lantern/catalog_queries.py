@@ -82,7 +82,7 @@ def bm25_phrase_or(spark, sf_dir):
 
 @query(bm25_sql(WORDS, "SELECT h.doc_id, bm25, l.quality FROM (SELECT * FROM hits WHERE lang = 'en' ORDER BY bm25 DESC, doc_id LIMIT 20) h LEFT JOIN labels l ON l.doc_id = h.doc_id"))
 def bm25_scoped_topk(spark, sf_dir):
-    found = index.search(spark, corpus_index(spark, sf_dir), WORDS, 60, "en")
+    found = index.search(spark, corpus_index(spark, sf_dir), WORDS, 20, "en", 6)
     best = _top(found.select(F.col("id").alias("doc_id"), "bm25"))
     return T(spark, sf_dir, "labels").select("doc_id", "quality").join(F.broadcast(best), "doc_id", "right").select("doc_id", "bm25", "quality")
 
@@ -182,8 +182,7 @@ def corpus_index(spark, sf_dir) -> str:
 
 
 def _legs(spark, sf_dir, by_rank: bool = False) -> DataFrame:
-    # More than the 20 that are wanted, as scores are rounded before they are ordered
-    hits = index.search(spark, corpus_index(spark, sf_dir), LEGS, 60).withColumnRenamed("id", "doc_id")
+    hits = index.search(spark, corpus_index(spark, sf_dir), LEGS, 20, digits=6).withColumnRenamed("id", "doc_id")
     near = vector.top_k(T(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir)).select(F.col("vec_id").alias("doc_id"), F.round("score", 6).alias("cosine"))
     return fusion.blend(_top(hits), near, "doc_id", by_rank=by_rank).withColumn("score", F.round("score", 5))
 

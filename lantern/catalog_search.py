@@ -31,7 +31,7 @@ def _updated_index(spark, sf_dir) -> str:
 
 @query(bm25_sql(WORDS, "SELECT doc_id, bm25 FROM hits WHERE lang = 'en' ORDER BY bm25 DESC, doc_id LIMIT 20"))
 def index_replaced_search(spark, sf_dir):
-    found = index.search(spark, _updated_index(spark, sf_dir), WORDS, 20, "en")
+    found = index.search(spark, _updated_index(spark, sf_dir), WORDS, 20, "en", 6)
     return found.select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
 
 
@@ -39,7 +39,7 @@ def index_replaced_search(spark, sf_dir):
 def index_merged_search(spark, sf_dir):
     into = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     index.merge(spark, _updated_index(spark, sf_dir), into)
-    found = index.search(spark, into, ["license", "scum", "version", "señora"], 20)
+    found = index.search(spark, into, ["license", "scum", "version", "señora"], 20, digits=6)
     return found.select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
 
 

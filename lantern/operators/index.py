@@ -129,10 +129,10 @@ def _share(tf: Column, dl: Column, avg: float) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avg)))
 
 
-def search(spark: SparkSession, path: str, query: list[str], k: int | None = None, scope: str | None = None) -> DataFrame:
+def search(spark: SparkSession, path: str, query: list[str], k: int | None = None, scope: str | None = None, digits: int | None = None) -> DataFrame:
     """(id, bm25) of live documents that hold any phrase, as a fresh index of them would have it; the best k, if k is given.
 
-    The scope filters results, never the statistics.
+    The scope filters results, never the statistics. digits: places after the point that scores are rounded to before they are compared.
     """
     phrases = phrases_of(query)
     none = spark.createDataFrame([], "id long, bm25 double")
@@ -151,15 +151,16 @@ def search(spark: SparkSession, path: str, query: list[str], k: int | None = Non
     places = [(F.col("segment") == r["segment"]) & F.col("bucket").isin(sorted({x[str(r["buckets"])] for x in numbers})) for r in segments]
     blocks = held["blocks"].where(reduce(Column.__or__, places) & F.col("term").isin(sought))
     if all(len(p) == 1 for p in phrases):
-        return _by_terms(blocks, held, [p[0] for p in phrases], float(n), avg, k, scope)
-    return _by_phrases(blocks, held, phrases, float(n), avg, k, scope)
+        return _by_terms(blocks, held, [p[0] for p in phrases], float(n), avg, k, scope, digits)
+    return _by_phrases(blocks, held, phrases, float(n), avg, k, scope, digits)
 
 
-def _best(rows: DataFrame, k: int | None) -> DataFrame:
+def _best(rows: DataFrame, k: int | None, digits: int | None) -> DataFrame:
+    rows = rows if digits is None else rows.withColumn("bm25", F.round("bm25", digits))
     return rows if k is None else rows.orderBy(F.desc("bm25"), "id").limit(k)
 
 
-def _by_terms(blocks: DataFrame, held: dict[str, DataFrame], words: list[str], n: float, avg: float, k: int | None, scope: str | None) -> DataFrame:
+def _by_terms(blocks: DataFrame, held: dict[str, DataFrame], words: list[str], n: float, avg: float, k: int | None, scope: str | None, digits: int | None) -> DataFrame:
     spark = blocks.sparkSession
     counted = _without_replaced(blocks.select("segment", "term", F.explode("ids").alias("id")), held).groupBy("term").agg(F.count("*").alias("df"))
     times = spark.createDataFrame([(w, words.count(w)) for w in sorted(set(words))], "term string, times int")
@@ -180,11 +181,11 @@ def _by_terms(blocks: DataFrame, held: dict[str, DataFrame], words: list[str], n
         if low[0] == k:
             total = sum(r["most"] for r in most)
             others = F.create_map(*[F.lit(x) for r in most for x in (r["term"], float(total - r["most"]))])
-            held_blocks = held_blocks.where(F.col("bound") + F.element_at(others, F.col("term")) >= low[1] * (1 - 1e-9))
-    return _best(postings(held_blocks).groupBy("id").agg(F.sum("part").alias("bm25")), k)
+            held_blocks = held_blocks.where(F.col("bound") + F.element_at(others, F.col("term")) >= low[1] * (1 - 1e-9) - (0.0 if digits is None else 10.0**-digits))
+    return _best(postings(held_blocks).groupBy("id").agg(F.sum("part").alias("bm25")), k, digits)
 
 
-def _by_phrases(blocks: DataFrame, held: dict[str, DataFrame], phrases: list[list[str]], n: float, avg: float, k: int | None, scope: str | None) -> DataFrame:
+def _by_phrases(blocks: DataFrame, held: dict[str, DataFrame], phrases: list[list[str]], n: float, avg: float, k: int | None, scope: str | None, digits: int | None) -> DataFrame:
     rows = blocks.select("segment", "term", F.explode(F.arrays_zip("ids", "dls", "scopes", "positions")).alias("p"))
     rows = rows.select("segment", "term", F.col("p.ids").alias("id"), F.col("p.dls").alias("dl"), F.col("p.scopes").alias("scope"), F.col("p.positions").alias("positions"))
     at = _without_replaced(rows, held).groupBy("id", "dl", "scope").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))  # the question's terms
@@ -197,4 +198,4 @@ def _by_phrases(blocks: DataFrame, held: dict[str, DataFrame], phrases: list[lis
     dfs = found.agg(F.array(*(F.count_if(F.col("tf")[i] > 0) for i in range(len(phrases)))).alias("_df"))
     found = found.where(F.col("scope") == scope) if scope is not None else found
     parts = [_weight(F.col("_df")[i], F.lit(n)) * _share(F.col("tf")[i].cast("double"), F.col("dl"), avg) for i in range(len(phrases))]
-    return _best(found.crossJoin(F.broadcast(dfs)).select("id", reduce(Column.__add__, parts).alias("bm25")), k)  # dfs: one row
+    return _best(found.crossJoin(F.broadcast(dfs)).select("id", reduce(Column.__add__, parts).alias("bm25")), k, digits)  # dfs: one row
