@@ -113,6 +113,6 @@ def run_cases(cases: DataFrame, retrieved: DataFrame) -> DataFrame:
 
 def answer_checks(answers: DataFrame, text: str = "answer", entity: str = "entity", slots: str = "n_slots") -> DataFrame:
     """`names_entity` (as whole words, in any case), `cites` and `cites_in_range` of answers with the number of their slots."""
-    cited = F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))
+    cited = F.transform(F.regexp_extract_all(text, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.try_cast("int"))
     named = F.expr(f"regexp_like(lower({text}), concat('\\\\b\\\\Q', lower({entity}), '\\\\E\\\\b'))")
-    return answers.withColumn("names_entity", named).withColumn("cites", F.size(cited) > 0).withColumn("cites_in_range", (F.size(cited) > 0) & F.forall(cited, lambda n: n.between(1, F.col(slots))))
+    return answers.withColumn("names_entity", named).withColumn("cites", F.size(cited) > 0).withColumn("cites_in_range", (F.size(cited) > 0) & F.forall(cited, lambda n: F.coalesce(n.between(1, F.col(slots)), F.lit(False))))

@@ -28,8 +28,12 @@ class Plan:
     extra: dict[str, Any] = field(default_factory=dict, compare=False)
 
 
+# Fixed value: a word of a name.
+NAME_WORD = re.compile(r"[A-Z][A-Za-z'.-]*")
+
+
 def _capitalised(word: str) -> bool:
-    return word[:1].isascii() and word[:1].isupper() and not word.strip("'.-").translate(str.maketrans("", "", "'.-")).strip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    return NAME_WORD.fullmatch(word) is not None
 
 
 def entities_of(question: str) -> list[str]:
