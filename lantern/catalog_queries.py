@@ -8,7 +8,6 @@ customer-order tables a property graph.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from pyspark.sql.window import Window as W
 from lantern.functions import text as X
 from lantern.operators import chunking, evaluation, fusion, graph, grounding, incremental, index, knowledge, lexical, vector
 from lantern.operators.names import lookup
-from lantern.plans.lineage import shared_folder
+from lantern.plans.lineage import scratch
 from lantern.sources import releases, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -175,7 +174,7 @@ def corpus_index(spark, sf_dir) -> str:
     """The index of all documents, made by the first question of a session that asks for it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
-        path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        path = scratch(spark, "index")
         index.update(T(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path, "doc_id", scope=F.col("lang"))
         _INDEXES[key] = path
     return _INDEXES[key]

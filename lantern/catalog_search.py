@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from lantern.catalog_queries import TERMS_SQL, T, WORDS, bm25_sql, ngram_overlap
 from lantern.catalog_sources import ORACLES, QUERIES
 from lantern.functions import text as X
 from lantern.operators import index, names, neighbours, retrieval
-from lantern.plans.lineage import shared_folder
+from lantern.plans.lineage import scratch
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -23,7 +21,7 @@ def _updated_index(spark, sf_dir) -> str:
     docs = T(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     labelled = T(spark, sf_dir, "labels").select("doc_id").distinct()
     first = docs.join(labelled.withColumn("_l", F.lit(True)), "doc_id", "left").withColumn("text", F.when(F.col("_l"), F.concat(F.col("source"), F.lit(" license scum"))).otherwise(F.col("text")))
-    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    path = scratch(spark, "index")
     index.update(first, path, "doc_id", scope=F.col("lang"))
     index.update(docs.join(labelled, "doc_id", "left_semi"), path, "doc_id", scope=F.col("lang"))
     return path
@@ -37,7 +35,7 @@ def index_replaced_search(spark, sf_dir):
 
 @query(bm25_sql(["license", "scum", "version", "señora"], "SELECT doc_id, bm25 FROM hits ORDER BY bm25 DESC, doc_id LIMIT 20"))
 def index_merged_search(spark, sf_dir):
-    into = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    into = scratch(spark, "index")
     index.merge(spark, _updated_index(spark, sf_dir), into)
     found = index.search(spark, into, ["license", "scum", "version", "señora"], 20, digits=6)
     return found.select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
@@ -92,7 +90,7 @@ def batch_retrieval_metrics(spark, sf_dir):
 def ann_batch_topk(spark, sf_dir):
     """The neighbours of every vector, of the lists that hold a tenth of all; tested against the exact search."""
     e = T(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    path = f"{shared_folder(spark)}/lists-{uuid.uuid4().hex}"
+    path = scratch(spark, "lists")
     neighbours.build(e, path)
     return neighbours.search_many(spark, path, e, 10).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 

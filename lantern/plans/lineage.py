@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
+import uuid
 
+from py4j.protocol import Py4JError
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Where a session of one machine writes if it names no folder, as in tests.
@@ -28,3 +33,22 @@ def cut(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+_scratch: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table of this session, which goes when the driver ends."""
+    if not _scratch:
+        atexit.register(_clear)
+    _scratch.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _scratch[-1]
+
+
+def _clear() -> None:
+    jvm = SparkContext._jvm
+    for path in _scratch if jvm else []:
+        with contextlib.suppress(Py4JError, OSError):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(where, True)
