@@ -96,4 +96,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_collocations": op13_collocations,
 }
 
-ORACLES: dict[str, str] = {"op6_jaccard_join": JACCARD_SQL, "op7_licenses": licenses.oracle(), "op8_nn_descent": nn_descent.ORACLE, "op11_importance_resampling": importance.ORACLE, "op13_collocations": collocations.ORACLE}
+ORACLES: dict[str, str] = {"op6_jaccard_join": JACCARD_SQL, "op7_licenses": licenses.oracle(), "op8_nn_descent": nn_descent.ORACLE, "op11_importance_resampling": importance.ORACLE, "op12_suffix_dedup": repeats.ORACLE, "op13_collocations": collocations.ORACLE}

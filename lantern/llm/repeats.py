@@ -346,3 +346,29 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.join(own, ["k1", "k2"], "left").mapInArrow(_remove(length), f"id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     return out.withColumnRenamed("id", id_col)
+
+
+#: DuckDB SQL for the query over documents. It hashes every window of 200 bytes, as 400 hexadecimal digits.
+ORACLE = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+  SELECT r, unnest(range(0, length(h) // 2 - 199)) AS i FROM d
+), windows AS (
+  SELECT r, i, md5(substr(h, (2 * i + 1)::INTEGER, 400)) AS k FROM starts JOIN d USING (r)
+), twice AS (
+  SELECT k FROM windows GROUP BY k HAVING count(*) > 1
+), gone AS (
+  SELECT r, i, i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) > 200 AS fresh FROM windows JOIN twice USING (k)
+), numbered AS (
+  SELECT r, i, sum(fresh::INTEGER) OVER (PARTITION BY r ORDER BY i) AS n FROM gone
+), spans AS (
+  SELECT r, n, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY r, n
+), before AS (
+  SELECT r, n, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY n), 0) AS kept_from FROM spans
+), pieces AS (
+  SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, (2 * kept_from + 1)::INTEGER, (2 * (a - kept_from))::INTEGER), '' ORDER BY n) AS kept FROM before JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, (2 * coalesce(last, 0) + 1)::INTEGER))) AS kept_sha256
+FROM d LEFT JOIN pieces USING (r)"""
