@@ -50,15 +50,15 @@ def pack(rows: DataFrame, doc: str | list[str], order: list[str], text: str, mos
     """
     keys = [doc] if isinstance(doc, str) else doc
     kept = rows.select(*keys, *[o for o in order if o not in keys], text, *carried)
-    held = kept.withColumn("_n", F.length(text)).withColumn("_ends", F.col(text).rlike("[.!?]$"))
+    held = kept.withColumn("_n", F.length(text)).withColumn("_ends", F.col(text).rlike(r"[.!?]\z"))  # `$` would look past a last line break
     schema = T.StructType([*kept.schema.fields, T.StructField("group", T.IntegerType())])
     return held.repartition(F.col(keys[0])).sortWithinPartitions(*keys, *order).mapInArrow(_pack(keys, most, least, joined), schema)
 
 
 def _joined(order: str, text: str) -> Column:
-    """Texts in order, joined by spaces, without empty ones."""
+    """Texts in order, joined by spaces, without empty ones; spaces of any width at the ends go."""
     pieces = F.array_sort(F.collect_list(F.struct(order, text)))
-    return F.trim(F.array_join(F.filter(F.transform(pieces, lambda p: p[text]), lambda t: t != ""), " "))
+    return F.regexp_replace(F.array_join(F.filter(F.transform(pieces, lambda p: p[text]), lambda t: t != ""), " "), r"^\p{Zs}+|\p{Zs}+\z", "")
 
 
 def chunks(rows: DataFrame, doc: str, order: str, text: str, most: int = CHUNK_MAX, least: int = CHUNK_MIN) -> DataFrame:
@@ -68,11 +68,14 @@ def chunks(rows: DataFrame, doc: str, order: str, text: str, most: int = CHUNK_M
 
 
 def chunk_records(cues: DataFrame, doc: str, order: str, text: str, start: str, end: str, gap: float = SCENE_GAP, most: int = CHUNK_MAX, least: int = CHUNK_MIN) -> DataFrame:
-    """Chunks of cleaned cues, never over a scene's end: (chunk_id, document_id, scene_i, cue_start, cue_end, start_ms, end_ms, text)."""
+    """Chunks of cleaned cues, never over a scene's end: (chunk_id, document_id, scene_i, cue_start, cue_end, start_ms, end_ms, text).
+
+    A chunk lasts from the earliest start to the latest end of its cues, which may overlap or stand out of order.
+    """
     spoken = scenes(cues.where(F.col(text) != ""), doc, [order], F.col(start), F.col(end), gap)
     packed = pack(spoken, [doc, "scene"], [order], text, most, least, carried=(start, end))
     held = packed.groupBy(doc, "scene", "group").agg(
-        F.min(order).alias("cue_start"), F.max(order).alias("cue_end"), F.min_by(millis(F.col(start)), order).alias("start_ms"), F.max_by(millis(F.col(end)), order).alias("end_ms"), _joined(order, text).alias("text")
+        F.min(order).alias("cue_start"), F.max(order).alias("cue_end"), millis(F.min(start)).alias("start_ms"), millis(F.max(end)).alias("end_ms"), _joined(order, text).alias("text")
     )
     return held.select(chunk_id(F.col(doc), F.col("scene"), F.col("cue_start")).alias("chunk_id"), F.col(doc).alias("document_id"), F.col("scene").alias("scene_i"), "cue_start", "cue_end", "start_ms", "end_ms", "text")
 
