@@ -17,18 +17,27 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lantern.functions.text import terms
 from lantern.operators.lexical import phrases_of
-from lantern.plans.lineage import cut
+from lantern.plans.lineage import cut, scratch
 
 #: Postings of a block, and of a bucket of terms, about.
 BLOCK, BUCKET = 128, 4_000_000
 K1, B = 1.2, 0.75
-POSTING = "id long, term string, tf int, dl int, scope string, positions array<int>"
+#: Terms, about, whose postings are gathered at once.
+SLICE = 1_000_000
+FRAGMENT = "term string, scope string, ids array<long>, tfs array<int>, dls array<int>, flat array<int>"
+#: Replaced documents that go to every task of a merge; more are left out by a join.
+REPLACED = 4_000_000
+BLOCKS = "bucket int, term string, no long, max_tf int, min_dl int, ids array<long>, tfs array<int>, dls array<int>, scopes array<string>, positions array<array<int>>"
 
 
 def _tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -50,27 +59,124 @@ def _exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def _postings(docs: DataFrame, id_col: str, text_col: str, scope: Column | None) -> DataFrame:
-    """(id, term, tf, dl, scope, positions): a row for each term of each document."""
-    held = docs.select(F.col(id_col).cast("long").alias("id"), (scope if scope is not None else F.lit(None)).cast("string").alias("scope"), F.explode(F.array(terms(F.col(text_col)))).alias("w"))
-    rows = held.select("id", "scope", F.size("w").alias("dl"), F.posexplode("w").alias("position", "term"))
-    return rows.groupBy("id", "term").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl"), F.first("scope").alias("scope"), F.array_sort(F.collect_list("position")).alias("positions"))
+def _fragments(half: int):
+    """Postings of whole documents, gathered within a slice of an Arrow batch: rows as FRAGMENT has them, of `half` postings at most.
 
+    A row without a term lists the slice's documents. Positions of all postings of a row stand in one list, tfs apart.
+    """
+
+    def run(batches):
+        for batch in batches:
+            dl = pc.fill_null(pc.list_value_length(batch.column("w")), 0).to_numpy().astype(np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(dl) // SLICE)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(dl)], strict=True):
+                if b > a:
+                    yield _fragment(batch.slice(a, b - a), dl[a:b], half)
+
+    return run
+
+
+def _fragment(rows: pa.RecordBatch, dl: np.ndarray, half: int) -> pa.RecordBatch:
+    scope = pc.fill_null(rows.column("scope").dictionary_encode().indices, -1).to_numpy()
+    by = np.argsort(scope, kind="stable")
+    rows, dl, scope, n = rows.take(pa.array(by)), dl[by], scope[by], len(dl)
+    words = rows.column("w").flatten().dictionary_encode()
+    key = words.indices.to_numpy().astype(np.int64) * n + np.repeat(np.arange(n), dl)
+    order = np.argsort(key, kind="stable")  # by term, then scope and document, then position
+    position = (np.arange(len(key)) - np.repeat(np.cumsum(dl) - dl, dl))[order]
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))  # where a posting begins
+    code, row = np.divmod(key[first], n)
+    none = len(words.dictionary)  # stands for no term: a row for each document
+    code, row, tf = np.append(code, np.full(n, none)), np.append(row, np.arange(n)), np.append(np.diff(first, append=len(key)), np.zeros(n, np.int64))
+    own = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(scope[row], prepend=-2) != 0))  # where a term's scope begins
+    begin = np.flatnonzero((np.arange(len(code)) - np.repeat(own, np.diff(own, append=len(code)))) % half == 0)
+    wide = pa.array(np.append(begin, len(code)), pa.int32())
+    spots = pa.array(np.append(0, np.cumsum(tf))[wide], pa.int32())
+    lists = lambda x, kind: pa.ListArray.from_arrays(wide, pa.array(x, kind))
+    names = pa.concat_arrays([words.dictionary.cast(pa.string()), pa.nulls(1, pa.string())])
+    columns = [names.take(pa.array(code[begin])), rows.column("scope").take(pa.array(row[begin])), lists(rows.column("id").to_numpy()[row], pa.int64()), lists(tf, pa.int32()), lists(dl[row], pa.int32()), pa.ListArray.from_arrays(spots, pa.array(position, pa.int32()))]
+    return pa.RecordBatch.from_arrays(columns, names=["term", "scope", "ids", "tfs", "dls", "flat"])
+
+
+def _living(dead: Broadcast):
+    """Blocks without the postings of documents that a later segment replaced, as fragments of one scope each. dead: ids in order, and their last replacing segments."""
+
+    def run(batches):
+        gone, later = dead.value
+        for batch in batches:
+            flat = lambda c: batch.column(c).flatten()
+            size = pc.list_value_length(batch.column("ids")).to_numpy()
+            ids, tfs = flat("ids").to_numpy(), flat("tfs").to_numpy()
+            at = np.minimum(np.searchsorted(gone, ids), max(len(gone) - 1, 0))
+            live = np.full(len(ids), True) if not len(gone) else (gone[at] != ids) | (later[at] <= np.repeat(batch.column("segment").to_numpy(), size))
+            keep = pa.array(live)
+            row, held = np.repeat(np.arange(len(size)), size)[live], flat("scopes").filter(keep)
+            scope = pc.fill_null(held.dictionary_encode().indices, -1).to_numpy()
+            begin = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(scope, prepend=-2) != 0))
+            wide = pa.array(np.append(begin, len(row)), pa.int32())
+            spots = pa.array(np.append(0, np.cumsum(tfs[live]))[wide], pa.int32())
+            positions = flat("positions").flatten().filter(pa.array(np.repeat(live, tfs)))
+            lists = lambda c: pa.ListArray.from_arrays(wide, flat(c).filter(keep))
+            yield pa.RecordBatch.from_arrays([batch.column("term").take(pa.array(row[begin])), held.take(pa.array(begin)), lists("ids"), lists("tfs"), lists("dls"), pa.ListArray.from_arrays(spots, positions)], names=["term", "scope", "ids", "tfs", "dls", "flat"])
+
+    return run
+
+
+def _blocks(half: int):
+    """Rows of a term that follow each other, joined to blocks of BLOCK postings at most; `no` stands once in a segment and term."""
+
+    def run(batches):
+        no = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            size = pc.list_value_length(batch.column("ids")).to_numpy().astype(np.int64)
+            term = batch.column("term")
+            starts = np.flatnonzero(np.append(True, pc.not_equal(term.slice(1), term.slice(0, n - 1)).to_numpy(zero_copy_only=False)))
+            before = np.cumsum(size) - size
+            held = (before - np.repeat(before[starts], np.diff(starts, append=n))) // half
+            fresh = np.zeros(n, bool)
+            fresh[starts] = True
+            fresh |= size > half  # a block from before stays one
+            fresh[1:] |= size[:-1] > half
+            begin = np.flatnonzero(fresh | (np.diff(held, prepend=0) != 0))
+            at = np.append(before, size.sum())[np.append(begin, n)]
+            tfs = batch.column("tfs").flatten().to_numpy()
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), x)
+            flat = lambda c: batch.column(c).flatten()
+            spots = pa.array(np.append(0, np.cumsum(tfs)), pa.int32())
+            positions = pa.ListArray.from_arrays(spots, flat("flat"))
+            columns = [batch.column("bucket").take(pa.array(begin)), term.take(pa.array(begin)), pa.array(no + np.arange(len(begin)), pa.int64())]
+            columns += [pa.array(np.maximum.reduceat(tfs, at[:-1]), pa.int32()), pa.array(np.minimum.reduceat(flat("dls").to_numpy(), at[:-1]), pa.int32())]
+            columns += [lists(flat("ids")), lists(flat("tfs")), lists(flat("dls")), lists(batch.column("scope").take(pa.array(np.repeat(np.arange(n), size)))), lists(positions)]
+            no += len(begin)
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "term", "no", "max_tf", "min_dl", "ids", "tfs", "dls", "scopes", "positions"])
+
+    return run
+
+
+def _read_once(docs: DataFrame, id_col: str, text_col: str, scope: Column | None) -> tuple[DataFrame, DataFrame]:
+    """Fragments and documents (id, dl, scope) of docs, whose texts are read once: the fragments are written."""
+    spark = docs.sparkSession
+    held = docs.select(F.col(id_col).cast("long").alias("id"), (scope if scope is not None else F.lit(None)).cast("string").alias("scope"), terms(F.col(text_col)).alias("w"))
+    written = scratch(spark, "postings")
+    held.mapInArrow(_fragments(max(1, BLOCK // 2)), FRAGMENT).write.parquet(written)
+    rows = spark.read.schema(FRAGMENT).parquet(written)
+    documents = rows.where("term is null").select("scope", F.explode(F.arrays_zip("ids", "dls")).alias("d"))
+    return rows.where("term is not null"), documents.select(F.col("d.ids").alias("id"), F.col("d.dls").alias("dl"), "scope")
 
-def _write(spark: SparkSession, path: str, segment: int, postings: DataFrame, documents: DataFrame, replaced: DataFrame | None, less: tuple[int, int]) -> None:
+
+def _write(spark: SparkSession, path: str, segment: int, fragments: DataFrame, documents: DataFrame, replaced: DataFrame | None, less: tuple[int, int]) -> None:
     """One segment. less: documents, and their terms, that are no longer counted."""
-    documents = cut(documents)
     n, length = documents.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     buckets = max(1, -(-length // BUCKET))
-    # Terms' postings by id in blocks; a hot term's are dealt out by ranges of ids, so that no task gathers a term.
-    dealt = postings.withColumn("bucket", _bucket(F.col("term"), buckets)).repartitionByRange("bucket", "term", "id")
-    order = W.partitionBy("_part", "term").orderBy("id")
-    numbered = dealt.withColumn("_part", F.spark_partition_id()).withColumn("_n", F.floor((F.row_number().over(order) - 1) / BLOCK))
-    lists = F.array_sort(F.collect_list(F.struct("id", "tf", "dl", "scope", "positions")))
-    blocks = numbered.groupBy("_part", "bucket", "term", "_n").agg(F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), lists.alias("p"))
-    # A field of an array of structs is an array
-    arrays = [F.col(f"p.{c}").alias(name) for c, name in (("id", "ids"), ("tf", "tfs"), ("dl", "dls"), ("scope", "scopes"), ("positions", "positions"))]
-    blocks = blocks.select("term", (F.col("_part").cast("long") * (1 << 32) + F.col("_n")).alias("no"), "max_tf", "min_dl", *arrays, F.lit(segment).alias("segment"), "bucket")
+    # A bucket's terms in four parts, which Spark splits further where a hot term makes one large: blocks may end anywhere
+    dealt = fragments.withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("_first", F.col("ids")[0])
+    dealt = dealt.withColumn("_part", F.pmod(F.hash("term"), F.lit(4))).hint("rebalance", "bucket", "_part").drop("_part")
+    blocks = dealt.sortWithinPartitions("bucket", "term", "_first").drop("_first").mapInArrow(_blocks(max(1, BLOCK // 2)), BLOCKS)
+    blocks = blocks.withColumn("segment", F.lit(segment))
     blocks.sortWithinPartitions("bucket", "term", "no").write.mode("append").partitionBy("segment", "bucket").parquet(f"{path}/blocks")
     documents.select("id", "dl", "scope", F.lit(segment).alias("segment")).write.mode("append").partitionBy("segment").parquet(f"{path}/documents")
     (replaced if replaced is not None else documents.select("id").limit(0)).select("id", F.lit(segment).alias("segment")).write.mode("append").partitionBy("segment").parquet(f"{path}/replaced")
@@ -84,8 +190,7 @@ def update(docs: DataFrame, path: str, id_col: str, text_col: str = "text", scop
     The first update makes the index. Ids are not null and stand once in docs; texts may be null or empty.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.size(terms(F.col(text_col))), F.lit(0)).alias("dl"), (scope if scope is not None else F.lit(None)).cast("string").alias("scope"))
-    sized = sized.withColumn("dl", F.greatest("dl", F.lit(0)))
+    fragments, sized = _read_once(docs, id_col, text_col, scope)
     segment, replaced, less = 0, None, (0, 0)
     if _exists(spark, path):
         held = _tables(spark, path)
@@ -93,7 +198,7 @@ def update(docs: DataFrame, path: str, id_col: str, text_col: str = "text", scop
         gone = sized.select("id") if deleted is None else sized.select("id").union(deleted.select(F.col(deleted.columns[0]).cast("long")))
         replaced = cut(_live(held).join(gone.distinct(), "id", "left_semi"))
         less = tuple(replaced.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first())
-    _write(spark, path, segment, _postings(docs, id_col, text_col, scope), sized, replaced, less)
+    _write(spark, path, segment, fragments, sized, replaced, less)
     return segment
 
 
@@ -107,17 +212,29 @@ def _known(held: dict[str, DataFrame], table: str) -> DataFrame:
     return held[table].join(F.broadcast(held["totals"].select("segment")), "segment", "left_semi")  # one row for each segment
 
 
+def _later(held: dict[str, DataFrame]) -> DataFrame:
+    """(_id, _later): documents that were replaced, and the last segment that did so."""
+    return _known(held, "replaced").groupBy(F.col("id").alias("_id")).agg(F.max("segment").alias("_later"))
+
+
 def _without_replaced(rows: DataFrame, held: dict[str, DataFrame]) -> DataFrame:
-    later = _known(held, "replaced").groupBy(F.col("id").alias("_id")).agg(F.max("segment").alias("_later"))
-    return rows.join(later, (F.col("id") == F.col("_id")) & (F.col("segment") < F.col("_later")), "left_anti")
+    return rows.join(_later(held), (F.col("id") == F.col("_id")) & (F.col("segment") < F.col("_later")), "left_anti")
 
 
 def merge(spark: SparkSession, path: str, into: str) -> None:
     """All live postings as one segment of a new index."""
     held = _tables(spark, path)
-    rows = _known(held, "blocks").select("segment", "term", F.explode(F.arrays_zip("ids", "tfs", "dls", "scopes", "positions")).alias("p"))
-    rows = rows.select("segment", F.col("p.ids").alias("id"), "term", F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"), F.col("p.scopes").alias("scope"), F.col("p.positions").alias("positions"))
-    _write(spark, into, 0, _without_replaced(rows, held).drop("segment"), _live(held).drop("segment"), None, (0, 0))
+    blocks = _known(held, "blocks").select("segment", "term", "ids", "tfs", "dls", "scopes", "positions")
+    dead = cut(_later(held))
+    if dead.count() <= REPLACED:
+        gone = dead.toArrow().sort_by("_id")
+        known = spark.sparkContext.broadcast((gone["_id"].to_numpy(), gone["_later"].to_numpy()))
+        rows = blocks.mapInArrow(_living(known), FRAGMENT)
+    else:
+        rows = blocks.select("segment", "term", F.explode(F.arrays_zip("ids", "tfs", "dls", "scopes", "positions")).alias("p"))
+        rows = _without_replaced(rows.select("segment", F.col("p.ids").alias("id"), "term", "p.tfs", "p.dls", "p.scopes", "p.positions"), held)
+        rows = rows.select("term", F.col("scopes").alias("scope"), F.array("id").alias("ids"), F.array("tfs").alias("tfs"), F.array("dls").alias("dls"), F.col("positions").alias("flat"))
+    _write(spark, into, 0, rows, cut(_live(held).drop("segment")), None, (0, 0))
 
 
 def _weight(df: Column, n: Column) -> Column:
