@@ -15,6 +15,8 @@ from lantern.plans.lineage import cut
 
 #: Query vectors compared in one pass over the collection.
 QUERIES = 4096
+#: Similarities that a task holds at once.
+HELD = 2_000_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -75,14 +77,17 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str
                 x = np.array(x.flatten(), dtype=np.float64).reshape(len(own), -1) if len(own) else np.zeros((0, unit.shape[1]))
                 if not len(own) or x.shape[1] != unit.shape[1]:
                     continue
-                sims = unit @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-                sims[names[:, None] == own[None, :]] = -2
-                n = min(k, len(own))
-                least = np.partition(sims, len(own) - n, axis=1)[:, len(own) - n]  # ties with the last all stay
-                for i, j in zip(*np.nonzero((sims >= least[:, None]) & (sims > -2)), strict=True):
-                    best.setdefault(int(i), []).append((-sims[i, j], int(own[j])))
-                for i in best:
-                    best[i] = sorted(best[i])[:k]
+                x = (x / np.linalg.norm(x, axis=1, keepdims=True)).T
+                n, step = min(k, len(own)), max(1, HELD // len(own))
+                for a in range(0, len(names), step):
+                    sims = unit[a : a + step] @ x
+                    sims[names[a : a + step, None] == own[None, :]] = -2
+                    least = np.partition(sims, len(own) - n, axis=1)[:, len(own) - n]  # ties with the last all stay
+                    for i, j in zip(*np.nonzero((sims >= least[:, None]) & (sims > -2)), strict=True):
+                        best.setdefault(a + int(i), []).append((-float(sims[i, j]), int(own[j])))
+                    for i in range(a, min(a + step, len(names))):
+                        if i in best:
+                            best[i] = sorted(best[i])[:k]
             found = [(int(names[i]), o, -s) for i, held in best.items() for s, o in held]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], names=["query_id", id_col, "score"])
 
