@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lantern.functions.text import canonical_id
-from lantern.operators.graph import components
+from lantern.operators.graph import components, small
 from lantern.plans.lineage import cut
 
 # Labels and relations that a graph may hold.
@@ -283,10 +283,11 @@ def register_in_order(mentions: DataFrame, known: DataFrame | None = None) -> tu
     rows = rows.select("seq", "name", "kind", F.lower("kind").alias("_k"), F.lower("name").alias("_key"), "aliases", F.coalesce("id", canonical_id(F.lower("kind"), F.col("name"))).alias("id"), F.col("id").isNotNull().alias("_known"))
     heard = F.when(F.col("_known"), F.concat("aliases", F.array("name"))).otherwise(F.col("aliases"))  # an id that was given need not be its name's
     aliases = rows.select("_k", F.explode(heard).alias("a"), "seq").select("_k", F.lower(F.trim("a")).alias("_key"), "seq").where("_key <> ''")
-    rows = rows.join(aliases.groupBy("_k", "_key").agg(F.min("seq").alias("at")), ["_k", "_key"], "left")
+    # A name that many mentions share would bring them all to one task: what is known of names goes to the rows where it is small
+    rows = rows.join(small(aliases.groupBy("_k", "_key").agg(F.min("seq").alias("at"))), ["_k", "_key"], "left")
     free = F.col("_known") | F.col("at").isNull() | (F.col("at") >= F.col("seq"))
     made = rows.where(free).groupBy("id").agg(F.min("seq").alias("made"))
-    rows = cut(rows.join(made, "id", "left").withColumn("own", F.coalesce(F.col("made") <= F.col("seq"), F.lit(False))))
+    rows = cut(rows.join(small(made), "id", "left").withColumn("own", F.coalesce(F.col("made") <= F.col("seq"), F.lit(False))))
     # Names are short; a table of links has a row for each mention that an alias took
     found = rows.where("own").select("seq", F.col("id").alias("entity_id"))
     links = cut(rows.where("not own").select("seq", "at"))
