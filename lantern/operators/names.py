@@ -56,10 +56,17 @@ def endpoints(nodes: DataFrame, names: DataFrame, tokens: DataFrame, ranks: dict
     names: (name); tokens: (name, token). As graph.endpoint_candidates for each name by itself.
     """
     asked = cut(names.select("name", F.lower("name").alias("_low")).distinct())
-    held = nodes.select(F.struct("id", "label", F.length("name").alias("size")).alias("node"), F.lower("name").alias("low"))
+    held = nodes.select("id", "label", F.length("name").alias("size"), F.lower("name").alias("low"))
+    once = nodes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    if once:  # of nodes that differ in their ids alone, more than `most` can't be among the best
+        alike = W.partitionBy("low", "label", "size").orderBy("id")
+        held = cut(held.withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= most).drop("_n"))
+    held = held.select(F.struct("id", "label", "size", F.length("low").alias("long")).alias("node"), "low")
     inside = containing(held.select(F.col("node").alias("text_id"), F.col("low").alias("text")), asked.select(F.col("name").alias("sought_id"), F.col("_low").alias("text"))).select(F.col("sought_id").alias("name"), F.col("text_id").alias("node"))
     around = containing(asked.select(F.col("name").alias("text_id"), F.col("_low").alias("text")), held.select(F.col("node").alias("sought_id"), F.col("low").alias("text"))).select(F.col("text_id").alias("name"), F.col("sought_id").alias("node"))
-    whole = cut(inside.union(around).distinct().withColumn("hits", F.lit(0)))
+    # Equal names contain each other
+    both = inside.union(around.where(F.col("node.long") != F.length(F.lower("name")))) if once else inside.union(around).distinct()
+    whole = cut(both.withColumn("hits", F.lit(0)))
     rest = tokens.join(whole.select("name").distinct(), "name", "left_anti").select("name", "token").distinct()
     words = rest.select(F.col("token").alias("sought_id"), F.col("token").alias("text")).distinct()
     met = containing(held.select(F.col("node").alias("text_id"), F.col("low").alias("text")), words).select(F.col("sought_id").alias("token"), F.col("text_id").alias("node"))
