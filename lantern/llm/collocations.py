@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 #: Positions of a container, a multiple of 64; containers that are worked on together; words of a shard. All bound a task's memory.
-BITS, SLAB, SHARD = 512, 256, 1 << 22
+BITS, SLAB, SHARD = 512, 256, 1 << 23
 #: Phrases that a task holds before it sums their counts and hands them on.
-HELD = 1_000_000
+HELD = 2_000_000
 _CLEAN = bytes(b + 32 if 0x41 <= b <= 0x5A else 0x0A if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 SHARDS = "shard long, lang string, total long, words array<string>, counts array<int>, sequence binary"
 

@@ -86,3 +86,9 @@ def test_containers_count_each_start_once(monkeypatch, bits, slab):
             s = seq.tolist()
             good = lambda t: 0 not in t and (frequent is None or all(a + b != 5 and frequent.size for a, b in zip(t, t[1:], strict=False)))  # noqa: B023, E731
             assert counts == Counter(t for k in range(2, most + 1) for t in zip(*(s[i:] for i in range(k)), strict=False) if good(t))
+
+
+def test_a_task_of_the_usual_size_makes_one_shard_of_a_language(monkeypatch):
+    monkeypatch.setattr(collocations.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    batch = collocations.pa.RecordBatch.from_pydict({"lang": ["en", "fr", "en"], "text": [b"a b " * 1_250_000, b"c " * 2_500_000, b"b c " * 1_250_000]})
+    assert [s.column("total").to_pylist() for s in collocations._sharder(collocations.SHARD)([batch])] == [[5_000_000], [2_500_000]]
